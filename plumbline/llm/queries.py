@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, url_filter
 
+#: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: How byte_bpe_50k splits a text before its merges (fixed value of that vocabulary).
+BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/", "allow"),
@@ -25,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_bfd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_pack.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text")
@@ -84,6 +97,8 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bfd_pack": op6_bfd_pack,
+    "op7_best_fit": op7_best_fit,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
