@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, stream_dedup, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = stream_dedup.StreamDedup(spark, f"{sf_dir}/documents.parquet")
+    run.run()
+    return run.result().withColumnRenamed("digest", "text_sha256")
+
+
+OP4_SQL = """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+
 def op6_bfd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_pack.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
 
@@ -97,9 +110,10 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_stream_dedup": op4_stream_dedup,
     "op6_bfd_pack": op6_bfd_pack,
     "op7_best_fit": op7_best_fit,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_url_filter": OP10_SQL}
