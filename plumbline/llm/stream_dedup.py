@@ -65,7 +65,9 @@ class StreamDedup:
         self.spark, self.source, self.digest, self.max_files = spark, source, digest, max_files
         self.scratch = Scratch(spark, "stream-dedup")
         schema = spark.read.parquet(source).schema
-        docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+        # A file source takes a folder or a pattern; as a pattern, a single file will do as well.
+        pattern = f"{source[:-1]}[{source[-1]}]" if source[-1].isalnum() else source
+        docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
         batch = spark.read.schema(schema).parquet(source)
         shape = lambda df: df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), normalised(F.col(text)).alias("text"))
         self.docs, self.batch = shape(docs), shape(batch)
