@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, stream_dedup, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, stream_dedup, unigram, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = stream_dedup.StreamDedup(spark, f"{sf_dir}/documents.parquet")
     run.run()
@@ -110,6 +114,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_unigram": op3_unigram,
     "op4_stream_dedup": op4_stream_dedup,
     "op6_bfd_pack": op6_bfd_pack,
     "op7_best_fit": op7_best_fit,
