@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, stream_dedup, unigram, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, quality, stream_dedup, unigram, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +30,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+pos AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM pos),
+rep AS (SELECT r, count(DISTINCT k) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM win WHERE n > 1) GROUP BY r),
+lines AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line, text FROM d),
+held AS (SELECT r, host, text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+         FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+per_doc AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup, sum(length(line)) AS chars FROM held GROUP BY r),
+hosts AS (SELECT host, greatest(20, floor(count(DISTINCT text) * 0.02)) AS lim FROM d GROUP BY host),
+freq AS (SELECT h.host, norm FROM held h JOIN hosts USING (host) GROUP BY h.host, norm, lim HAVING count(DISTINCT text) > lim),
+gone AS (SELECT r, sum(length(line)) AS chars FROM held JOIN freq USING (host, norm) GROUP BY r),
+s AS (SELECT d.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+        coalesce(p.chars, 0) AS total, coalesce(g.chars, 0) AS gone
+      FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN per_doc p USING (r) LEFT JOIN gone g USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND total - gone >= 0.3 * total AS kept
+FROM s
+"""
+
+
 def op3_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -114,6 +144,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_frequency": op2_line_frequency,
     "op3_unigram": op3_unigram,
     "op4_stream_dedup": op4_stream_dedup,
     "op6_bfd_pack": op6_bfd_pack,
@@ -121,4 +152,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op4_stream_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_url_filter": OP10_SQL}
