@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, quality, stream_dedup, unigram, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, minhash_odd, quality, stream_dedup, unigram, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_odd.components(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(spark, table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -144,6 +149,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_odd": op1_minhash_odd,
     "op2_line_frequency": op2_line_frequency,
     "op3_unigram": op3_unigram,
     "op4_stream_dedup": op4_stream_dedup,
