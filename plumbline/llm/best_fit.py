@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import WordEncoder, text_bytes
+from plumbline.llm.tokens import text_bytes, word_encoder
 from plumbline.plans.scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, doc_id: s
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = WordEncoder(tokenizer), 0
+        model, n = word_encoder(tokenizer), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []

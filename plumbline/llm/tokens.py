@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
 #: Entries of a task's word cache; beyond it the cache starts anew. About 200 bytes an entry.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Longer words are encoded each time.
 CACHE_WORD_BYTES = 64
 
@@ -20,12 +22,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: A run of ASCII and Latin-1 letters, then ASCII punctuation but the apostrophe (which may bind letters to it).
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Ids of a tokenizer for which white space always ends a token and is dropped.
 
     For such a vocabulary the ids of a text are those of its words, one after another, so words are
     encoded once and found again in a bounded cache. Words end at ASCII white space only; whatever else
-    the tokenizer takes for white space stays inside and is handled by it.
+    the tokenizer takes for white space stays inside and is handled by it. A plain word (letters, then
+    punctuation) has the ids of its letters, whatever their case, and those of its punctuation; new letter
+    runs are encoded many at a time in one text and told apart by the tokens that end a word.
     """
 
     def __init__(self, file: str):
@@ -34,28 +42,63 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(file)
         self.cache: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {b"": b""}
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        for at in range(0, len(runs), 8192):
+            part = runs[at : at + 8192]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.nonzero(self.ends[ids])[0] + 1).tolist()
+            raw, start = ids.tobytes(), 0
+            for run, stop in zip(part, stops, strict=True):
+                self.runs[run] = raw[4 * start : 4 * stop]
+                start = stop
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache lacks; words too long for it are returned only."""
+        plain, other, big = [], [], {}
+        for w in new:
+            m = PLAIN.fullmatch(w)
+            if m and len(w) <= CACHE_WORD_BYTES:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        self._learn_runs(list({r for x in plain for r in x[1:] if r not in self.runs}))
+        for w, letters, tail in plain:
+            self.cache[w] = self.runs[letters] + self.runs[tail]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            got = self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for w, e in zip(part, got, strict=True):
+                (self.cache if len(w) <= CACHE_WORD_BYTES else big)[w] = np.array(e.ids, "<u4").tobytes()
+        return big
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
         out, cache = [], self.cache
         for start in range(0, len(texts), 256):
             words = [t.split() for t in texts[start : start + 256]]
-            new = list({w for own in words for w in own if w not in cache})
-            big: dict[bytes, bytes] = {}
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                got = self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                for w, e in zip(part, got, strict=True):
-                    (cache if len(w) <= CACHE_WORD_BYTES else big)[w] = np.array(e.ids, "<u4").tobytes()
+            big = self._learn(list({w for own in words for w in own if w not in cache}))
             if big:
                 out += [b"".join([big[w] if w in big else cache[w] for w in own]) for own in words]
             else:
                 out += [b"".join([cache[w] for w in own]) for own in words]
             if len(cache) > CACHE_WORDS:
                 cache.clear()
+            if len(self.runs) > CACHE_WORDS:
+                self.runs = {b"": b""}
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(file: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(file)
+
+
 def rank_encoding(file: str, pattern: str):
     """A tiktoken encoding from a rank file; special tokens' strings are ordinary text."""
     import tiktoken
