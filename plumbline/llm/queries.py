@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, minhash_odd, quality, stream_dedup, unigram, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, html_crf, minhash_odd, quality, stream_dedup, unigram, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -90,6 +90,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op8_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text")
@@ -155,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stream_dedup": op4_stream_dedup,
     "op6_bfd_pack": op6_bfd_pack,
     "op7_best_fit": op7_best_fit,
+    "op8_html_crf": op8_html_crf,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
