@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, html_crf, minhash_odd, quality, stream_dedup, unigram, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, fuzzy_lines, html_crf, minhash_odd, quality, stream_dedup, unigram, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -82,6 +82,10 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_report(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bfd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_pack.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
 
@@ -157,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_frequency": op2_line_frequency,
     "op3_unigram": op3_unigram,
     "op4_stream_dedup": op4_stream_dedup,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_bfd_pack": op6_bfd_pack,
     "op7_best_fit": op7_best_fit,
     "op8_html_crf": op8_html_crf,
