@@ -20,22 +20,19 @@ empty table gives an empty result. The id -2^63 stands for null inside.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.plans.scratch import Scratch
 
 NO_ID = -(1 << 63)
-STATE = "stable_id long, locator string, keep_id long, keep_batch long, keep_row long, n long"
-CHANGES = "digest string, " + STATE
+SEEN = "digest string, first struct<batch:long,doc_id:long,row:long,locator:string>, keep struct<doc_id:long,batch:long,row:long>, n long"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Many small stores would each set 4 MB of disk aside.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -47,17 +44,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _remember(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a digest's state becomes with a batch's rows."""
-    own = state.get if state.exists else None
-    for part in rows:
-        for r in part.itertuples(index=False):
-            row = (int(r.stable_id), r.locator, int(r.keep_id), int(r.keep_batch), int(r.keep_row), int(r.n))
-            own = row if own is None else (*own[:2], *max(own[2:5], row[2:5]), own[5] + row[5])
-    state.update(own)
-    yield pd.DataFrame([(key[0], *own)], columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-
 class StreamDedup:
     """A deduplication that goes on: call ``run`` again after files have come to ``source``."""
 
@@ -77,10 +63,8 @@ class StreamDedup:
         log = rows.withColumns({"batch": F.lit(k).cast("long"), "row": F.monotonically_increasing_id()})
         log.write.mode("overwrite").parquet(self.scratch.path(f"log/part={k}"))
         log = self.spark.read.parquet(self.scratch.path(f"log/part={k}"))
-        top = F.max(F.struct("doc_id", "batch", "row"))
-        first = F.min(F.struct("doc_id", "batch", "row", "locator"))
-        found = log.groupBy("digest").agg(first.alias("f"), top.alias("t"), F.count("*").alias("n"))
-        found.select("digest", F.col("f.doc_id").alias("stable_id"), "f.locator", F.col("t.doc_id").alias("keep_id"), F.col("t.batch").alias("keep_batch"), F.col("t.row").alias("keep_row"), "n").write.mode("overwrite").parquet(self.scratch.path(f"seen/part={k}"))
+        found = log.groupBy("digest").agg(F.min(F.struct("batch", "doc_id", "row", "locator")).alias("first"), F.max(F.struct("doc_id", "batch", "row")).alias("keep"), F.count("*").alias("n"))
+        found.write.mode("overwrite").parquet(self.scratch.path(f"seen/part={k}"))
 
     def _drain(self, stream: DataFrame, sink, name: str, mode: str) -> None:
         query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", self.scratch.path(f"checkpoint/{name}")).trigger(availableNow=True).start()
@@ -89,12 +73,13 @@ class StreamDedup:
     def run(self) -> None:
         light = self.docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.input_file_name().alias("locator"))
         self._drain(light, self._log, "log", "append")
-        seen = self.spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.max_files).parquet(self.scratch.path("seen"))
+        seen = self.spark.readStream.schema(SEEN).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.max_files).parquet(self.scratch.path("seen"))
         before = {k: self.spark.conf.get(k, None) for k in ROCKSDB}
         for k, v in ROCKSDB.items():
             self.spark.conf.set(k, v)
         try:
-            changed = seen.groupBy("digest").applyInPandasWithState(_remember, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
+            # No watermark: the state of a digest never expires.
+            changed = seen.groupBy("digest").agg(F.min("first").alias("first"), F.max("keep").alias("keep"), F.sum("n").alias("n"))
             self._drain(changed, lambda df, k: df.write.mode("overwrite").parquet(self.scratch.path(f"changes/part={k}")), "state", "update")
         finally:
             for k, v in before.items():
@@ -105,9 +90,8 @@ class StreamDedup:
 
     def state(self) -> DataFrame:
         """The latest state of each digest; counts only grow, so it is the one with the largest count."""
-        cols = [c.split()[0] for c in STATE.split(", ")]
-        latest = self._table("changes", CHANGES).groupBy("digest").agg(F.max_by(F.struct(*cols), "n").alias("s"))
-        return latest.select("digest", "s.*")
+        latest = self._table("changes", SEEN).groupBy("digest").agg(F.max_by(F.struct("first", "keep", "n"), "n").alias("s"))
+        return latest.select("digest", F.col("s.first.doc_id").alias("stable_id"), "s.first.locator", F.col("s.keep").alias("keep"), F.col("s.keep.doc_id").alias("keep_id"), "s.n")
 
     def result(self) -> DataFrame:
         """One row per document: doc_id, digest, keep_id, group_size, kept."""
@@ -119,7 +103,7 @@ class StreamDedup:
         clashes = self.scratch.keep(variants.groupBy("digest").agg(F.count("*").alias("v")).where("v > 1").select("digest"), "clashes")
         some = not clashes.isEmpty()
         plain = log.join(clashes, "digest", "left_anti") if some else log
-        out = plain.join(state, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), F.expr("struct(doc_id, batch, row) = struct(keep_id, keep_batch, keep_row)").alias("kept"))
+        out = plain.join(state, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), F.expr("struct(doc_id, batch, row) = keep").alias("kept"))
         if some:
             met = texts.join(clashes, "digest", "left_semi")
             groups = met.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
