@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import queries_outline
+from plumbline.plans import queries_outline, queries_points
 
-QUERIES = {**queries_outline.QUERIES}
-ORACLE_SQL = {**queries_outline.ORACLE_SQL}
+QUERIES = {**queries_outline.QUERIES, **queries_points.QUERIES}
+ORACLE_SQL = {**queries_outline.ORACLE_SQL, **queries_points.ORACLE_SQL}

@@ -34,10 +34,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` once and go on from the files: lineage is cut, later reads are column-pruned."""
         where = self.path(name)
-        df.write.mode("overwrite").parquet(where)
+        df.write.mode("overwrite").option("compression", codec).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def remove(self, name: str) -> None:
