@@ -212,8 +212,9 @@ class NearDuplicates:
         self.spark, self.percent = spark, percent
         self.scratch = Scratch(spark, "near-duplicates")
         keep = self.scratch.keep
-        self.docs = keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), F.col(f"`{text}`").alias("raw")), "docs")
-        self.sketches = keep(self.docs.select("row", "raw").mapInArrow(_sketch_batches, SKETCHES), "sketches")
+        self.docs = keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "docs")
+        self.raw = self.docs.select("row", F.col(f"doc.`{text}`").alias("raw"))
+        self.sketches = keep(self.raw.mapInArrow(_sketch_batches, SKETCHES), "sketches")
         self.most = most_differing_bits(percent / 100 - SLACK)
 
     def _candidates(self, pairs: DataFrame) -> DataFrame:
@@ -227,13 +228,16 @@ class NearDuplicates:
         """The pairs that are links by their full sets."""
         pairs = self.scratch.keep(pairs, f"{name}-pairs")
         rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        sets = self.scratch.keep(self.docs.join(rows, "row", "left_semi").select("row", "raw").mapInArrow(_set_batches, "row long, values binary"), f"{name}-sets")
+        sets = self._sets(rows, f"{name}-sets")
         s = lambda x: sets.select(F.col("row").alias(x), F.col("values").alias(f"v_{x}"))
         met = pairs.join(s("a"), "a").join(s("b"), "b").withColumn("both", F.pandas_udf(common, "long")("v_a", "v_b"))
         found = self.scratch.keep(met.where(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), f"{name}-links")
         self.scratch.remove(f"{name}-sets")
         return found
 
+    def _sets(self, rows: DataFrame, name: str) -> DataFrame:
+        return self.scratch.keep(self.raw.join(rows, "row", "left_semi").select("row", "raw").mapInArrow(_set_batches, "row long, values binary"), name)
+
     def _labels(self, links: DataFrame, name: str) -> DataFrame:
         return connected_components(self.spark, links, self.scratch, name)
 
@@ -256,7 +260,7 @@ class NearDuplicates:
         rest = self._apart(star.join(best.select("a", "b"), ["a", "b"], "left_anti"), labels)
         links = links.union(self._confirm(rest, "star"))
         labels = self._labels(links, "star-labels")
-        links = links.union(self._confirm(self._apart(self._residual(entries, labels, star), labels), "rest"))
+        links = links.union(self._residual(entries, labels))
         labels = self._labels(links, "labels").select(F.col("id").alias("node"), "component")
         return members.join(labels, "node", "left").select("row", "node", F.coalesce("component", "node").alias("component"))
 
@@ -267,42 +271,66 @@ class NearDuplicates:
         known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return known.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
-    def _residual(self, entries: DataFrame, labels: DataFrame, star: DataFrame) -> DataFrame:
-        """Candidates of different components within buckets, less those met at the bucket's pivot."""
+    def _residual(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between components that buckets still hold side by side.
+
+        Buckets with several components tie their rows into clusters; a cluster is dealt into blocks, and
+        each pair of blocks meets in one task, which confirms pairs of different components on full sets,
+        the most similar sketches first, and returns only links that join two components there.
+        """
+        keep = self.scratch.keep
         label = labels.select(F.col("id").alias("row"), "component")
         shown = entries.join(label, "row", "left").select("row", "band", "key", F.coalesce("component", "row").alias("component"))
-        mixed = shown.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y and size > 2")
-        shown = self.scratch.keep(shown.join(mixed.select("band", "key", "size"), ["band", "key"]), "mixed")
-        blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-        dealt = shown.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        mixed = shown.groupBy("band", "key").agg(F.min("row").alias("pivot"), F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+        mixed = mixed.where("x <> y and size > 2").select("band", "key", "pivot")
+        shown = keep(shown.join(mixed, ["band", "key"]).select("row", "component", "pivot").distinct(), "mixed")
+        clusters = self._labels(shown.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "clusters")
+        rows = keep(clusters.select(F.col("id").alias("row"), F.col("component").alias("cluster")).join(shown.select("row", "component").distinct(), "row"), "clustered")
+        sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
-        met = met.join(self.sketches.select("row", "n", "odd", "bands"), "row")
+        met = met.select("row", "component", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        sets = self._sets(rows.select("row"), "mixed-sets")
+        met = met.join(self.sketches.select("row", "n", "odd"), "row").join(sets, "row")
         most, percent = self.most, self.percent
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("row")
             low, high = int(group["low"].iat[0]), int(group["high"].iat[0])
             a, b = group[group["block"] == low], group[group["block"] == high]
-            band = int(group["band"].iat[0])
-            out = []
-            odd_b, bands_b = np.stack(b["odd"]).view(np.uint64), np.stack(b["bands"])
-            n_b, c_b, row_b = b["n"].to_numpy(), b["component"].to_numpy(), b["row"].to_numpy()
-            for row, component, n, odd, bands in zip(a["row"], a["component"], a["n"], a["odd"], a["bands"], strict=True):
-                fit = (c_b != component) & (100 * np.minimum(n_b, n) >= percent * np.maximum(n_b, n))
+            odd_a, odd_b = (np.stack(x["odd"]).view(np.uint64) if len(x) else np.zeros((0, SKETCH_WORDS), np.uint64) for x in (a, b))
+            n_a, n_b, c_a, c_b, row_a, row_b = (x[c].to_numpy() for c in ("n", "component", "row") for x in (a, b))
+            found: list[np.ndarray] = []
+            for i in range(len(a)):
+                fit = (c_b != c_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i]))
                 if low == high:
-                    fit &= row_b > row
+                    fit &= row_b > row_a[i]
                 at = np.nonzero(fit)[0]
-                bits = np.bitwise_count(odd_b[at] ^ np.asarray(odd).view(np.uint64)).sum(1)
-                at, bits = at[bits <= most], bits[bits <= most]
-                first = (bands_b[at] == np.asarray(bands)).argmax(1) == band  # the first band they share tells of the pair
-                out += [(min(row, r), max(row, r), int(x)) for r, x in zip(row_b[at[first]], bits[first], strict=True)]
-            return pd.DataFrame(out, columns=["a", "b", "bits"]).astype("int64")
-
-        pairs = met.groupBy("band", "key", "low", "high").applyInPandas(meet, "a long, b long, bits long")
-        sizes = lambda x: self.sketches.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"))
-        fresh = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        return fresh.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "n_a", "n_b", "bits")
+                bits = np.bitwise_count(odd_b[at] ^ odd_a[i]).sum(1, dtype=np.int64)
+                near = bits <= most
+                found.append(np.stack([bits[near], np.full(near.sum(), i), at[near]], 1))
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            sets_a, sets_b = ([np.frombuffer(v, np.uint64) for v in x["values"]] for x in (a, b))
+            pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            out = []
+            for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+                x, y = find(int(c_a[i])), find(int(c_b[j]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+                if 100 * both >= percent * (int(n_a[i]) + int(n_b[j]) - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(row_a[i]), int(row_b[j])))
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+        return keep(met.groupBy("cluster", "low", "high").applyInPandas(meet, "a long, b long"), "rest-links")
 
 
 def components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
