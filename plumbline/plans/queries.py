@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import queries_outline, queries_points
+from plumbline.plans import queries_outline, queries_points, queries_quality
 
-QUERIES = {**queries_outline.QUERIES, **queries_points.QUERIES}
-ORACLE_SQL = {**queries_outline.ORACLE_SQL, **queries_points.ORACLE_SQL}
+QUERIES = {**queries_outline.QUERIES, **queries_points.QUERIES, **queries_quality.QUERIES}
+ORACLE_SQL = {**queries_outline.ORACLE_SQL, **queries_points.ORACLE_SQL, **queries_quality.ORACLE_SQL}
