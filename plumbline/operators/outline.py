@@ -104,10 +104,10 @@ def hilbert_order(df: DataFrame, box: tuple[str, str, str, str], bits: int = 16)
     Write with ``repartitionByRange("hilbert").sortWithinPartitions("hilbert")`` to cluster files in space.
     """
     x0, y0, x1, y1 = box
-    around = F.broadcast(df.agg(F.min(x0).alias("__x0"), F.min(y0).alias("__y0"), F.max(x1).alias("__x1"), F.max(y1).alias("__y1")))  # one row
+    around = F.broadcast(df.agg(F.min(x0).alias("__low_x"), F.min(y0).alias("__low_y"), F.max(x1).alias("__high_x"), F.max(y1).alias("__high_y")))  # one row
     side = (1 << bits) - 1
     at = lambda a, b, low, high: F.floor(((F.col(a) + F.col(b)) / 2 - F.col(low)) / F.coalesce(F.nullif(F.col(high) - F.col(low), F.lit(0.0)), F.lit(1.0)) * side)
-    return df.join(around).withColumn("hilbert", geo.hilbert(at(x0, x1, "__x0", "__x1"), at(y0, y1, "__y0", "__y1"), bits)).drop("__x0", "__y0", "__x1", "__y1")
+    return df.join(around).withColumn("hilbert", geo.hilbert(at(x0, x1, "__low_x", "__high_x"), at(y0, y1, "__low_y", "__high_y"), bits)).drop("__low_x", "__low_y", "__high_x", "__high_y")
 
 
 def rebuild(keyed: DataFrame) -> DataFrame:
