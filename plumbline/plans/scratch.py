@@ -21,6 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_open: list[tuple[str, Scratch]] = []
+
+
+def drop_all(label: str, unless: DataFrame) -> None:
+    """Remove the folders of all runs with this label, as what was made from them is written elsewhere; those
+    that ``unless`` still reads from stay."""
+    files = unless.inputFiles() if any(x[0] == label for x in _open) else []
+    for item in [x for x in _open if x[0] == label]:
+        name = item[1].root.rpartition("/")[2]
+        if not any(name in f for f in files):
+            item[1].drop()
+            _open.remove(item)
+
+
 class Scratch:
     """Tables of one run, under a folder of their own; a lost executor loses none of them.
 
@@ -30,6 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
+        _open.append((label, self))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
