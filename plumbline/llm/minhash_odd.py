@@ -37,7 +37,7 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_WORDS = 8
 SLACK = 0.2
 #: Bytes of text whose words are hashed at once, and rows of a bucket that meet in one task.
-CHUNK_BYTES, BLOCK_ROWS = 1 << 21, 1024
+CHUNK_BYTES, BLOCK_ROWS = 1 << 19, 1024
 
 _rng = np.random.default_rng(20240501)
 _LOWER = np.arange(256, dtype=np.uint8)

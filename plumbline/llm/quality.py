@@ -29,7 +29,8 @@ POSITION_BITS = 20
 
 
 def normalised_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    # Single spaces, by far the most, are not matched at all.
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
 
 
 def _line_hash(line: Column) -> Column:
