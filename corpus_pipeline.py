@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: quality rules, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its result is written as
-Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
+Parquet and read again as the next one's docs, so a stage first removes the intermediate tables of the one
+before it. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import best_fit, fuzzy_lines, minhash_odd, quality
 from plumbline.llm.queries import TOKENIZERS
-from plumbline.plans.scratch import Scratch
+from plumbline.plans.scratch import Scratch, drop_all
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +21,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each component of similar lines; documents that lose all their lines go."""
+    drop_all("quality", docs)
     return fuzzy_lines.dedup_lines(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    drop_all("fuzzy-lines", docs)
     return minhash_odd.dedup(spark, docs, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
+    drop_all("near-duplicates", docs)
     return best_fit.pack(spark, docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
 
