@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,8 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
-    local = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.sparkContext.setCheckpointDir(local)
+    local = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{local}")
     return shared_dir(spark)
 
 
