@@ -10,8 +10,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-#: Entries of a task's word cache; beyond it the cache starts anew. About 200 bytes an entry.
-CACHE_WORDS = 600_000
+#: Entries of a worker's caches of words and of letter runs; beyond it a cache starts anew. About 200 bytes an entry.
+CACHE_WORDS, CACHE_RUNS = 250_000, 450_000
 #: Longer words are encoded each time.
 CACHE_WORD_BYTES = 64
 
@@ -88,7 +88,7 @@ class WordEncoder:
                 out += [b"".join([cache[w] for w in own]) for own in words]
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            if len(self.runs) > CACHE_WORDS:
+            if len(self.runs) > CACHE_RUNS:
                 self.runs = {b"": b""}
         return out
 
