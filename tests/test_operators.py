@@ -172,6 +172,17 @@ def test_square_snaps_to_its_points(spark):
     assert np.allclose([got[i] for i in range(4)], [(-0.25, -0.5), (10.5, -0.5), (10.5, 8.75), (-0.25, 8.75)], atol=0.051)
 
 
+def test_points_of_later_iterations_are_there(spark):
+    edges = [("u", i, i, "s", 0, 0, i, *a, 0.0, *b, 0.0) for i, (a, b) in enumerate([((0.0, 0.0), (10.0, 0.0)), ((10.0, 0.0), (10.0, 8.0)), ((10.0, 8.0), (0.0, 8.0)), ((0.0, 8.0), (0.0, 0.0))])]
+    e = spark.createDataFrame(edges, "unit_id string, group_id long, edge_key long, cleabs string, idx_polygon int, idx_ring int, idx_edge int, start_x double, start_y double, start_z double, end_x double, end_y double, end_z double")
+    rows = [(0.5 * k, -y, w) for y, w in ((1.9, 1.0), (3.8, 3.0), (5.6, 9.0)) for k in range(1, 20)]
+    p = spark.createDataFrame([(i, x, y, 0.0, 1.0, 6, w) for i, (x, y, w) in enumerate(rows)], "point_id long, X double, Y double, inward_x double, inward_y double, Classification int, weight double")
+    for margin in (None, 0.5):  # what is missing at first is fetched
+        got = {r.edge_key: r for r in optimise.optimise(spark, e, p, "roof", 3, margin).collect()}
+        assert len(got) == 4 and abs(got[0].start_y + 5.6) < 0.051 and got[0].status == "ok"
+    assert optimise.optimise(spark, e, p.limit(0), "roof", 3).count() == 4
+
+
 def test_moves_push_neighbours_that_would_flip():
     import pandas as pd
 
