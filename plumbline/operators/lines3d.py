@@ -23,10 +23,30 @@ def interval_relation(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     )
 
 
-def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_score: float, gap: float) -> list[tuple]:
+#: A segment stays only if better ones leave more than this of its length along the edge.
+LEAST_UNCOVERED = 0.1
+#: Shorter edges get no lines.
+LEAST_EDGE = 0.5
+
+
+def uncovered(low: float, high: float, others: list[tuple[float, float]]) -> float:
+    """Length of [low, high] outside the other intervals."""
+    left, at = 0.0, low
+    for a, b in sorted(others):
+        left += max(0.0, min(a, high) - at)
+        at = max(at, b)
+    return left + max(0.0, high - at)
+
+
+def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_score: float, gap: float, along: np.ndarray | None = None) -> list[tuple]:
     """Segments of one edge's points: seeded pairs, inliers weighed by distance, runs without gaps, then only
-    those that are not mostly shared with a better one."""
+    those that are not mostly shared with a better one and not covered by better ones.
+
+    ``along`` is the edge's direction in the plane; without it, that in which the points spread most.
+    """
     found = []
+    if along is None and len(xyz):
+        along = np.linalg.svd(xyz[:, :2] - xyz[:, :2].mean(0), full_matrices=False)[2][0]
     if len(xyz) >= 2:
         rng = np.random.default_rng([977, key % (1 << 63)])
         pairs = rng.integers(0, len(xyz), (samples, 2))
@@ -45,24 +65,25 @@ def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_s
                 score = float((1 - away[run] / threshold).sum())
                 if score > least_score:
                     ends = xyz[i] + np.outer([t[run[0]], t[run[-1]]], u)
-                    found.append((score, frozenset(run.tolist()), ends))
+                    places = xyz[run, :2] @ along
+                    found.append((score, frozenset(run.tolist()), ends, (places.min(), places.max())))
     found.sort(key=lambda x: (-x[0], sorted(x[1])))
     kept: list[tuple] = []
-    for score, held, ends in found:
-        if all(len(held & other) <= 0.5 * min(len(held), len(other)) for _, other, _ in kept):
-            kept.append((score, held, ends))
-    return [(key, n, len(held), score, *ends[0], *ends[1]) for n, (score, held, ends) in enumerate(kept)]
+    for score, held, ends, span in found:
+        if all(len(held & other) <= 0.5 * min(len(held), len(other)) for _, other, _, _ in kept) and uncovered(*span, [x[3] for x in kept]) > LEAST_UNCOVERED:
+            kept.append((score, held, ends, span))
+    return [(key, n, len(held), score, *ends[0], *ends[1]) for n, (score, held, ends, _) in enumerate(kept)]
 
 
 def edge_lines(df: DataFrame, samples: int = 1000, threshold: float = 0.3, least_score: float = 5.0, gap: float = 1.0) -> DataFrame:
-    """Segments of each edge's points (edge_key, X, Y, Z), one grouped task per edge."""
+    """Segments of each edge's points (edge_key, X, Y, Z, and ux, uy: the edge's direction), one grouped task per edge."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["X", "Y", "Z"])
-        rows = fit_lines(int(group["edge_key"].iat[0]), group[["X", "Y", "Z"]].to_numpy(float), samples, threshold, least_score, gap)
+        rows = fit_lines(int(group["edge_key"].iat[0]), group[["X", "Y", "Z"]].to_numpy(float), samples, threshold, least_score, gap, group[["ux", "uy"]].to_numpy(float)[0])
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
-    return df.select("edge_key", "X", "Y", "Z").groupBy("edge_key").applyInPandas(run, SEGMENTS)
+    return df.select("edge_key", "X", "Y", "Z", "ux", "uy").groupBy("edge_key").applyInPandas(run, SEGMENTS)
 
 
 def fill_gaps(segments: pd.DataFrame, start: float, end: float) -> list[tuple[float, float, int]]:

@@ -44,7 +44,7 @@ def edge_group_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def optimised_roofprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = optimise.units(spark, _grouped(spark, sf_dir))
-    return optimise.optimise(spark, grouped, _weighted(spark, sf_dir), "roof", 1)
+    return optimise.optimise(spark, grouped, _weighted(spark, sf_dir), "roof", 3)
 
 
 def circle_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,8 @@ def circle_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = optimise.edge_points(_edges(spark, sf_dir), fx.points(spark, sf_dir), 1.0).select("edge_key", "X", "Y", "Z")
-    return lines3d.edge_lines(met, samples=200, threshold=0.3, least_score=0.5)
+    met = optimise.edge_points(_edges(spark, sf_dir), fx.points(spark, sf_dir), 1.0)
+    return lines3d.edge_lines(met.where(F.col("size") >= lines3d.LEAST_EDGE))
 
 
 def interval_relation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,6 +204,32 @@ def test_lines_are_found_and_repeatable():
     assert [r[2] for r in found[:2]] == [40, 30] and found == lines3d.fit_lines(4, xyz, 300, 0.3, 5.0, 1.0)
 
 
+def test_covered_lines_go():
+    """Two lines over one stretch of an edge share no points; only the better one stays."""
+    t = np.linspace(0, 5, 40)
+    low, high = np.stack([t, 0 * t, 0 * t], 1), np.stack([t[8:32], 0 * t[8:32], 3 + 0 * t[8:32]], 1)
+    found = lines3d.fit_lines(4, np.concatenate([low, high]), 300, 0.3, 5.0, 1.0)
+    assert [r[2] for r in found] == [40]
+    beside = high + [2.5, 0, 0]  # most of it is covered, 1.4 m is not
+    assert sorted(r[2] for r in lines3d.fit_lines(4, np.concatenate([low, beside]), 300, 0.3, 5.0, 1.0, np.array([1.0, 0.0])) if r[2] >= 24) == [24, 40]
+    assert lines3d.uncovered(0, 10, [(-1, 2), (1, 3), (5, 6), (9, 12)]) == 5
+
+
+def test_lines_query_runs_whole(monkeypatch):
+    """The registered queries take the operators' own parameters."""
+    from plumbline.plans import queries_optimise as q
+
+    seen = {}
+    monkeypatch.setattr(q, "_edges", lambda *a: None)
+    monkeypatch.setattr(q.fx, "points", lambda *a: None)
+    monkeypatch.setattr(q, "_grouped", lambda *a: None)
+    monkeypatch.setattr(q, "_weighted", lambda *a: None)
+    monkeypatch.setattr(q.optimise, "units", lambda *a: None)
+    monkeypatch.setattr(q.optimise, "optimise", lambda *a, **k: seen.update(iterations=a[4]))
+    q.optimised_roofprints(None, "")
+    assert seen["iterations"] == 3
+
+
 def test_geometry_expressions(spark):
     ring = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(p, "xyz")]) for p in square(0, 0, 4, 3)])
     row = spark.range(1).select(
