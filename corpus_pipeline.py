@@ -15,8 +15,11 @@ from plumbline.plans.scratch import Scratch, drop_all
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and are not depleted, without their hosts' boilerplate lines."""
-    return quality.clean(spark, docs)
+    """Documents that pass the rules and are not depleted, without their hosts' boilerplate lines.
+
+    Each such line stays in one document, so that a large group of near copies leaves one to the later stages.
+    """
+    return quality.clean(spark, docs, keep_first=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ A line that has a word is normalised (lower case, white space runs as one space,
 line's frequency within a host is the number of distinct documents of the host that hold it; exact copies of
 a document count as one. A line in more than ``max(min_docs, share * documents of the host)`` of them is
 boilerplate: it is removed, and a document that keeps less than ``keep_share`` of its lines' characters is
-depleted and rejected, as is one that fails the base rules.
+depleted and rejected, as is one that fails the base rules. With ``keep_first`` a boilerplate line stays in
+one of the host's texts that hold it, that of the least text hash. Of a group of near copies, whose shared
+lines are all frequent, the text of the least hash so keeps its lines but those that stay in a text outside
+the group; without it the whole group goes.
 
 Counts are summed map-side, so a line or a host that a third of all rows have spreads over all tasks; no
 group is gathered. Signals are written once as a light table (hashes, not texts) that later steps read.
@@ -85,7 +88,7 @@ def with_signals(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     return out.select(*kept[:-1], covered.cast("long").alias("n_repeat_words"))
 
 
-def judge(spark: SparkSession, docs: DataFrame, carry: list[str], text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.02, keep_share: float = 0.3, min_words: int = 50) -> DataFrame:
+def judge(spark: SparkSession, docs: DataFrame, carry: list[str], text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.02, keep_share: float = 0.3, min_words: int = 50, keep_first: bool = False) -> DataFrame:
     """One row per document: doc (struct of the columns ``carry``), signals, removed (hashes of boilerplate
     lines it holds), line_chars, left_chars, base_failed, kept."""
     scratch = Scratch(spark, "quality")
@@ -97,9 +100,13 @@ def judge(spark: SparkSession, docs: DataFrame, carry: list[str], text: str = "t
     table = scratch.keep(with_signals(shaped, F.col("raw"), ["row", "doc", "host", "same"]), "signals")
     distinct_lines = table.select("host", "same", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
     limits = table.select("host", "same").distinct().groupBy("host").agg(F.greatest(F.lit(min_docs), F.floor(F.count("*") * F.lit(share))).alias("limit"))
-    frequent = distinct_lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(limits, "host").where("n > limit").select("host", "h")
-    held = table.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.chars")
-    removed = held.join(frequent, ["host", "h"]).groupBy("row").agg(F.sum("chars").alias("gone"), F.collect_set("h").alias("removed"))
+    # Twins have one text hash, so they keep the same lines.
+    first = [F.min("same.col1").alias("first")] if keep_first else []
+    frequent = distinct_lines.groupBy("host", "h").agg(F.count("*").alias("n"), *first).where(F.col("n") > min_docs).join(limits, "host").where("n > limit").drop("n", "limit")
+    mark = [F.col("same.col1").alias("text_hash")] if keep_first else []
+    held = table.select("row", "host", *mark, F.explode("lines").alias("x")).select("row", "host", *(["text_hash"] if keep_first else []), "x.h", "x.chars")
+    cut = held.join(frequent, ["host", "h"])
+    removed = (cut.where("text_hash <> first") if keep_first else cut).groupBy("row").agg(F.sum("chars").alias("gone"), F.collect_set("h").alias("removed"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
     out = table.withColumn("line_chars", total).drop("lines", "same").join(removed, "row", "left")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -4,6 +4,7 @@ from tests.llm.test_minhash_odd import brute as near_brute
 from tests.llm.test_quality import brute as quality_brute
 
 import corpus_pipeline
+from plumbline.llm import quality
 
 
 def _docs(spark):
@@ -46,3 +47,23 @@ def test_run(spark, tmp_path):
     ids = {r.doc_id for r in got}
     assert set(range(60)) <= ids and not ids & {200, 201, 202, 203}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "packing"]
+
+
+def test_large_group_of_near_copies_leaves_one(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(3, 9)))
+    base = [[word() for _ in range(25)] for _ in range(8)]
+    rows = [(i, "\n".join(" ".join(word() for _ in range(25)) for _ in range(4)) + "\nhome about contact imprint", "en", "src", 0) for i in range(70)]
+    for k in range(30):  # one word of one line changed: more copies than the limit of 20
+        own = [list(x) for x in base]
+        own[k % 8][rng.randrange(25)] = f"new{k}"
+        rows.append((1000 + k, "\n".join(" ".join(x) for x in own), "en", "src", 0))
+    rows.append((2000, rows[-1][1], "en", "src", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    assert not {r.doc_id for r in quality.clean(spark, docs).collect()} & {r[0] for r in rows[70:]}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stage = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert sum("home about" in r.text for r in stage) == 1
+    assert any(r.text in {x[1] for x in rows[70:]} for r in stage)  # one of the group whole
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert ids >= set(range(70)) and len(ids - set(range(70))) == 1
