@@ -89,6 +89,12 @@ def single_echo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.single_echo(fx.points(spark, sf_dir).where(SPARSE), lined, P.ray_neighbours(lined))
 
 
+def single_echo_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole cloud."""
+    lined = _located(spark, sf_dir)
+    return P.single_echo(fx.points(spark, sf_dir), lined, P.ray_neighbours(lined))
+
+
 def point_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.points(spark, sf_dir).select("point_id", F.round(P.weight(F.col("point_id") % 3, F.col("Classification")), 6).alias("weight"))
 
@@ -97,6 +103,11 @@ def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.gap_runs(fx.points(spark, sf_dir).where("point_id % 40 = 0"), "PointSourceId", "X", "point_id")
 
 
+def gap_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole cloud."""
+    return P.gap_runs(fx.points(spark, sf_dir), "PointSourceId", "X", "point_id")
+
+
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = fx.points(spark, sf_dir)
     p = cloud.where("Classification = 5").select(F.col("point_id").alias("a"), F.col("X").alias("ax"), F.col("Y").alias("ay"))
@@ -145,7 +156,7 @@ SELECT point_id, g AS gain, round((X + rx) / 2, 6) AS x, round((Y + ry) / 2, 6)
 
 QUERIES = {f.__name__: f for f in (
     reclassify, reclassify_chain, class_filter, split_counts, merge_points, las_bounds, inward_roof, inward_facade, rays, return_numbers, scan_lines, trajectory_interp,
-    ray_neighbours, multi_echo_edges, facade_points, single_echo_edges, point_weights, gap_runs, nearest_points, principal_axes,
+    ray_neighbours, multi_echo_edges, facade_points, single_echo_edges, single_echo_edges_all, point_weights, gap_runs, gap_runs_all, nearest_points, principal_axes,
 )}
 ORACLE_SQL = {
     "reclassify": _PTS + " SELECT CASE WHEN Classification IN (1, 64, 65, 67) THEN 6 ELSE Classification END AS Classification, count(*) AS n FROM pts GROUP BY 1",
@@ -174,3 +185,6 @@ SELECT a, b, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 3""",
     "principal_axes": _PTS + """, c AS (SELECT Classification, var_pop(X) AS xx, var_pop(Y) AS yy, covar_pop(X, Y) AS xy FROM pts GROUP BY 1)
 SELECT Classification, round((xx + yy) / 2 - sqrt(((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy), 4) AS least, round((xx + yy) / 2 + sqrt(((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy), 4) AS most FROM c""",
 }
+# The whole cloud: the same SQL without the filters.
+ORACLE_SQL["single_echo_edges_all"] = _ALL + _NEIGHBOURS + _ECHO.format("cloud") + _SINGLE
+ORACLE_SQL["gap_runs_all"] = ORACLE_SQL["gap_runs"].replace(" WHERE point_id % 40 = 0", "")
