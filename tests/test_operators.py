@@ -163,6 +163,15 @@ def test_city_model(spark, tmp_path):
     assert sorted(r.point_id for r in roofs.under_roof(cloud, faces).collect()) == [1, 3]
 
 
+def test_deep_and_circular_parents(spark, tmp_path):
+    shape = [{"type": "MultiSurface", "boundaries": [[[0, 1, 2]]], "semantics": {"surfaces": [{"type": "RoofSurface"}], "values": [0]}}]
+    objects = {f"o{i}": {"type": "BuildingPart", **({"parents": [f"o{i - 1}"]} if i else {})} for i in range(11)}
+    objects["o10"]["geometry"] = shape
+    objects |= {"a": {"type": "BuildingPart", "parents": ["b"], "geometry": shape}, "b": {"type": "BuildingPart", "parents": ["a"]}}
+    (tmp_path / "d.json").write_text(json.dumps({"type": "CityJSON", "vertices": [[0, 0, 8], [8, 0, 8], [8, 8, 8]], "CityObjects": objects}))
+    assert {r.part: r.cleabs for r in roofs.read_roofs(spark, str(tmp_path / "d.json")).collect()} == {"o10": "o0", "a": "b"}
+
+
 def test_square_snaps_to_its_points(spark):
     edges = [("u", i, i, "s", 0, 0, i, *a, 0.0, *b, 0.0) for i, (a, b) in enumerate([((0.0, 0.0), (10.0, 0.0)), ((10.0, 0.0), (10.0, 8.0)), ((10.0, 8.0), (0.0, 8.0)), ((0.0, 8.0), (0.0, 0.0))])]
     e = spark.createDataFrame(edges, "unit_id string, group_id long, edge_key long, cleabs string, idx_polygon int, idx_ring int, idx_edge int, start_x double, start_y double, start_z double, end_x double, end_y double, end_z double")
