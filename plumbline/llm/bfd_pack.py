@@ -9,6 +9,9 @@ A row of the result is a row of its shard's id matrix: ids (``seq_len`` little-e
 numbers, padded with the end id), cu_seqlens (cumulative segment lengths from 0), position_resets (the
 columns at which the position counter starts again from 0), and doc_ids and pieces of its segments.
 
+Long runs of white space, on which the library's pattern search runs out of stack, are merged apart from the text
+around them: such a run but its last character is a unit of its own to the pattern, so the ids are the same.
+
 Edge cases: a null or empty text is one end id; repeated rows and null ids are packed each for itself; which
 row a piece gets depends on how the input is dealt over tasks, what is packed does not; an empty table gives
 an empty result.
@@ -16,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,19 @@ from plumbline.llm.tokens import rank_encoding, text_bytes
 PIECES = "doc_id long, piece int, length int, ids binary, shard long"
 ROWS = "shard long, row int, n_tokens int, n_segments int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
+#: What Unicode calls white space (fixed values), in runs that are long.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def encode(model, text: str) -> np.ndarray:
+    """The ids of ``text``, as ``model.encode_to_numpy`` gives them."""
+    parts, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - 1 if run.end() < len(text) else run.end()
+        parts += [model.encode_to_numpy(text[at : run.start()]), np.array(model._encode_single_piece(text[run.start() : end]), np.uint32)]
+        at = end
+    return np.concatenate([*parts, model.encode_to_numpy(text[at:])]) if parts else model.encode_to_numpy(text)
+
 
 class CapacityTree:
     """Rows by room left; ``best`` finds a row with the least room that is enough."""
@@ -94,7 +111,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, seq_len: int, end_id
             for start in range(0, len(keys), 512):
                 rows: list[tuple] = []
                 for key, text in zip(keys[start : start + 512], texts[start : start + 512], strict=True):
-                    ids = np.append(model.encode_to_numpy(text.decode()), end_id).astype("<u2")
+                    ids = np.append(encode(model, text.decode()), end_id).astype("<u2")
                     for k, at in enumerate(range(0, len(ids), seq_len)):
                         own = ids[at : at + seq_len]
                         rows.append((key, k, len(own), own.tobytes(), n % n_shards))
