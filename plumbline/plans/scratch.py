@@ -52,10 +52,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-        """Write ``df`` once and go on from the files: lineage is cut, later reads are column-pruned."""
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy", dictionary: bool = True) -> DataFrame:
+        """Write ``df`` once and go on from the files: lineage is cut, later reads are column-pruned.
+
+        Tables of hashes and texts, whose values hardly repeat, are written faster without a dictionary.
+        """
         where = self.path(name)
-        df.write.mode("overwrite").option("compression", codec).parquet(where)
+        df.write.mode("overwrite").option("compression", codec).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def remove(self, name: str) -> None:
