@@ -10,8 +10,9 @@ Size of the plan: a length opens or splits at most four runs of like sequences,
 length once at most, so distinct lengths in it sum to ``seq_len`` or less (about 90 for 4096); the plan has
 at most 4 * 4096 * 90 slots whatever the corpus holds, and it is broadcast on that ground.
 
-Ranks within a length come from counts per (length, bucket) plus a row number inside the bucket; buckets are
-dealt by a stored salt, so one length that a third of all pieces have is ranked by many tasks.
+Ranks within a length come from counts per (length, bucket) plus a row number inside the bucket; a length has
+buckets in proportion to its pieces, dealt by a stored salt, so one length that a third of all pieces have is
+ranked by many tasks, and the counts are few.
 
 Edge cases: a null or empty text is a piece of one token (the end id); repeated rows and repeated or null
 ids are packed each for itself; an empty table gives an empty result.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import text_bytes, word_encoder
+from plumbline.llm.tokens import text_bytes, text_encoder
 from plumbline.plans.scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
@@ -42,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, doc_id: s
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = word_encoder(tokenizer), 0
+        model, n = text_encoder(tokenizer), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
@@ -101,9 +102,11 @@ def plan(histogram: dict[int, int], seq_len: int) -> tuple[np.ndarray, int]:
     return table[np.lexsort((table[:, 1], table[:, 0]))], opened
 
 
-def ranked(found: DataFrame, n_buckets: int) -> DataFrame:
+def ranked(found: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """``found`` with the rank of each row among those of its length, from 0."""
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("salt"), F.lit(n_buckets)))
+    each = found.sparkSession.createDataFrame([(k, n // BUCKET_ROWS + 1) for k, n in histogram.items()], "length long, buckets long")
+    # One row per length, so at most a sequence's length of them.
+    dealt = found.join(F.broadcast(each), "length").withColumn("bucket", F.pmod(F.xxhash64("salt"), F.col("buckets"))).drop("buckets")
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -118,7 +121,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, seq_len: int = 40
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = plan(histogram, seq_len)
     keys = spark.sparkContext.broadcast(((slots[:, 0] << 48) | slots[:, 1], slots))
-    n_buckets = max(16, sum(histogram.values()) // BUCKET_ROWS)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -128,5 +130,5 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, seq_len: int = 40
         return pd.DataFrame({"sequence_id": at[:, 3] + inside // at[:, 2], "offset": at[:, 4] + inside % at[:, 2] * length.to_numpy()})
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    out = ranked(found, n_buckets).select(*names, place("length", "rank").alias("at"))
+    out = ranked(found, histogram).select(*names, place("length", "rank").alias("at"))
     return out.select(*names, "at.sequence_id", "at.offset")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from plumbline.llm import best_fit, bfd_pack
 from plumbline.llm.queries import BYTE_BPE_PATTERN, TOKENIZERS
-from plumbline.llm.tokens import WordEncoder, rank_encoding
+from plumbline.llm.tokens import WordEncoder, rank_encoding, text_encoder
 
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -122,3 +122,32 @@ def test_few_sequences():
     slots, n = best_fit.plan(histogram, 4096)
     bound = -(-sum(k * v for k, v in histogram.items()) // 4096)
     assert bound <= n <= 1.01 * bound and len(slots) < 50_000
+
+
+ODD = ["a", "b", "K", "J", "É", "×", "÷", "œ", "̌", "́", "̇", "I", "İ", "'s", "'T", "1", "٣", "日", "Ж", ",", ".", "..", ", ", " ", "\n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|EndOfText|>", "<|", "\x00", "ᄀ", "ᅡ", "Ǆ", "ll", "$$"]
+
+
+def test_odd_texts_have_the_ids_of_the_tokenizer(encoder):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(ODD, k=rng.randint(0, 40))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_encoded_whole():
+    file = f"{TOKENIZERS}/byte_bpe_50k.json"
+    with pytest.raises(ValueError, match="word by word"):
+        WordEncoder(file)
+    model = text_encoder(file)
+    for text in (t for t in TEXTS if t):
+        assert np.frombuffer(model.encode([text.encode()])[0], "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space():
+    rng, model = random.Random(2), rank_encoding(BYTE_BPE, BYTE_BPE_PATTERN)
+    for _ in range(40):
+        space = rng.choice([" ", "\n", " \n", "\t", "　 ", " \xa0"])
+        text = rng.choice(["", "ab c", "日's", "1"]) + (space * 12000)[: rng.randint(9990, 12000)] + rng.choice(["x", "", "é", "\x1c", "1 y"])
+        text *= rng.randint(1, 2)
+        assert bfd_pack.encode(model, text).tolist() == model.encode_to_numpy(text).tolist()
+    assert len(bfd_pack.encode(model, " " * 5_000_000 + "a")) > 1
