@@ -53,3 +53,9 @@ def test_digest_of_the_trap(spark):
     df = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
     row = read(C.format_chats(df))[0]
     assert hashlib.sha256(row.loss.encode()).hexdigest() == hashlib.sha256(TRAP.encode()).hexdigest() and len(row.turns) == 2
+
+
+def test_odd_roles(spark):
+    roles = ["a\x00b", "\\", "\\n", "\n", "\\\n", "\\\\n\x00", "<|\\|", "<\\|x", "\x00"]
+    df = spark.createDataFrame([(i, k, r, "t") for i, r in enumerate(roles) for k in range(2)], "conv_id long, turn long, role string, text string")
+    assert {g.conv_id: [t.role for t in g.turns] for g in read(C.format_chats(df))} == {i: [r, r] for i, r in enumerate(roles)}
