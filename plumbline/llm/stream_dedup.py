@@ -6,7 +6,7 @@ Two streams run one after the other, each over what has arrived since its last r
    one row per digest (count, largest id), summed map-side first, so a text that a third of all rows have
    reaches the state as one row;
 2. those rows -> keyed state in RocksDB on the executors' disks, without expiry: per digest the stable id
-   and content locator of its first document, the count, and the row that stays so far.
+   and content locator (file and row in it) of its first document, the count, and the row that stays so far.
 
 A digest seen more than once is a hit, and hits are confirmed on full bytes: the texts of all hits are
 grouped by (digest, text), which compares whole strings and combines copies map-side. Digests under which
@@ -54,9 +54,9 @@ class StreamDedup:
         # A file source takes a folder or a pattern; as a pattern, a single file will do as well.
         pattern = f"{source[:-1]}[{source[-1]}]" if source[-1].isalnum() else source
         docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
-        batch = spark.read.schema(schema).parquet(source)
-        shape = lambda df: df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), normalised(F.col(text)).alias("text"))
-        self.docs, self.batch = shape(docs), shape(batch)
+        where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")]
+        self.shape = lambda df: df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), normalised(F.col(text)).alias("text"), *where)
+        self.schema, self.docs = schema, self.shape(docs)
 
     def _log(self, rows: DataFrame, k: int) -> None:
         """Idempotent: a batch that is run again replaces its own folders."""
@@ -71,7 +71,7 @@ class StreamDedup:
         query.awaitTermination()
 
     def run(self) -> None:
-        light = self.docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.input_file_name().alias("locator"))
+        light = self.docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.concat_ws("#", "file", "index").alias("locator"))
         self._drain(light, self._log, "log", "append")
         seen = self.spark.readStream.schema(SEEN).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.max_files).parquet(self.scratch.path("seen"))
         before = {k: self.spark.conf.get(k, None) for k in ROCKSDB}
@@ -96,8 +96,11 @@ class StreamDedup:
     def result(self) -> DataFrame:
         """One row per document: doc_id, digest, keep_id, group_size, kept."""
         log = self._table("log", "doc_id long, digest string, locator string, batch long, row long")
-        state = self.state()
-        texts = self.batch.withColumn("digest", self.digest(F.col("text")))
+        # Written, so that a digest that very many rows have is split over tasks where it is joined.
+        state = self.scratch.keep(self.state(), "latest")
+        # The source may have grown since the last run: only files that are in the log count.
+        files = F.broadcast(log.select(F.regexp_replace("locator", "#[0-9]+$", "").alias("file")).distinct())
+        texts = self.shape(self.spark.read.schema(self.schema).parquet(self.source)).join(files, "file", "left_semi").withColumn("digest", self.digest(F.col("text")))
         hits = state.where("n > 1").select("digest")
         variants = texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.count("*").alias("n"))
         clashes = self.scratch.keep(variants.groupBy("digest").agg(F.count("*").alias("v")).where("v > 1").select("digest"), "clashes")

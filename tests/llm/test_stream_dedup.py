@@ -47,6 +47,21 @@ def test_matches_brute_force_over_several_batches(spark, tmp_path, digest):
         assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_what_comes_after_a_run_waits_for_the_next(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    clash = lambda t: F.substring(F.sha2(t, 256), 1, 0)
+    _write(spark, [(1, "a", 0), (2, "b", 0), (3, "A", 0)], path)
+    run = stream_dedup.StreamDedup(spark, path, digest=clash)
+    run.run()
+    _write(spark, [(4, "b", 0), (5, "c", 0)], path)
+    shown = lambda: sorted((r.doc_id, r.keep_id, r.group_size) for r in run.result().collect())
+    assert shown() == [(1, 3, 2), (2, 2, 1), (3, 3, 2)]
+    run.run()
+    assert shown() == [(1, 3, 2), (2, 4, 2), (3, 3, 2), (4, 4, 2), (5, 5, 1)]
+    at = run.state().first().locator
+    assert at.rpartition("#")[2] == "0" and at.rpartition("#")[0].endswith(".parquet")
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     _write(spark, [], path)
