@@ -32,8 +32,11 @@ POSITION_BITS = 20
 
 
 def normalised_line(line: Column) -> Column:
-    # Single spaces, by far the most, are not matched at all.
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
+    # Most lines have single spaces only, which a search for plain strings tells faster than the expression.
+    spaced = line.contains("  ")
+    for c in SPACES[1:]:
+        spaced = spaced | line.contains(c)
+    return F.lower(F.trim(F.when(spaced, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def _line_hash(line: Column) -> Column:
@@ -126,7 +129,13 @@ def without_lines(text: Column, removed: Column) -> Column:
 def clean(spark: SparkSession, docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The documents that stay, their boilerplate lines removed; columns as they came, n_chars counted anew."""
     names = docs.columns
-    judged = judge(spark, docs, names, text, host, **limits).where("kept").select("doc.*", F.col("removed").alias("__removed"))
-    new = without_lines(F.col(f"`{text}`"), F.col("__removed"))
-    out = judged.withColumn(text, new).select(*[f"`{c}`" for c in names])
+    scratch = Scratch(spark, "quality")
+    q = lambda c: F.col(f"doc.`{c}`")
+    stored = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")), "docs", "zstd")
+    judged = judge(spark, stored.select("row", q(text).alias("text"), q(host).alias("host")), ["row"], "text", "host", **limits)
+    # Most documents stay as they are, so only the light verdicts of the others are joined.
+    changed = scratch.keep(judged.where("not kept or removed is not null").select("doc.row", "kept", "removed"), "changed")
+    out = stored.join(changed, "row", "left").where(F.coalesce("kept", F.lit(True)))
+    new = without_lines(q(text), F.col("removed"))
+    out = out.select(*[new.alias(c) if c == text else q(c).alias(c) for c in names])
     return out.withColumn("n_chars", F.char_length(f"`{text}`").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
