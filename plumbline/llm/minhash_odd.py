@@ -245,7 +245,8 @@ class NearDuplicates:
         """(row, node, component): node is the least row with the same set, component the least row linked to it; empty sets are left out."""
         scratch = self.scratch
         held = self.sketches.where("n > 0")
-        nodes = held.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"))
+        # Written, so that a set that very many rows have is split over tasks where it is joined.
+        nodes = scratch.keep(held.groupBy("k1", "k2", "n").agg(F.min("row").alias("node")), "nodes")
         members = scratch.keep(held.select("row", "k1", "k2", "n").join(nodes, ["k1", "k2", "n"]).select("row", "node"), "members")
         own = held.join(members.where("row = node").select("row"), "row", "left_semi")
         entries = own.select("row", F.posexplode("bands").alias("band", "key"))
@@ -343,6 +344,7 @@ def components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", tex
     known = ids.join(sizes, "row").join(of.select("row", "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     known = run.scratch.keep(known, "known")
     least = known.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    least = run.scratch.keep(least, "least")
     out = known.join(least, "component").select("row", "id", "n_shingles", "component_id", (F.col("row") == F.col("first.row")).alias("stays"))
     return out.join(run.docs.select("row", "doc"), "row")
 
