@@ -17,6 +17,7 @@ the three are not looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
@@ -31,7 +32,11 @@ from pyspark.sql import functions as F
 
 #: More labelled pages than this are refused: training runs on the driver.
 MAX_TRAINING_PAGES = 5000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+# A quoted value after = may hold >; a quote that never closes is a character like others.
+_REST = r"""(?>=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)(?=[\s/>])" + _REST + r"(?:>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)|</?[a-zA-Z]" + _REST + r"(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I
+)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # HTML's block elements and elements without content (fixed values of the format).
@@ -50,17 +55,108 @@ STEMS = (
 ).split()
 
 
+#: Elements of running text; a block belongs to the nearest element around its own that is none of them.
+FLOW = frozenset("blockquote center dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre table tbody tfoot thead tr ul".split())
+
+
+class Place:
+    """An open element, with what its descendants take over from it: each set holds a few dozen names at most, however
+    deep the element lies, and is shared with the parent where nothing is new."""
+
+    __slots__ = ("tag", "block", "above", "core", "nearest", "container", "outer")
+
+    def __init__(self, parent: Place | None, tag: str, names: str):
+        self.tag, self.block = tag, tag in BLOCK
+        stems = _stems(names) if names else ()
+        own = [f"stem:{s}" for s in stems] + ([f"in:{tag}"] if self.block else [])
+        self.above = _joined(parent.above if parent else frozenset(), own)
+        if tag in ("article", "main"):
+            self.core = frozenset(("core",))
+        else:
+            self.core = parent.core if parent else None
+            if self.core is not None:
+                self.core = _joined(self.core, [f"core>{x}" for x in stems] + ([f"core>{tag}"] if self.block else []))
+        nearest = parent.nearest if parent else ()
+        self.nearest = ((tag, stems), *nearest[:2]) if self.block else nearest
+        around = parent.container if parent else None
+        # What the own text belongs to, and what the blocks inside belong to.
+        self.outer = around if self.block or not parent else parent.outer
+        self.container = object() if self.block and tag not in FLOW else around
+
+    def features(self) -> tuple[str, ...]:
+        return _place_features(self.above, self.core, self.nearest)
+
+
+def _joined(known: frozenset[str], more: list[str]) -> frozenset[str]:
+    return known if known.issuperset(more) else known.union(more)
+
+
+@functools.lru_cache(maxsize=20_000)
+def _stems(names: str) -> tuple[str, ...]:
+    """Stems in class, id and role names; short ones only as words of their own."""
+    return tuple(dict.fromkeys(s for word in re.findall("[a-z]+", names) for s in STEMS if word == s or (len(s) > 3 and s in word)))
+
+
+@functools.lru_cache(maxsize=20_000)
+def _place_features(above: frozenset[str], core: frozenset[str] | None, nearest: tuple) -> tuple[str, ...]:
+    out = {"bias", *above, *(core or ()), f"own:{nearest[0][0] if nearest else '-'}"}
+    for k, (tag, stems) in enumerate(nearest):
+        out.add(f"up{k}:{tag}")
+        out.update(f"up{k}:stem:{s}" for s in stems)
+    return tuple(sorted(out))
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, str], ...]
+    place: Place
     link_share: float
 
 
+class _Stack:
+    """The open elements; for each tag also where it is open, so that no step walks over elements that stay open."""
+
+    def __init__(self):
+        self.open: list[Place] = []
+        self.at: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, names: str) -> None:
+        k = len(self.open)
+        self.open.append(Place(self.open[-1] if self.open else None, tag, names))
+        self.at.setdefault(tag, []).append(k)
+        if tag in HOLDERS:
+            self.holders.append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+
+    def cut(self, index: int) -> None:
+        for place in reversed(self.open[index:]):
+            self.at[place.tag].pop()
+        del self.open[index:]
+        for known in (self.holders, self.blocks):
+            while known and known[-1] >= index:
+                known.pop()
+
+    def last(self, tag: str) -> int:
+        known = self.at.get(tag)
+        return known[-1] if known else -1
+
+    def first_after(self, tag: str, index: int) -> int | None:
+        known = self.at.get(tag, ())
+        k = bisect.bisect_right(known, index)
+        return known[k] if k < len(known) else None
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order; character references decoded, white space runs as one space."""
+    """The page's leaf blocks in order; character references decoded, white space runs as one space.
+
+    Takes time in proportion to the page, however deep its elements lie.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Stack()
+    nowhere = Place(None, "", "")
     parts: list[str] = []
     linked = at = 0
 
@@ -68,22 +164,23 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if stack.at.get("a"):
             linked += len(text)
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            blocks.append(Block(text, tuple(stack), min(1.0, linked / len(text))))
-        parts.clear()
+        if parts:
+            text = " ".join("".join(parts).split())
+            if text:
+                blocks.append(Block(text, stack.open[-1] if stack.open else nowhere, min(1.0, linked / len(text))))
+            parts.clear()
         linked = 0
 
     def close(index: int) -> None:
         """End all elements from ``index`` on."""
-        if any(s[0] in BLOCK for s in stack[index:]):
+        if stack.blocks and stack.blocks[-1] >= index:
             flush()
-        del stack[index:]
+        stack.cut(index)
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -95,8 +192,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = named[1].lower()
         if token[1] == "/":
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if found is not None:
+            found = stack.last(tag)
+            if found >= 0:
                 close(found)
             elif tag in BLOCK:
                 flush()
@@ -104,63 +201,35 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in HOLDERS or stack[k][0] == "button":
-                    break
-            if tag in FAMILIES:
-                open_ones = []
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in HOLDERS:
-                        break
-                    if stack[k][0] in FAMILIES[tag]:
-                        open_ones.append(k)
-                if open_ones:
-                    close(min(open_ones))
+            holder = stack.holders[-1] if stack.holders else -1
+            if stack.last("p") > max(holder, stack.last("button")):
+                close(stack.last("p"))
+            inside = [k for k in (stack.first_after(f, holder) for f in FAMILIES.get(tag, ())) if k is not None]
+            if inside:
+                close(min(inside))
             flush()
         if tag not in VOID and not token.endswith("/>"):
             names = " ".join(a or b or c for a, b, c in NAMING.findall(token)).lower() if "=" in token else ""
-            stack.append((tag, names))
+            stack.push(tag, names)
     if at < len(page):
         add(page[at:])
     flush()
     return blocks
 
 
-def _stems(names: str) -> list[str]:
-    """Stems in class, id and role names; short ones only as words of their own."""
-    return [s for word in re.findall("[a-z]+", names) for s in STEMS if word == s or (len(s) > 3 and s in word)]
-
-
-@functools.lru_cache(maxsize=20_000)
-def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    out = {"bias"}
-    blocks = [s for s in path if s[0] in BLOCK]
-    out.add(f"own:{blocks[-1][0] if blocks else '-'}")
-    for tag, names in path:
-        if tag in BLOCK:
-            out.add(f"in:{tag}")
-        out.update(f"stem:{s}" for s in _stems(names))
-    tags = [s[0] for s in path]
-    if "article" in tags or "main" in tags:
-        inner = tags[max(i for i, t in enumerate(tags) if t in ("article", "main")) + 1 :]
-        out.add("core")
-        out.update(f"core>{t}" for t in inner if t in BLOCK)
-        for _, names in path[len(path) - len(inner) :]:
-            out.update(f"core>stem:{s}" for s in _stems(names))
-    for k, (tag, names) in enumerate(reversed(blocks[-3:])):
-        out.add(f"up{k}:{tag}")
-        out.update(f"up{k}:stem:{s}" for s in _stems(names))
-    return tuple(sorted(out))
-
-
 def features(blocks: list[Block]) -> list[list[str]]:
+    weight: dict[int, float] = {}
+    for b in blocks:
+        weight[id(b.place.outer)] = weight.get(id(b.place.outer), 0.0) + len(b.text) * (1 - b.link_share)
+    whole, most = sum(weight.values()) or 1.0, max(weight.values(), default=0.0)
     out = []
     for i, b in enumerate(blocks):
         n = len(b.text)
-        own = [*_path_features(b.path)]
+        own = [*b.place.features()]
+        mass = weight[id(b.place.outer)]
+        own.append(f"mass:{int(mass / whole * 3.99)}")
+        if mass == most:
+            own.append("top")
         own.append(f"len:{min(6, n.bit_length() // 2)}")
         own.append(f"link:{int(b.link_share * 3.99)}")
         if b.text[-1] in ".!?:;…\"”»":
@@ -210,20 +279,32 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def likelihood(params: np.ndarray, pages: list[tuple[list[np.ndarray], np.ndarray]], n: int) -> tuple[float, np.ndarray]:
-    """Log likelihood of the labels and its gradient; ``params``: n weights, 4 step scores, 2 start scores.
+class Prepared:
+    """Labelled pages side by side, padded and masked: what does not depend on the parameters."""
 
-    Pages of any length run side by side, padded and masked.
-    """
+    def __init__(self, pages: list[tuple[list[np.ndarray], np.ndarray]]):
+        self.sizes = np.array([len(y) for _, y in pages])
+        self.n, self.most = len(pages), int(self.sizes.max())
+        self.flat = np.concatenate([f for own, _ in pages for f in own])
+        places = np.concatenate([p * self.most + np.arange(len(own)) for p, (own, _) in enumerate(pages)])
+        self.owner = np.repeat(places, [len(f) for own, _ in pages for f in own])
+        self.live = np.arange(self.most) < self.sizes[:, None]
+        self.truth = np.zeros((self.n, self.most), int)
+        for p, (_, y) in enumerate(pages):
+            self.truth[p, : len(y)] = y
+        both = self.live[:, 1:]
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (self.truth[:, :-1][both], self.truth[:, 1:][both]), 1)
+
+
+def likelihood(params: np.ndarray, pages: Prepared | list[tuple[list[np.ndarray], np.ndarray]], n: int) -> tuple[float, np.ndarray]:
+    """Log likelihood of the labels and its gradient; ``params``: n weights, 4 step scores, 2 start scores."""
+    d = pages if isinstance(pages, Prepared) else Prepared(pages)
     w, steps, start = params[:n], params[n : n + 4].reshape(2, 2), params[n + 4 :]
-    sizes = np.array([len(y) for _, y in pages])
-    most = sizes.max()
-    flat = np.concatenate([f for own, _ in pages for f in own])
-    owner = np.repeat([p * most + t for p, (own, _) in enumerate(pages) for t in range(len(own))], [len(f) for own, _ in pages for f in own])
-    score = np.zeros((len(pages) * most, 2))
-    score[:, 1] = np.bincount(owner, w[flat], len(pages) * most)
-    score = score.reshape(len(pages), most, 2)
-    live = np.arange(most) < sizes[:, None]
+    live, most = d.live, d.most
+    score = np.zeros((d.n * most, 2))
+    score[:, 1] = np.bincount(d.owner, w[d.flat], d.n * most)
+    score = score.reshape(d.n, most, 2)
     ahead = np.zeros_like(score)
     ahead[:, 0] = score[:, 0] + start
     for t in range(1, most):
@@ -238,16 +319,10 @@ def likelihood(params: np.ndarray, pages: list[tuple[list[np.ndarray], np.ndarra
         behind[:, t] = np.where(on[:, None], _log_sum(nxt, 2), 0.0)
         pair += (np.exp(ahead[:, t, :, None] + nxt - total[:, None, None]) * on[:, None, None]).sum(0)
     chance = np.exp(ahead + behind - total[:, None, None]) * live[..., None]
-    truth = np.zeros((len(pages), most), int)
-    for p, (_, y) in enumerate(pages):
-        truth[p, : len(y)] = y
-    value = (np.take_along_axis(score, truth[..., None], 2)[..., 0] * live).sum() + start[truth[:, 0]].sum() - total.sum()
-    both = live[:, 1:]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (truth[:, :-1][both], truth[:, 1:][both]), 1)
-    value += (seen * steps).sum()
-    rest = ((truth - chance[..., 1]) * live).reshape(-1)
-    grad = np.concatenate([np.bincount(flat, rest[owner], n), (seen - pair).ravel(), np.bincount(truth[:, 0], minlength=2) - chance[:, 0].sum(0)])
+    value = (np.take_along_axis(score, d.truth[..., None], 2)[..., 0] * live).sum() + start[d.truth[:, 0]].sum() - total.sum()
+    value += (d.seen * steps).sum()
+    rest = ((d.truth - chance[..., 1]) * live).reshape(-1)
+    grad = np.concatenate([np.bincount(d.flat, rest[d.owner], n), (d.seen - pair).ravel(), np.bincount(d.truth[:, 0], minlength=2) - chance[:, 0].sum(0)])
     return float(value), grad
 
 
@@ -263,10 +338,10 @@ def train(labelled: Iterable[tuple[str, list[int]]], rounds: int = 200, penalty:
             pages.append(([np.array([index.setdefault(f, len(index)) for f in own]) for own in found], np.array(labels)))
         if len(pages) > MAX_TRAINING_PAGES:
             raise ValueError(f"more than {MAX_TRAINING_PAGES} labelled pages")
-    n = len(index)
+    n, data = len(index), Prepared(pages)
     params, first, second = np.zeros(n + 6), np.zeros(n + 6), np.zeros(n + 6)
     for k in range(1, rounds + 1):
-        _, grad = likelihood(params, pages, n)
+        _, grad = likelihood(params, data, n)
         grad = grad / len(pages) - penalty * params
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         params = params + rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
@@ -311,11 +386,24 @@ class _Writer:
         a, b = body[:cut], body[cut + 1 :]
         return self.one(f"<b>{a}</b> {b}", f'<a href="#">{a}</a> {b}', f"<em>{a} {b}</em>", f"<b>{a} {b}<br>", f"<span class=x>{a}</span>\n {b}")
 
+    def name(self) -> str:
+        """A class that tells nothing."""
+        syllables = "ka lo mi ten rus vo pel dan sir qu est".split()
+        return "".join(self.rng.choices(syllables, k=self.rng.randint(1, 3))) + self.one("", "1", "-2", "_x")
+
+    def within(self, body: str) -> str:
+        """``body`` in a container whose tag and class tell nothing."""
+        tag, names = self.one("div", "div", "div", "section"), self.one("", f' class="{self.name()}"', f' id={self.name()} class="{self.name()} {self.name()}"', f" class='{self.name()}'")
+        return f"<{tag}{names}>{body}</{tag}>"
+
     def boiler(self) -> str:
         """A piece of a page that is no article text."""
         r = self.rng
         t = lambda low=1, high=12, stop=0.5: self.text(0, low, high, stop)
-        kind = r.choice(["nav", "nav", "menu", "ad", "ad", "aside", "sidebar", "cookie", "notice", "form", "form", "comments", "comments", "related", "share", "news", "crumbs", "head", "tags"])
+        kind = r.choice(["nav", "nav", "menu", "ad", "ad", "aside", "sidebar", "cookie", "notice", "form", "form", "comments", "comments", "related", "share", "news", "crumbs", "head", "tags", "plain", "plain"])
+        if kind == "plain":
+            own = self.one(self.links(), " | ".join(f"<a href=/{i}>{t(1, 3, 0)}</a>" for i in range(r.randint(2, 6))), f"&copy; {t(1, 8)}")
+            return self.within(own)
         if kind == "nav":
             return f"<nav>{self.links()}</nav>" if r.random() < 0.7 else f"<nav><a href=/>{t(1, 2)}</a></nav>"
         if kind == "menu":
@@ -323,6 +411,8 @@ class _Writer:
         if kind == "ad":
             return f'<div class="{self.one("ad", "ads", "ad-box", "advert", "advertisement", "banner", "promo", "sponsored")}">{self.one("", "<p>")}{t(2, 30)}</div>'
         if kind == "aside":
+            if r.random() < 0.3:
+                return f"<aside>{t(2, 12)}</aside>"
             return f"<aside>{self.one('', f'<h3>{t(1, 3, 0)}</h3>')}<p>{t(4, 40)}</p>{self.one('', self.links())}</aside>"
         if kind == "sidebar":
             return f'<div {self.one("class", "id")}="{self.one("sidebar", "side-bar sidebar", "widget", "sidebar-left")}"><h3>{t(1, 3, 0)}</h3>{self.links()}<p>{t(4, 35)}</p></div>'
@@ -354,12 +444,13 @@ class _Writer:
     def article(self) -> str:
         r = self.rng
         t = lambda low=4, high=60, stop=0.85: self.inline(self.text(1, low, high, stop))
-        title = f"<h1>{t(2, 10, 0.3)}</h1>" if r.random() < 0.85 else ""
+        head, para = self.one("h1", "h1", "h1", "h2"), self.one(*"pppppp", "div")
+        title = f"<{head}>{t(2, 10, 0.3)}</{head}>" if r.random() < 0.85 else ""
         parts = [f"<header>{title}</header>" if title and r.random() < 0.15 else title]
         for _ in range(r.randint(1, 9)):
             kind = r.random()
             if kind < 0.62:
-                parts.append(f"<p>{t(1, 60)}{self.one('</p>', '</p>', '</p>', '')}")
+                parts.append(f"<{para}>{t(1, 60)}" + (self.one("</p>", "</p>", "</p>", "") if para == "p" else "</div>"))
             elif kind < 0.70:
                 parts.append(f"<h2>{t(1, 6, 0.1)}</h2>")
             elif kind < 0.77:
@@ -377,11 +468,15 @@ class _Writer:
                 parts.append(self.boiler())  # something else amid the article
         holder = r.random()
         body = "".join(parts)
-        if holder < 0.45:
+        if holder < 0.25:  # nothing tells but the text
+            for _ in range(r.randint(0, 2)):
+                body = self.within(body)
+            return body
+        if holder < 0.55:
             return f"<article>{body}{self.one('', self.boiler() if r.random() < 0.3 else '')}</article>"
-        if holder < 0.6:
+        if holder < 0.65:
             return f"<main>{body}</main>"
-        if holder < 0.7:
+        if holder < 0.75:
             return f"<main><article class='{self.one('post', 'story', '')}'>{body}</article></main>"
         tag = self.one("div", "section")
         return f'<{tag} {self.one("class", "id")}="{self.one("content", "post", "entry-content", "article-body", "story", "main", "main-content", "text")}">{body}</{tag}>'
@@ -392,6 +487,11 @@ class _Writer:
         before = [self.boiler() for _ in range(r.randint(0, 4))]
         after = [self.boiler() for _ in range(r.randint(0, 4))]
         foot = f'<footer>{self.one("<p>", "")}{self.one("&copy; ", "")}{self.text(0, 2, 20)}</footer>' if r.random() < 0.7 else self.one("", f'<div class="{self.one("footer", "site-footer", "copyright")}">&copy; {self.text(0, 1, 12)}</div>')
+        if r.random() < 0.08:  # columns of a table
+            side = "<br>".join(f"<a href=/{i}>{self.text(0, 1, 3, 0.05)}</a>" for i in range(r.randint(2, 6)))
+            left, right = f"<td{self.one('', ' width=120')}>{side}", f"<td>{self.article()}"
+            row = self.one(f"{left}</td>{right}</td>", f"{right}</td>{left}</td>", f"{left}{right}")
+            return f"{head}<table>{self.one('', f'<tr><td colspan=2>{self.links()}')}<tr>{row}</table>{foot}"
         # A copyright sign stands before the text that was remembered.
         body = "".join([*before, self.article() if r.random() < 0.96 else "", *after, foot])
         if r.random() < 0.3:
@@ -399,7 +499,7 @@ class _Writer:
         return f"{head}<!-- {self.words(1, 3)} -->{body}" + self.one("</body></html>", "")
 
 
-def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Pages of many layouts, each with one label per leaf block; the same for the same seed."""
     out = []
     for k in range(n):

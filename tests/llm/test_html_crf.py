@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -15,6 +16,40 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t="<p>no</p>";
 TEXT = "Title & more\nFirst line goes on here.\nSecond, with a link in it.\none thing\nanother thing\nLess < more é."
 
 
+LONG = "The mill stood by the river for two hundred years, until the flood of 1910 took its wheel."
+NEXT = "Nobody rebuilt it, although the village asked for help twice, and the stones went into a barn."
+#: Written by hand, apart from the layouts of the training pages: each with the text that is wanted.
+BY_HAND = [
+    (f"<body>{f'<p>{LONG}</p>' * 5}", "\n".join([LONG] * 5)),
+    (f"<html><body><div class=wrap><div class=x1><h1>The mill</h1><p>{LONG}<p>{NEXT}</div></div></body></html>", f"The mill\n{LONG}\n{NEXT}"),
+    (f"<div class='thread-body'><p>{LONG}</p><p>{NEXT}</p></div>", f"{LONG}\n{NEXT}"),
+    (f"<article><p title='a > b'>{LONG}</p><img alt=\"x > y\"><p>{NEXT}</p></article>", f"{LONG}\n{NEXT}"),
+    (
+        f"<body><div id=hd><a href=/>Home</a> <a href=/b>Blog</a> <a href=/c>About us</a></div><div class=k9><h1>The mill</h1><p>{LONG}</p><p>{NEXT}</p><ul><li>one wheel<li>two stones</ul><p>{LONG}</p></div>"
+        "<div class=k3>&copy; 2020 Friends of the mill</div></body>",
+        f"The mill\n{LONG}\n{NEXT}\none wheel\ntwo stones\n{LONG}",
+    ),
+    (
+        f"<body><table><tr><td class=left><a href=1>News</a><br><a href=2>Maps</a><br><a href=3>Contact</a></td><td><h2>The mill</h2><p>{LONG}</p><p>{NEXT}</p><p>{LONG}</p></td></tr></table></body>",
+        f"The mill\n{LONG}\n{NEXT}\n{LONG}",
+    ),
+    (
+        f"<body><header role=banner><h2>Mill news</h2></header><div id=bodyContent><h1>Mills</h1><p>{LONG}</p><pre>run --all &lt;file&gt;</pre><p>{NEXT}</p></div>"
+        f"<div id=disqus class=comments-area><p>Anna</p><p>{LONG}</p></div><footer><p>Imprint</p></footer></body>",
+        f"Mills\n{LONG}\nrun --all <file>\n{NEXT}",
+    ),
+    (
+        f"<body><nav class=top><a href=/>Start</a></nav><div><div><div><p>{LONG}</p><aside>Read also: ten mills</aside><p>{NEXT}</p></div></div></div><div class='newsletter-box'><p>Get our mail each week, free of charge.</p></div></body>",
+        f"{LONG}\n{NEXT}",
+    ),
+    (
+        f"<body><div class=c-17><a href=/a>Older</a> &middot; <a href=/b>Newer</a></div><section class='q7'><h2>The mill</h2><div>{LONG}</div><div>{NEXT}</div><div>{LONG}</div></section>"
+        "<div class='share-row'><a href=#>Tell a friend</a></div><div class='reader-comments'><ol><li>I lived there, and it was a fine place to be.</li></ol></div></body>",
+        f"The mill\n{LONG}\n{NEXT}\n{LONG}",
+    ),
+]
+
+
 def test_leaf_blocks():
     assert [b.text for b in H.leaf_blocks("<p>a<b>b</b><p>c<div>d</div>e<br>f</div><p x")] == ["ab", "c", "d", "e f"]
     assert [b.text for b in H.leaf_blocks("<!-- <p>x</p> <p>y")] == []
@@ -32,6 +67,25 @@ def test_held_out_pages():
     assert field.extract(PAGE) == TEXT
 
 
+@pytest.mark.parametrize("page, text", BY_HAND)
+def test_pages_written_by_hand(page, text):
+    assert H.default_field().extract(page) == text
+
+
+def test_tags():
+    texts = lambda page: [b.text for b in H.leaf_blocks(page)]
+    assert texts("<p a = \"x>\" b='>'>one<p it's>two</p><p c=\"never closed>three") == ["one", "two", "three"]
+    assert texts("<script a='>'>no</script x><title>no</title><titles>yes") == ["yes"]
+
+
+def test_time_grows_with_the_page():
+    field = H.default_field()
+    for page in ("<div>a" * 100_000, "<p><table>" + "<div>a" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<p a=\"" * 100_000):
+        start = time.monotonic()
+        field.extract(page)
+        assert time.monotonic() - start < 20
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(4)
     for _ in range(30):
