@@ -52,24 +52,31 @@ def building_links(overlaps: DataFrame) -> DataFrame:
     return overlaps.select(F.col("cleabs_a").alias("src"), F.col("cleabs_b").alias("dst")).where("src < dst").distinct()
 
 
-def reachable_roots(spark: SparkSession, buildings: DataFrame, links: DataFrame, most_rounds: int = 200) -> DataFrame:
+def reachable_roots(spark: SparkSession, buildings: DataFrame, links: DataFrame) -> DataFrame:
     """(cleabs, root_id): the least building from which a chain of src -> dst links leads here.
 
-    These are not connected components: of a -> c and b -> c, b stays alone. Each round hands the least
-    root on by one link; only buildings whose root changed hand it on again.
+    These are not connected components: of a -> c and b -> c, b stays alone. Each round hands the least root on
+    by one link, and then each building looks at its root's root, so a chain takes logarithmically many
+    rounds; only buildings whose root changed hand it on along links again. Roots only fall, so it ends.
     """
     scratch = Scratch(spark, "reach")
     roots = scratch.keep(buildings.select("cleabs", F.col("cleabs").alias("root_id")), "roots-0")
     links = scratch.keep(links, "links")
-    changed = roots
-    for k in range(1, most_rounds + 1):
-        offers = changed.join(links, changed.cleabs == links.src).groupBy("dst").agg(F.min("root_id").alias("offer"))
+    changed, k = roots, 0
+    while True:
+        k += 1
+        news = changed.select(F.col("cleabs").alias("via"), F.col("root_id").alias("offer"))
+        along = links.join(news, F.col("src") == F.col("via")).select("dst", "offer")
+        upper = roots.where("root_id <> cleabs").select(F.col("cleabs").alias("via"), F.col("root_id").alias("offer"))
+        jumps = roots.join(upper, F.col("root_id") == F.col("via")).select(F.col("cleabs").alias("dst"), "offer")
+        offers = along.union(jumps).groupBy("dst").agg(F.min("offer").alias("offer"))
         now = roots.join(offers, roots.cleabs == offers.dst, "left")
         now = scratch.keep(now.select("cleabs", F.least("root_id", "offer").alias("root_id"), (F.col("offer") < F.col("root_id")).alias("new")), f"roots-{k}")
+        if k > 1:
+            scratch.remove(f"roots-{k - 2}")
         roots, changed = now.select("cleabs", "root_id"), now.where("new").select("cleabs", "root_id")
         if changed.isEmpty():
             return roots
-    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def component_roots(spark: SparkSession, buildings: DataFrame, links: DataFrame) -> DataFrame:
