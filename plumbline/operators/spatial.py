@@ -48,6 +48,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: s
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Time buckets of rows in one bucket of knots.
+KNOT_BUCKETS = 64
+
+
 def interpolate(df: DataFrame, time: str, knots: DataFrame, bucket: float, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """``df`` with the knots' columns at its times: between two knots linear, beyond them on the line of the
     first or last two. ``knots`` has t and the columns; of knots with one t the last row counts (by ``seq``).
@@ -56,17 +60,21 @@ def interpolate(df: DataFrame, time: str, knots: DataFrame, bucket: float, colum
     up to its end, so rows find their interval by an equi-join. Times before the first and after the last
     bucket go to the end intervals, which are one row each.
     """
-    knots = knots.groupBy("t").agg(F.max_by(F.struct(*columns), "seq").alias("p"))
-    order = Window.orderBy("t")
-    pieces = knots.select("t", "p", F.lead("t").over(order).alias("t1"), F.lead("p").over(order).alias("p1"), F.row_number().over(order).alias("k"))
-    pieces = pieces.where("t1 is not null")
-    ends = pieces.agg(F.min("t").alias("low"), F.max("t1").alias("high"), F.min_by(F.struct("t", "t1"), "k").alias("first"), F.max_by(F.struct("t", "t1"), "k").alias("last"))
+    knots = knots.where("t is not null").groupBy("t").agg(F.max_by(F.struct(*columns), "seq").alias("p"))
+    # A bucket's last knot leads to the first one of the next bucket that has any: one row a bucket.
+    knots = knots.withColumn("__b", F.floor(F.col("t") / (bucket * KNOT_BUCKETS)))
+    own, order = Window.partitionBy("__b").orderBy("t"), Window.orderBy("__b")
+    firsts = knots.groupBy("__b").agg(F.min_by(F.struct("t", "p"), "t").alias("first"))
+    after = firsts.select("__b", F.lead("first").over(order).alias("after"))
+    pieces = knots.select("__b", "t", "p", F.lead("t").over(own).alias("t1"), F.lead("p").over(own).alias("p1")).join(after, "__b")
+    pieces = pieces.select("t", "p", F.coalesce("t1", "after.t").alias("t1"), F.coalesce("p1", "after.p").alias("p1")).where("t1 is not null")
+    ends = pieces.agg(F.min("t").alias("low"), F.max("t1").alias("high"), F.min_by(F.struct("t", "t1"), "t").alias("first"), F.max_by(F.struct("t", "t1"), "t").alias("last"))
     e = F.broadcast(ends)  # one row
     at = F.col(time)
     held = df.join(e)
     clamped = F.when(at < F.col("low"), F.col("first.t")).when(at >= F.col("high"), F.col("last.t")).otherwise(at)
     held = held.withColumn("__at", clamped).withColumn("__b", F.floor(F.col("__at") / bucket)).drop("low", "high", "first", "last")
-    shown = pieces.drop("k").withColumn("__k", F.explode(F.sequence(F.floor(F.col("t") / bucket), F.floor(F.col("t1") / bucket))))
+    shown = pieces.withColumn("__k", F.explode(F.sequence(F.floor(F.col("t") / bucket), F.floor(F.col("t1") / bucket))))
     found = held.join(shown, (F.col("__b") == F.col("__k")) & (F.col("__at") >= F.col("t")) & (F.col("__at") < F.col("t1")))
     u = (at - F.col("t")) / (F.col("t1") - F.col("t"))
     out = [((1 - u) * F.col(f"p.{c}") + u * F.col(f"p1.{c}")).alias(f"scanner_{c}") for c in columns]
