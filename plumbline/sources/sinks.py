@@ -64,9 +64,10 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def write_split(df: DataFrame, path: str, dimension: str) -> None:
-    """One folder per value of a dimension."""
-    df.repartition(dimension).write.mode("overwrite").partitionBy(dimension).parquet(path)
+def write_split(df: DataFrame, path: str, dimension: str, files: int = 16) -> None:
+    """One folder per value of a dimension, of at most ``files`` files each, so that a frequent value has as many tasks."""
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files))
+    df.repartition(F.col(f"`{dimension}`"), deal).write.mode("overwrite").partitionBy(dimension).parquet(path)
 
 
 def write_classes(df: DataFrame, path: str, classes: list[int] | None = None) -> None:
