@@ -9,10 +9,6 @@ from plumbline.operators import points as P
 from plumbline.operators.spatial import interpolate, nearest
 from plumbline.sources import fixtures as fx
 
-#: Some rays of this cloud have one return only.
-SPARSE = "point_id % 3 <> 1"
-
-
 def reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reclassify(fx.points(spark, sf_dir)).groupBy("Classification").agg(F.count("*").alias("n"))
 
@@ -55,12 +51,12 @@ def return_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.return_numbers(fx.points(spark, sf_dir)).select("point_id", "return_rank", "return_index")
 
 
-def _lined(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return P.scan_lines(P.rays(fx.points(spark, sf_dir).where(where)))
+def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scan_lines(P.rays(fx.points(spark, sf_dir)))
 
 
-def _located(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return interpolate(_lined(spark, sf_dir, where), "GpsTime", fx.trajectory(spark, sf_dir), 1.0)
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolate(_lined(spark, sf_dir), "GpsTime", fx.trajectory(spark, sf_dir), 1.0)
 
 
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +81,6 @@ def facade_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_echo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lined = _located(spark, sf_dir, SPARSE)
-    return P.single_echo(fx.points(spark, sf_dir).where(SPARSE), lined, P.ray_neighbours(lined))
-
-
-def single_echo_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole cloud."""
     lined = _located(spark, sf_dir)
     return P.single_echo(fx.points(spark, sf_dir), lined, P.ray_neighbours(lined))
 
@@ -100,11 +90,6 @@ def point_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.gap_runs(fx.points(spark, sf_dir).where("point_id % 40 = 0"), "PointSourceId", "X", "point_id")
-
-
-def gap_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole cloud."""
     return P.gap_runs(fx.points(spark, sf_dir), "PointSourceId", "X", "point_id")
 
 
@@ -133,7 +118,6 @@ pieces AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1, row_number() OVER (ORDER B
 located AS (SELECT l.*, ((1 - (GpsTime - t) / (t1 - t)) * (t * 8) + (GpsTime - t) / (t1 - t) * (t1 * 8)) AS sx, CAST(0 AS DOUBLE) AS sy, CAST(1000 AS DOUBLE) AS sz
   FROM lined l JOIN pieces ON t1 IS NOT NULL AND (k = 1 OR GpsTime >= t) AND (k = n - 1 OR GpsTime < t1))"""
 _ALL = fx.with_views("pts", "knots") + ", cloud AS (SELECT * FROM pts), " + _LINES
-_THIN = fx.with_views("pts", "knots") + ", cloud AS (SELECT * FROM pts WHERE point_id % 3 <> 1), " + _LINES
 _NEIGHBOURS = """, shape AS (SELECT GpsTime, line, angle, top.x - sx AS dx, top.y - sy AS dy, top.z - sz AS dz FROM located),
 across AS (SELECT a.GpsTime, CASE WHEN b.line > a.line THEN 'next_line' ELSE 'prev_line' END AS side, b.GpsTime AS other,
    round(acos(greatest(-1.0, least(1.0, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (sqrt(a.dx * a.dx + a.dy * a.dy + a.dz * a.dz) * sqrt(b.dx * b.dx + b.dy * b.dy + b.dz * b.dz))))), 9) AS turn
@@ -156,7 +140,7 @@ SELECT point_id, g AS gain, round((X + rx) / 2, 6) AS x, round((Y + ry) / 2, 6)
 
 QUERIES = {f.__name__: f for f in (
     reclassify, reclassify_chain, class_filter, split_counts, merge_points, las_bounds, inward_roof, inward_facade, rays, return_numbers, scan_lines, trajectory_interp,
-    ray_neighbours, multi_echo_edges, facade_points, single_echo_edges, single_echo_edges_all, point_weights, gap_runs, gap_runs_all, nearest_points, principal_axes,
+    ray_neighbours, multi_echo_edges, facade_points, single_echo_edges, point_weights, gap_runs, nearest_points, principal_axes,
 )}
 ORACLE_SQL = {
     "reclassify": _PTS + " SELECT CASE WHEN Classification IN (1, 64, 65, 67) THEN 6 ELSE Classification END AS Classification, count(*) AS n FROM pts GROUP BY 1",
@@ -174,9 +158,9 @@ ORACLE_SQL = {
     "ray_neighbours": _ALL + _NEIGHBOURS + " SELECT * FROM sides",
     "multi_echo_edges": _PTS + _ECHO.format("pts") + " SELECT point_id, gain, gain > 2 AS is_edge FROM echo",
     "facade_points": _PTS + _ECHO.format("pts") + " SELECT point_id FROM echo e WHERE is_last AND EXISTS (SELECT 1 FROM echo o WHERE o.GpsTime = e.GpsTime AND o.gain > 2 AND o.Classification NOT IN (3, 4, 5))",
-    "single_echo_edges": _THIN + _NEIGHBOURS + _ECHO.format("cloud") + _SINGLE,
+    "single_echo_edges": _ALL + _NEIGHBOURS + _ECHO.format("cloud") + _SINGLE,
     "point_weights": _PTS + " SELECT point_id, round(CASE point_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END * CASE WHEN Classification = 6 THEN 1.0 ELSE 0.3 END, 6)::DOUBLE AS weight FROM pts",
-    "gap_runs": _PTS + """, s AS (SELECT *, coalesce(CAST(X - lag(X) OVER (PARTITION BY PointSourceId ORDER BY X, point_id) > 1 AS INTEGER), 0) AS brk FROM pts WHERE point_id % 40 = 0),
+    "gap_runs": _PTS + """, s AS (SELECT *, coalesce(CAST(X - lag(X) OVER (PARTITION BY PointSourceId ORDER BY X, point_id) > 1 AS INTEGER), 0) AS brk FROM pts),
 r AS (SELECT *, sum(brk) OVER (PARTITION BY PointSourceId ORDER BY X, point_id ROWS UNBOUNDED PRECEDING) AS run FROM s)
 SELECT PointSourceId, CAST(run AS BIGINT) AS run, count(*) AS n, min(X) AS low, max(X) AS high FROM r GROUP BY PointSourceId, run""",
     "nearest_points": _PTS + """, d AS (SELECT p.point_id AS a, q.point_id AS b, row_number() OVER (PARTITION BY p.point_id ORDER BY (p.X - q.X) * (p.X - q.X) + (p.Y - q.Y) * (p.Y - q.Y), q.point_id) AS rank
@@ -185,6 +169,3 @@ SELECT a, b, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 3""",
     "principal_axes": _PTS + """, c AS (SELECT Classification, var_pop(X) AS xx, var_pop(Y) AS yy, covar_pop(X, Y) AS xy FROM pts GROUP BY 1)
 SELECT Classification, round((xx + yy) / 2 - sqrt(((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy), 4) AS least, round((xx + yy) / 2 + sqrt(((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy), 4) AS most FROM c""",
 }
-# The whole cloud: the same SQL without the filters.
-ORACLE_SQL["single_echo_edges_all"] = _ALL + _NEIGHBOURS + _ECHO.format("cloud") + _SINGLE
-ORACLE_SQL["gap_runs_all"] = ORACLE_SQL["gap_runs"].replace(" WHERE point_id % 40 = 0", "")
