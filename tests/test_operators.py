@@ -1,5 +1,8 @@
+import glob
+import itertools
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -14,6 +17,7 @@ from plumbline.operators import points as P
 from plumbline.operators.keys import numbered
 from plumbline.plans.scratch import Scratch
 from plumbline.sources import readers, sinks, synthetic, wkb
+from plumbline.streaming import sessions
 
 
 def square(x, y, w, h, z=0.0):
@@ -45,6 +49,25 @@ def test_reachable_roots_are_no_components(spark):
     assert got == {"a": "a", "b": "b", "c": "a", "d": "d"}
 
 
+def test_long_chains_take_few_rounds(spark):
+    rng = random.Random(8)
+    n = 400
+    pairs = [(i, i + 1) for i in range(n - 1) if i % 97 != 96] + [tuple(sorted(rng.sample(range(n), 2))) for _ in range(5)]
+    want = list(range(n))
+    for a, b in sorted(pairs, key=lambda p: p[1]):
+        want[b] = min(want[b], want[a])
+    b = spark.createDataFrame([(f"{i:03}",) for i in range(n)], "cleabs string")
+    links = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in pairs], "src string, dst string")
+    rounds = []
+    original = Scratch.keep
+    try:
+        Scratch.keep = lambda self, df, name, *more, **named: (rounds.append(name), original(self, df, name, *more, **named))[1]
+        got = {int(r.cleabs): int(r.root_id) for r in outline.reachable_roots(spark, b, links).collect()}
+    finally:
+        Scratch.keep = original
+    assert got == dict(enumerate(want)) and len(rounds) < 20
+
+
 def test_binned_joins_equal_brute_force(spark):
     rng = random.Random(3)
     boxes = [(i, x := rng.uniform(-20, 20), y := rng.uniform(-20, 20), x + rng.uniform(0, 9), y + rng.uniform(0, 9)) for i in range(120)]
@@ -65,6 +88,67 @@ def test_interpolation_at_and_beyond_knots(spark):
     assert got == {-1.0: -40.0, 1.0: 0.0, 1.5: 10.0, 2.0: 20.0, 4.0: 40.0, 5.0: 50.0, 9.0: 90.0}
 
 
+def test_interpolation_over_many_buckets(spark):
+    rng = random.Random(2)
+    times = sorted({round(rng.uniform(0, 3000), 3) for _ in range(200)})
+    path = [(i, t, rng.uniform(-9, 9)) for i, t in enumerate(times)]
+    asked = [rng.uniform(-50, 3050) for _ in range(300)] + times
+    knots = spark.createDataFrame([*path, (999, None, 1.0)], "seq long, t double, x double")
+    got = {r.time: r.scanner_x for r in spatial.interpolate(spark.createDataFrame([(t,) for t in asked], "time double"), "time", knots, 1.0, ("x",)).collect()}
+    assert len(got) == len(set(asked))
+    for t in asked:
+        k = min(max(sum(u <= t for u in times) - 1, 0), len(times) - 2)
+        (_, t0, x0), (_, t1, x1) = path[k : k + 2]
+        assert got[t] == pytest.approx(x0 + (t - t0) / (t1 - t0) * (x1 - x0), abs=1e-6)
+    plan = spatial.interpolate(spark.range(3).selectExpr("double(id) time"), "time", knots, 1.0, ("x",))
+    assert "double" in plan.schema["scanner_x"].dataType.simpleString()
+
+
+def test_plane_takes_the_first_three_points_off_a_line(spark):
+    rng = random.Random(6)
+    rings = []
+    for _ in range(60):
+        base = [rng.choice([(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (2.0, 2.0, 2.0), (1.0, 0.0, 2.0), (0.0, 3.0, 1.0)]) for _ in range(rng.randint(1, 6))]
+        rings.append([*base, base[0]])
+    rings.append([(float(i), 0.0, 0.0) for i in range(300)] + [(5.0, 1.0, 0.0), (0.0, 0.0, 0.0)])
+
+    def want(ring):
+        for p, q, r in itertools.combinations(ring[:-1], 3):
+            u, v = [b - a for a, b in zip(p, q)], [b - a for a, b in zip(p, r)]
+            m = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+            if sum(x * x for x in m) > 1e-18:
+                return (*m, sum(a * b for a, b in zip(m, p)))
+        return None
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "id int, ring array<struct<x:double,y:double,z:double>>")
+    got = {r.id: r.p and tuple(r.p) for r in df.select("id", roofs.plane(F.col("ring")).alias("p")).collect()}
+    assert got == {i: want(r) for i, r in enumerate(rings)}
+
+
+def test_split_by_value_is_spread(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id", "if(id % 10 = 0, 6, 2) as Classification")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small parts would be put together
+    try:
+        sinks.write_split(df, str(tmp_path / "split"), "Classification", files=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(os.path.basename(p) for p in glob.glob(str(tmp_path / "split" / "C*"))) == ["Classification=2", "Classification=6"]
+    assert 2 <= len(glob.glob(str(tmp_path / "split" / "Classification=2" / "*.parquet"))) <= 4
+    back = spark.read.parquet(str(tmp_path / "split"))
+    assert sorted((r.id, r.Classification) for r in back.collect()) == sorted((r.id, r.Classification) for r in df.collect())
+
+
+def test_stream_of_rays_falls_into_sessions(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:03"), (1, "2024-01-01 00:00:20"), (2, "2024-01-01 00:00:01")]
+    df = spark.createDataFrame(rows, "strip int, t string").selectExpr("strip", "timestamp(t) as t")
+    df.write.parquet(str(tmp_path / "rays"))
+    live = sessions.line_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "rays")), "t", "strip", "5 seconds", "0 seconds")
+    run = live.writeStream.format("memory").queryName("line_sessions").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    run.awaitTermination(120)
+    # The sessions that the watermark (00:00:20) has passed are out.
+    assert sorted((r.strip, r.start.second, r.end.second, r.n) for r in spark.table("line_sessions").collect()) == [(1, 0, 8, 2), (2, 1, 6, 1)]
+
+
 def test_numbers_are_dense(spark):
     df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "v long").repartition(5)
     assert sorted((r.v, r.n) for r in numbered(spark, df, ["v"], "n").collect()) == [(i, i + 1) for i in range(1000)]
