@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_fit, bfd_pack, chat_format, fuzzy_lines, html_crf, minhash_odd, quality, stream_dedup, unigram, url_filter
+from plumbline.llm import best_fit, bfd_pack, chat_format, filter_audit, fuzzy_lines, html_crf, kneser_ney, lloyd, minhash_odd, quality, stream_dedup, unigram, url_filter
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -156,6 +156,59 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    model = kneser_ney.train(spark, docs.where(~held_out))
+    return kneser_ney.score(spark, docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(spark, table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """One pair of table expressions a round."""
+    gap = "list_sum(list_transform(list_zip(a, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = ["""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             f"c0 AS (SELECT row_number() OVER (ORDER BY h, a) - 1 AS k, a AS c FROM (SELECT sha256('2:' || vec_id) AS h, a FROM v ORDER BY h, a LIMIT {k}))"]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT r, vec_id, a, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.*, k, CAST({gap} AS BIGINT) AS d FROM v, c{i}) GROUP BY r, vec_id, a)")
+        if i < rounds:
+            parts.append(f"""m{i} AS (SELECT k, list(f ORDER BY i) AS c FROM (SELECT k, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS f FROM (SELECT k, unnest(a) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY k, i) GROUP BY k)""")
+            parts.append(f"c{i + 1} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))")
+    return "WITH " + ",\n".join(f"{p[: p.index(' AS ')]} AS MATERIALIZED{p[p.index(' AS ') + 3 :]}" for p in parts) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (SELECT part, doc_id, CAST(len(ws) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INTEGER)
+   + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+   + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS mask FROM w),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+        count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS bad FROM f GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(CAST(list_sum(bits[1:step - 1]) AS INTEGER), 0) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, bit,
+   sum(n) FILTER (WHERE (mask & (before | bit)) = 0) AS kept, sum(n) FILTER (WHERE (mask & bit) <> 0 AND (mask & before) = 0) AS removed,
+   sum(n) FILTER (WHERE (mask & bit) <> 0 AND (mask & before) <> 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+   sum(good) FILTER (WHERE (mask & bit) <> 0 AND (mask & before) = 0) AS good_lost, sum(bad) FILTER (WHERE (mask & bit) <> 0 AND (mask & before) = 0) AS toxic_lost
+   FROM h, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd": op1_minhash_odd,
     "op2_line_frequency": op2_line_frequency,
@@ -167,5 +220,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_crf": op8_html_crf,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op11_kneser_ney": op11_kneser_ney,
+    "op12_lloyd": op12_lloyd,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op4_stream_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op4_stream_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_lloyd": _op12_sql(), "op13_filter_audit": OP13_SQL}
