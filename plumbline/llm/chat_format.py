@@ -41,47 +41,52 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def _merged(turns: Column) -> Column:
-    """Array of (role, texts): a turn joins the last message if that has its role."""
-    one = lambda t: F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
+#: Elements that are summed up, or spans that are cut out, at once; work grows with this and not with the turns.
+BLOCK = 64
 
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        same = (F.size(done) > 0) & F.coalesce(F.try_element_at(done, F.lit(-1))["role"] == t["role"], F.lit(False))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(one(t))))
 
-    return F.aggregate(turns, F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), step)
+def _blocks(array: str) -> Column:
+    """An array that is not empty, in slices of ``BLOCK``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda b: F.slice(array, b * BLOCK + 1, BLOCK))
 
 
-def _spans(messages: Column) -> Column:
-    """Spans of the assistant's texts, from the lengths of all that stands before them."""
-    fixed = F.lit(len(START) + 1)
+def _running(values: Column) -> Column:
+    """Sums up to each element of a short array."""
+    grown = lambda s, v: F.concat(s, F.array(v + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("long"))))
+    return F.aggregate(values, F.expr("cast(array() as array<bigint>)"), grown)
 
-    def text(state: Column, body: Column, role: Column) -> Column:
-        stop = state["at"] + F.char_length(body)
-        return F.struct(
-            (stop + len(SEP)).cast("int").alias("at"),
-            F.when(role == "assistant", F.concat(state["spans"], F.array(F.struct(state["at"].alias("start"), stop.cast("int").alias("end"))))).otherwise(state["spans"]).alias("spans"),
-        )
 
-    def message(state: Column, m: Column) -> Column:
-        head = F.struct((state["at"] + fixed + F.char_length(m["role"])).cast("int").alias("at"), state["spans"].alias("spans"))
-        inner = F.aggregate(m["texts"], head, lambda s, b: text(s, b, m["role"]))
-        return F.struct((inner["at"] + (len(END) + 1 - len(SEP))).cast("int").alias("at"), inner["spans"].alias("spans"))
-
-    start = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as spans)")
-    return F.aggregate(messages, start, message)["spans"]
+def _with_ends(df: DataFrame, sizes: str) -> DataFrame:
+    """``df`` with ends: the sum of ``sizes`` up to each element, by sums inside blocks and sums of blocks."""
+    last = lambda b: F.element_at(b, -1)
+    before = lambda c, i: F.coalesce(F.get(c, i - 1), F.lit(0).cast("long"))
+    plus = lambda c, by: F.flatten(F.transform(c, lambda b, i: F.transform(b, lambda v: v + before(by, i))))
+    df = df.withColumn("__inner", F.transform(_blocks(sizes), _running)).withColumn("__sums", F.transform("__inner", last))
+    df = df.withColumn("__outer", F.transform(_blocks("__sums"), _running)).withColumn("__top", _running(F.transform("__outer", last)))
+    df = df.withColumn("__upto", plus("__outer", "__top")).withColumn("ends", plus("__inner", "__upto"))
+    return df.drop("__inner", "__sums", "__outer", "__top", "__upto")
 
 
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, messages (array of role, texts), formatted, loss_spans."""
+    """One row per conversation: conv_id, messages (array of role, texts), formatted, loss_spans.
+
+    A turn opens a message if the one before it in the sorted array has another role; messages are slices between
+    such turns, so the work is in proportion to the turns.
+    """
     row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = df.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    escaped = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    messages = turns.select("conv_id", _merged(escaped).alias("messages"))
+    turns = turns.select("conv_id", F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
+    opens = lambda t, i: (i == 0) | (t["role"] != F.get("turns", i - 1)["role"])
+    turns = turns.withColumn("opens", F.transform("turns", opens))
+    turns = turns.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get("opens", i)))
+    stop = lambda j: F.coalesce(F.get("starts", j + 1), F.size("turns"))
+    messages = F.transform("starts", lambda s, j: F.struct(F.get("turns", s)["role"].alias("role"), F.transform(F.slice("turns", s + 1, stop(j) - s), lambda t: t["text"]).alias("texts")))
+    head = lambda t, i: F.when(F.get("opens", i), F.char_length(t["role"]) + len(START) + 1 + F.when(i > 0, len(END) + 1).otherwise(0)).otherwise(len(SEP))
+    turns = turns.withColumn("messages", messages).withColumn("sizes", F.transform("turns", lambda t, i: (head(t, i) + F.char_length(t["text"])).cast("long")))
+    turns = _with_ends(turns, "sizes")
+    said = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", F.struct((F.get("ends", i) - F.char_length(t["text"])).cast("int").alias("start"), F.get("ends", i).cast("int").alias("end"))))
     body = F.transform("messages", lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), F.array_join(m["texts"], SEP), F.lit(END + "\n")))
-    return messages.select("conv_id", "messages", F.array_join(body, "").alias("formatted"), _spans(F.col("messages")).alias("loss_spans"))
+    return turns.select("conv_id", "messages", F.array_join(body, "").alias("formatted"), F.array_compact(said).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -99,5 +104,14 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr(s["start"] + 1, s["end"] - s["start"]))), "")
+    """All text under the loss mask, unescaped. A stretch of some spans is cut out first, as places are counted from the text's beginning."""
+    cut = lambda whole, low, high: whole.substr(low + 1, high - low)
+
+    def stretch(b: Column) -> Column:
+        return F.transform(
+            F.array(F.struct(cut(formatted, b[0]["start"], F.element_at(b, -1)["end"]).alias("text"), b[0]["start"].alias("from"), b.alias("spans"))),
+            lambda x: F.array_join(F.transform(x["spans"], lambda s: unescape(cut(x["text"], s["start"] - x["from"], s["end"] - x["from"]))), ""),
+        )[0]
+
+    some = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda b: stretch(F.slice(spans, b * BLOCK + 1, BLOCK)))
+    return F.when(F.size(spans) > 0, F.array_join(some, "")).otherwise(F.lit(""))

@@ -38,6 +38,8 @@ SKETCH_WORDS = 8
 SLACK = 0.2
 #: Bytes of text whose words are hashed at once, and rows of a bucket that meet in one task.
 CHUNK_BYTES, BLOCK_ROWS = 1 << 19, 1024
+#: Bytes of full sets that such rows have, about; a block has one row at least.
+BLOCK_BYTES = 1 << 25
 
 _rng = np.random.default_rng(20240501)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -287,7 +289,8 @@ class NearDuplicates:
         shown = keep(shown.join(mixed, ["band", "key"]).select("row", "component", "pivot").distinct(), "mixed")
         clusters = self._labels(shown.select(F.col("pivot").alias("a"), F.col("row").alias("b")), "clusters")
         rows = keep(clusters.select(F.col("id").alias("row"), F.col("component").alias("cluster")).join(shown.select("row", "component").distinct(), "row"), "clustered")
-        sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        weighed = rows.join(self.sketches.select("row", "n"), "row")
+        sizes = weighed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(8 * F.col("n")) / BLOCK_BYTES)).cast("int").alias("blocks"))
         dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.select("row", "component", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))

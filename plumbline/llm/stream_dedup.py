@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from plumbline.plans.scratch import Scratch
 
 NO_ID = -(1 << 63)
+#: Names of the files that have been read are broadcast up to this many (about 20 MB); beyond that they are joined by shuffling.
+MOST_FILES = 100_000
 SEEN = "digest string, first struct<batch:long,doc_id:long,row:long,locator:string>, keep struct<doc_id:long,batch:long,row:long>, n long"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -99,7 +101,8 @@ class StreamDedup:
         # Written, so that a digest that very many rows have is split over tasks where it is joined.
         state = self.scratch.keep(self.state(), "latest")
         # The source may have grown since the last run: only files that are in the log count.
-        files = F.broadcast(log.select(F.regexp_replace("locator", "#[0-9]+$", "").alias("file")).distinct())
+        files = self.scratch.keep(log.select(F.regexp_replace("locator", "#[0-9]+$", "").alias("file")).distinct(), "files")
+        files = F.broadcast(files) if files.count() <= MOST_FILES else files
         texts = self.shape(self.spark.read.schema(self.schema).parquet(self.source)).join(files, "file", "left_semi").withColumn("digest", self.digest(F.col("text")))
         hits = state.where("n > 1").select("digest")
         variants = texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.count("*").alias("n"))
