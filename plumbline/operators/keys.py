@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.plans.scratch import Scratch
@@ -22,3 +22,14 @@ def numbered(spark: SparkSession, df: DataFrame, order: list[str], name: str, fi
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return dealt.join(starts, "__part").withColumn(name, F.col("__before") + own + F.lit(first - 1)).drop("__part", "__before")
+
+
+def cyclic(df: DataFrame, ring: list[str], order: str, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``before`` and ``after``: the columns' values in the rows before and after in the ring, whose last row is
+    followed by its first. Rings are the unit, so a window holds one ring."""
+    whole = Window.partitionBy(*ring).orderBy(order)
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Structs, as a value that is null there is not one that is missing.
+    step = {"before": (F.lag, F.last), "after": (F.lead, F.first)}
+    made = {name: F.coalesce(step[name][0](F.struct(c.alias("v"))).over(whole), step[name][1](F.struct(c.alias("v"))).over(every))["v"] for name, c in columns.items()}
+    return df.withColumns(made)

@@ -86,27 +86,83 @@ def edge_lines(df: DataFrame, samples: int = 1000, threshold: float = 0.3, least
     return df.select("edge_key", "X", "Y", "Z", "ux", "uy").groupBy("edge_key").applyInPandas(run, SEGMENTS)
 
 
-def fill_gaps(segments: pd.DataFrame, start: float, end: float) -> list[tuple[float, float, int]]:
-    """A line's best segments along [start, end] as pieces without gaps: cropped, cut where a better one lies,
-    and extended to the middle of what is left between two."""
-    free = [(start, end)]
-    pieces: list[tuple[float, float, int]] = []
-    for r in segments.sort_values("score", ascending=False).itertuples():
-        left = []
-        for a, b in free:
-            low, high = max(a, r.low), min(b, r.high)
-            if high - low > EPS:
-                pieces.append((low, high, r.segment))
-                left += [x for x in ((a, low), (high, b)) if x[1] - x[0] > EPS]
-            else:
-                left.append((a, b))
-        free = left
-    pieces.sort()
-    out: list[list] = [list(p) for p in pieces]
-    for i, p in enumerate(out):
-        p[0] = start if i == 0 else (out[i - 1][1] + p[0]) / 2 if p[0] > out[i - 1][1] + EPS else out[i - 1][1]
-        if i:
-            out[i - 1][1] = p[0]
-    if out:
-        out[-1][1] = end
-    return [tuple(p) for p in out]
+Piece = tuple[float, float, float, float]
+
+
+def _at(p: Piece, x: float) -> float:
+    """Height of a piece's line."""
+    return p[1] + (p[3] - p[1]) * (x - p[0]) / (p[2] - p[0])
+
+
+def _meet(p: Piece, q: Piece) -> float | None:
+    """Where the lines of two pieces cross; none if they are parallel."""
+    a, b = (p[3] - p[1]) / (p[2] - p[0]), (q[3] - q[1]) / (q[2] - q[0])
+    return (q[1] - b * q[0] - p[1] + a * p[0]) / (a - b) if abs(a - b) > EPS else None
+
+
+def _cut(p: Piece, low: float, high: float) -> Piece:
+    return low, _at(p, low), high, _at(p, high)
+
+
+def connect(segments: list[Piece], size: float) -> list[tuple[float, float]]:
+    """One line of (distance along, height) from 0 to ``size`` out of an edge's segments, the best first.
+
+    Each segment takes what is still free of the edge. Where it runs into an earlier one and the two cross
+    there, both end at the crossing; else the earlier one keeps its place. What is left free between two is shared at the crossing of
+    their lines if that lies there, else halfway; at the edge's ends the outer ones are drawn out. Segments that are
+    upright along the edge, or outside it, show nothing.
+    """
+    kept: list[Piece] = []
+    for x0, y0, x1, y1 in segments:
+        new = (x0, y0, x1, y1) if x0 <= x1 else (x1, y1, x0, y0)
+        if new[2] - new[0] <= EPS:
+            continue
+        kept.sort()
+        borders = [0.0, *[b for p in kept for b in (p[0], p[2])], size]
+        added = []
+        for i in range(len(kept) + 1):
+            low, high = max(borders[2 * i], new[0]), min(borders[2 * i + 1], new[2])
+            if high - low <= EPS:
+                continue
+            for j, here in ((i - 1, True), (i, False)):  # the earlier pieces before and after this free place
+                if not (0 <= j < len(kept)) or (new[0] > borders[2 * i] if here else new[2] < borders[2 * i + 1]):
+                    continue
+                x = _meet(kept[j], new)
+                if x is not None and max(kept[j][0], new[0]) + EPS < x < min(kept[j][2], new[2]) - EPS:
+                    kept[j] = _cut(kept[j], kept[j][0], x) if here else _cut(kept[j], x, kept[j][2])
+                    low, high = (x, high) if here else (low, x)
+            added.append(_cut(new, low, high))
+        kept += added
+    kept.sort()
+    if not kept:
+        return []
+    ends = [0.0]
+    for p, q in zip(kept[:-1], kept[1:], strict=True):
+        x = _meet(p, q)
+        ends.append(x if x is not None and p[2] <= x <= q[0] else (p[2] + q[0]) / 2)
+    ends.append(size)
+    out: list[tuple[float, float]] = []
+    for p, low, high in zip(kept, ends[:-1], ends[1:], strict=True):
+        for x in (low, high):
+            point = (x, _at(p, x))
+            if not out or abs(point[0] - out[-1][0]) > 1e-6 or abs(point[1] - out[-1][1]) > 1e-6:
+                out.append(point)
+    return out
+
+
+def connected_lines(edges: DataFrame, segments: DataFrame) -> DataFrame:
+    """(edge_key, points): each edge's line in 3D, its segments joined without gaps from its start to its end.
+
+    Segments come together by edge (an edge has few); edges without any get no row.
+    """
+    size = F.sqrt(F.pow(F.col("end_x") - F.col("start_x"), 2) + F.pow(F.col("end_y") - F.col("start_y"), 2))
+    e = edges.select("edge_key", "start_x", "start_y", ((F.col("end_x") - F.col("start_x")) / size).alias("ux"), ((F.col("end_y") - F.col("start_y")) / size).alias("uy"), size.alias("size")).where("size > 0")
+    along = lambda i: (F.col(f"x{i}") - F.col("start_x")) * F.col("ux") + (F.col(f"y{i}") - F.col("start_y")) * F.col("uy")
+    of = segments.join(e, "edge_key").groupBy("edge_key", "start_x", "start_y", "ux", "uy", "size").agg(F.array_sort(F.collect_list(F.struct("segment", along(0).alias("t0"), "z0", along(1).alias("t1"), "z1"))).alias("s"))
+
+    @F.pandas_udf("array<struct<t:double,z:double>>")
+    def line(s: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([[{"t": t, "z": z} for t, z in connect([(r["t0"], r["z0"], r["t1"], r["z1"]) for r in row], n)] for row, n in zip(s, size, strict=True)])
+
+    place = F.transform("line", lambda p: F.struct((F.col("start_x") + p["t"] * F.col("ux")).alias("x"), (F.col("start_y") + p["t"] * F.col("uy")).alias("y"), p["z"].alias("z")))
+    return of.withColumn("line", line("s", "size")).where(F.size("line") > 1).select("edge_key", place.alias("points"))

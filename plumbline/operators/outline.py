@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
@@ -52,31 +52,56 @@ def building_links(overlaps: DataFrame) -> DataFrame:
     return overlaps.select(F.col("cleabs_a").alias("src"), F.col("cleabs_b").alias("dst")).where("src < dst").distinct()
 
 
+#: Ways of several links that a building keeps, and those of them that lead farthest.
+WAYS, FAR = 4, 2
+
+
 def reachable_roots(spark: SparkSession, buildings: DataFrame, links: DataFrame) -> DataFrame:
     """(cleabs, root_id): the least building from which a chain of src -> dst links leads here.
 
-    These are not connected components: of a -> c and b -> c, b stays alone. Each round hands the least root on
-    by one link, and then each building looks at its root's root, so a chain takes logarithmically many
-    rounds; only buildings whose root changed hand it on along links again. Roots only fall, so it ends.
+    These are not connected components: of a -> c and b -> c, b stays alone. Buildings that no link leads to
+    are roots and tell their followers once; rounds deal with the others alone. In each round a building takes the least root of those
+    before it that have a new one, and of a few buildings farther up, to which it keeps ways. Ways are put end to end in
+    each round, so they double in length, and roots come down a chain in logarithmically many rounds, whatever joins it
+    on the way. Ways only hasten what links do anyway: roots only fall, and it ends when no link hands on a new one.
     """
     scratch = Scratch(spark, "reach")
-    roots = scratch.keep(buildings.select("cleabs", F.col("cleabs").alias("root_id")), "roots-0")
-    links = scratch.keep(links, "links")
-    changed, k = roots, 0
+    links = scratch.keep(links.where("src <> dst").select("src", "dst").distinct(), "links")
+    inner = links.select(F.col("dst").alias("cleabs")).distinct()
+    known = inner.withColumnRenamed("cleabs", "src")
+    first = links.join(known, "src", "left_anti").groupBy(F.col("dst").alias("cleabs")).agg(F.min("src").alias("offer"))
+    roots = inner.join(first, "cleabs", "left").select("cleabs", F.least("cleabs", "offer").alias("root_id"), F.lit(True).alias("new"))
+    roots = scratch.keep(roots, "roots-0")
+    links = scratch.keep(links.join(known, "src", "left_semi"), "inner-links")
+
+    def chosen(ways: DataFrame, k: int) -> DataFrame:
+        """The farthest ways of each building, and some of the others, not the same ones each round."""
+        ways = ways.groupBy("dst", "via").agg(F.max("hops").alias("hops"))
+        far = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("hops"), F.xxhash64("via")))
+        other = F.row_number().over(Window.partitionBy("dst").orderBy(F.xxhash64("via", F.lit(k))))
+        ranked = ways.select("*", far.alias("far"), other.alias("other"))
+        return ranked.where((F.col("far") <= FAR) | (F.col("other") <= WAYS - FAR)).select("dst", "via", "hops")
+
+    ways = scratch.keep(chosen(links.select("dst", F.col("src").alias("via"), F.lit(1).alias("hops")), 0), "ways-0")
+    k = 0
     while True:
         k += 1
-        news = changed.select(F.col("cleabs").alias("via"), F.col("root_id").alias("offer"))
-        along = links.join(news, F.col("src") == F.col("via")).select("dst", "offer")
-        upper = roots.where("root_id <> cleabs").select(F.col("cleabs").alias("via"), F.col("root_id").alias("offer"))
-        jumps = roots.join(upper, F.col("root_id") == F.col("via")).select(F.col("cleabs").alias("dst"), "offer")
-        offers = along.union(jumps).groupBy("dst").agg(F.min("offer").alias("offer"))
-        now = roots.join(offers, roots.cleabs == offers.dst, "left")
-        now = scratch.keep(now.select("cleabs", F.least("root_id", "offer").alias("root_id"), (F.col("offer") < F.col("root_id")).alias("new")), f"roots-{k}")
+        news = roots.where("new").select(F.col("cleabs").alias("src"), F.col("root_id").alias("offer"))
+        along = links.join(news, "src").select("dst", "offer")
+        far = ways.join(roots.select(F.col("cleabs").alias("via"), F.col("root_id").alias("offer")), "via").select("dst", "offer")
+        offers = along.unionByName(far).groupBy(F.col("dst").alias("cleabs")).agg(F.min("offer").alias("offer"))
+        now = roots.join(offers, "cleabs", "left")
+        roots = scratch.keep(now.select("cleabs", F.least("root_id", "offer").alias("root_id"), F.coalesce(F.col("offer") < F.col("root_id"), F.lit(False)).alias("new")), f"roots-{k}")
         if k > 1:
             scratch.remove(f"roots-{k - 2}")
-        roots, changed = now.select("cleabs", "root_id"), now.where("new").select("cleabs", "root_id")
-        if changed.isEmpty():
-            return roots
+            scratch.remove(f"ways-{k - 2}")
+        if roots.where("new").isEmpty():
+            break
+        on = ways.select(F.col("dst").alias("via"), F.col("via").alias("farther"), F.col("hops").alias("more"))
+        longer = ways.join(on, "via").select("dst", F.col("farther").alias("via"), (F.col("hops") + F.col("more")).alias("hops"))
+        ways = scratch.keep(chosen(ways.unionByName(longer), k), f"ways-{k}")
+    found = roots.select("cleabs", F.col("root_id").alias("found"))
+    return buildings.select("cleabs").join(found, "cleabs", "left").select("cleabs", F.coalesce("found", "cleabs").alias("root_id"))
 
 
 def component_roots(spark: SparkSession, buildings: DataFrame, links: DataFrame) -> DataFrame:

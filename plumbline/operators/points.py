@@ -159,11 +159,20 @@ def weight(generated: Column, classification: Column) -> Column:
     return F.when(generated == 0, 1.0).when(generated == 1, 0.6).otherwise(0.2) * F.when(classification == BUILDING, 1.0).otherwise(0.3)
 
 
-def gap_runs(df: DataFrame, group: str, value: str, key: str, gap: float = 1.0) -> DataFrame:
-    """Runs of values without a step over ``gap``: group, run (from 0), its size and ends."""
-    w = Window.partitionBy(group).orderBy(value, key)
-    out = df.withColumn("__new", (F.col(value) - F.lag(value).over(w) > gap).cast("int"))
-    out = out.withColumn("run", F.coalesce(F.sum(F.coalesce("__new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+def gap_runs(df: DataFrame, group: str, value: str, key: str, gap: float = 1.0, bucket: float = 16.0) -> DataFrame:
+    """Runs of values without a step over ``gap``: group, run (from 0), its size and ends.
+
+    Steps are found inside buckets of the value; one row a bucket carries its last value and the number of its steps
+    on, so no task sees more of a group than a bucket of rows or its row per bucket. Rows without a value are left out.
+    """
+    rows = df.select(group, value, key).where(F.col(value).isNotNull()).withColumn("__b", F.floor(F.col(value) / bucket))
+    own, order = Window.partitionBy(group, "__b").orderBy(value, key), Window.partitionBy(group).orderBy("__b")
+    rows = rows.withColumn("__new", F.coalesce((F.col(value) - F.lag(value).over(own) > gap).cast("long"), F.lit(0)))
+    ends = rows.groupBy(group, "__b").agg(F.sum("__new").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
+    start = F.coalesce((F.col("first") - F.lag("last").over(order) > gap).cast("long"), F.lit(0))
+    ends = ends.withColumn("start", start).withColumn("base", F.sum(F.col("start") + F.col("n")).over(order) - F.col("n")).select(F.col(group).alias("__g"), F.col("__b").alias("__at"), "base")
+    rows = rows.withColumn("__run", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.join(ends, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__at"))).withColumn("run", F.col("base") + F.col("__run"))
     return out.groupBy(group, "run").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 

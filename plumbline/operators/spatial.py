@@ -48,34 +48,35 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: s
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-#: Time buckets of rows in one bucket of knots.
-KNOT_BUCKETS = 64
-
-
 def interpolate(df: DataFrame, time: str, knots: DataFrame, bucket: float, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """``df`` with the knots' columns at its times: between two knots linear, beyond them on the line of the
     first or last two. ``knots`` has t and the columns; of knots with one t the last row counts (by ``seq``).
 
-    A knot opens an interval up to the next one; an interval is shown in each time bucket that it covers
-    up to its end, so rows find their interval by an equi-join. Times before the first and after the last
-    bucket go to the end intervals, which are one row each.
+    A knot opens an interval up to the next one. Rows and knots are ordered together inside time buckets, where a row takes
+    the last knot before it; one row a bucket that holds any carries the last knot on, so a pause of any length between
+    knots costs nothing, and no task sees more than a bucket or the row per bucket. Times before the first and after the
+    last knot go to the end intervals.
     """
     knots = knots.where("t is not null").groupBy("t").agg(F.max_by(F.struct(*columns), "seq").alias("p"))
-    # A bucket's last knot leads to the first one of the next bucket that has any: one row a bucket.
-    knots = knots.withColumn("__b", F.floor(F.col("t") / (bucket * KNOT_BUCKETS)))
+    # A bucket's last knot leads to the first one of the next bucket that has any.
+    knots = knots.withColumn("__b", F.floor(F.col("t") / bucket))
     own, order = Window.partitionBy("__b").orderBy("t"), Window.orderBy("__b")
     firsts = knots.groupBy("__b").agg(F.min_by(F.struct("t", "p"), "t").alias("first"))
     after = firsts.select("__b", F.lead("first").over(order).alias("after"))
     pieces = knots.select("__b", "t", "p", F.lead("t").over(own).alias("t1"), F.lead("p").over(own).alias("p1")).join(after, "__b")
-    pieces = pieces.select("t", "p", F.coalesce("t1", "after.t").alias("t1"), F.coalesce("p1", "after.p").alias("p1")).where("t1 is not null")
-    ends = pieces.agg(F.min("t").alias("low"), F.max("t1").alias("high"), F.min_by(F.struct("t", "t1"), "t").alias("first"), F.max_by(F.struct("t", "t1"), "t").alias("last"))
-    e = F.broadcast(ends)  # one row
+    pieces = pieces.select("__b", F.struct("t", "p", F.coalesce("t1", "after.t").alias("t1"), F.coalesce("p1", "after.p").alias("p1")).alias("__k")).where("__k.t1 is not null")
+    ends = F.broadcast(pieces.agg(F.min("__k.t").alias("__low"), F.max("__k.t").alias("__high")))  # one row
     at = F.col(time)
-    held = df.join(e)
-    clamped = F.when(at < F.col("low"), F.col("first.t")).when(at >= F.col("high"), F.col("last.t")).otherwise(at)
-    held = held.withColumn("__at", clamped).withColumn("__b", F.floor(F.col("__at") / bucket)).drop("low", "high", "first", "last")
-    shown = pieces.withColumn("__k", F.explode(F.sequence(F.floor(F.col("t") / bucket), F.floor(F.col("t1") / bucket))))
-    found = held.join(shown, (F.col("__b") == F.col("__k")) & (F.col("__at") >= F.col("t")) & (F.col("__at") < F.col("t1")))
-    u = (at - F.col("t")) / (F.col("t1") - F.col("t"))
-    out = [((1 - u) * F.col(f"p.{c}") + u * F.col(f"p1.{c}")).alias(f"scanner_{c}") for c in columns]
-    return found.select(*[F.col(f"`{c}`") for c in df.columns], *out)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    held = df.join(ends).where(at.isNotNull()).select(F.greatest(F.least(at, F.col("__high")), F.col("__low")).alias("__at"), row.alias("__row"), F.lit(None).cast(pieces.schema["__k"].dataType).alias("__k"))
+    both = held.unionByName(pieces.select(F.col("__k.t").alias("__at"), F.lit(None).cast(held.schema["__row"].dataType).alias("__row"), "__k"))
+    both = both.withColumn("__b", F.floor(F.col("__at") / bucket))
+    # A knot comes before the rows of its time.
+    last = Window.partitionBy("__b").orderBy("__at", F.col("__k").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.groupBy("__b").agg(F.max_by("__k", F.when(F.col("__k").isNotNull(), F.col("__at"))).alias("k"))
+    carried = carried.select("__b", F.last("k", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    found = both.withColumn("__own", F.last("__k", True).over(last)).where("__row is not null").join(carried, "__b")
+    found = found.select("__row", F.coalesce("__own", "__before").alias("__k")).where("__k is not null")
+    u = (F.col(f"__row.`{time}`") - F.col("__k.t")) / (F.col("__k.t1") - F.col("__k.t"))
+    out = [((1 - u) * F.col(f"__k.p.{c}") + u * F.col(f"__k.p1.{c}")).alias(f"scanner_{c}") for c in columns]
+    return found.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns], *out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,15 +65,56 @@ def ring_samples(ring: Column, spacing: float) -> Column:
     return F.when(F.size(found) == 0, start).otherwise(found)
 
 
-def boundary_distance(pairs: DataFrame, key: str, source: str, target: str, spacing: float, name: str) -> DataFrame:
-    """(key, name): mean distance from samples of one multipolygon's rings to the other's boundary.
+#: Samples of one boundary that are measured at once against the other's edges.
+SAMPLES_AT_ONCE = 1 << 12
 
-    Samples are rows, so a long boundary is many small rows and not one large one.
-    """
-    rings = pairs.select(key, F.explode(F.flatten(source)).alias("r"), F.flatten(target).alias("t"))
-    samples = rings.select(key, F.explode(ring_samples(F.col("r"), spacing)).alias("p"), F.flatten(F.transform("t", geo.ring_edges)).alias("e"))
-    gap = F.array_min(F.transform("e", lambda e: geo.segment_distance(F.col("p.x"), F.col("p.y"), e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
-    return samples.groupBy(key).agg(F.avg(gap).alias(name))
+
+def _ring_arrays(shape) -> list[np.ndarray]:
+    return [np.array([(p["x"], p["y"]) for p in ring], float) for polygon in shape for ring in polygon if len(ring)]
+
+
+def _samples(ring: np.ndarray, spacing: float) -> np.ndarray:
+    """Points along a ring at 0, s, 2s, ... below its length; its first point if it has none."""
+    step = np.diff(ring, axis=0)
+    size = np.hypot(*step.T)
+    upto = np.concatenate([[0.0], np.cumsum(size)])
+    at = np.arange(int(np.ceil(upto[-1] / spacing))) * spacing
+    if not len(at):
+        return ring[:1]
+    edge = np.minimum(np.searchsorted(upto, at, "right") - 1, len(size) - 1)
+    part = (at - upto[edge]) / np.where(size[edge] > 0, size[edge], 1.0)
+    return ring[edge] + part[:, None] * step[edge]
+
+
+def _mean_gap(source: list[np.ndarray], target: list[np.ndarray], spacing: float) -> float:
+    a, d = np.concatenate([r[:-1] for r in target]), np.concatenate([np.diff(r, axis=0) for r in target])
+    square = np.maximum((d**2).sum(1), np.finfo(float).tiny)
+    total, n = 0.0, 0
+    for ring in source:
+        points = _samples(ring, spacing)
+        for k in range(0, len(points), SAMPLES_AT_ONCE):
+            gap = points[k : k + SAMPLES_AT_ONCE, None] - a
+            t = np.clip((gap * d).sum(2) / square, 0.0, 1.0)
+            total += np.sqrt(((gap - t[..., None] * d) ** 2).sum(2)).min(1).sum()
+        n += len(points)
+    return total / n
+
+
+def boundary_distances(spacing: float):
+    """A UDF: mean distances (there, back) from samples of each one of two multipolygons' rings to the other's boundary."""
+    if spacing <= 0:
+        raise ValueError("the spacing must be positive")
+
+    @F.pandas_udf("there double, back double")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            one, two = (_ring_arrays(s) if s is not None else [] for s in (x, y))
+            held = any(len(r) > 1 for r in one) and any(len(r) > 1 for r in two)
+            rows.append((_mean_gap(one, two, spacing), _mean_gap(two, one, spacing)) if held else (None, None))
+        return pd.DataFrame(rows, columns=["there", "back"], dtype=float)
+
+    return run
 
 
 def centroid(multipolygon: Column) -> Column:
@@ -103,18 +146,35 @@ def compare(pairs: DataFrame, key: str, truth: str, found: str, spacing: float)
     iou = F.pandas_udf(iou_series, "double")
     c = pairs.withColumns({"ct": centroid(F.col(truth)), "cf": centroid(F.col(found))})
     gap = F.coalesce(geo.length(F.col("ct.x") - F.col("cf.x"), F.col("ct.y") - F.col("cf.y")), F.lit(0.0))
-    base = c.select(key, iou(F.col(truth), F.col(found)).alias("iou"), gap.alias("centroid_distance_m"))
-    there = boundary_distance(pairs, key, truth, found, spacing, "ground_truth_to_scored_boundary_distance_m")
-    back = boundary_distance(pairs, key, found, truth, spacing, "scored_to_ground_truth_boundary_distance_m")
-    out = base.join(there, key, "left").join(back, key, "left")
-    both = (F.col("ground_truth_to_scored_boundary_distance_m") + F.col("scored_to_ground_truth_boundary_distance_m")) / 2
-    return out.withColumn("symmetric_boundary_distance_m", both)
-
-
-def summary(compared: DataFrame, n_truth: int | Column) -> DataFrame:
-    """Means of all measures (0 for none), and how many rows matched."""
-    names = ["iou", "ground_truth_to_scored_boundary_distance_m", "scored_to_ground_truth_boundary_distance_m", "symmetric_boundary_distance_m", "centroid_distance_m"]
-    return compared.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in names], F.count("*").alias("matched")).withColumn("ignored", F.lit(n_truth) - F.col("matched"))
+    measured = c.select(key, iou(F.col(truth), F.col(found)).alias("iou"), gap.alias("centroid_distance_m"), boundary_distances(spacing)(F.col(truth), F.col(found)).alias("d"))
+    there, back = F.col("d.there"), F.col("d.back")
+    return measured.select(
+        key, "iou", "centroid_distance_m", there.alias("ground_truth_to_scored_boundary_distance_m"), back.alias("scored_to_ground_truth_boundary_distance_m"), ((there + back) / 2).alias("symmetric_boundary_distance_m")
+    )
+
+
+MEASURES = ("iou", "ground_truth_to_scored_boundary_distance_m", "scored_to_ground_truth_boundary_distance_m", "symmetric_boundary_distance_m", "centroid_distance_m")
+
+
+def summary(compared: DataFrame, truth: DataFrame, scored: DataFrame) -> DataFrame:
+    """How many outlines there are on each side, matched and ignored, and the means of all measures (0 for none).
+
+    ``compared`` has one row a match; one-row aggregates are joined.
+    """
+    means = compared.agg(F.count("*").alias("matched_count"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}") for c in MEASURES])
+    sizes = truth.agg(F.count("*").alias("ground_truth_count")).crossJoin(scored.agg(F.count("*").alias("scored_count")))
+    out = sizes.crossJoin(means)
+    ignored = [(F.col(c) - F.col("matched_count")).alias(f"ignored_{c}") for c in ("ground_truth_count", "scored_count")]
+    return out.select("ground_truth_count", "scored_count", "matched_count", *ignored, *[f"mean_{c}" for c in MEASURES])
+
+
+def keep_columns(df: DataFrame, key: str, geometry: str, wanted: list[str]) -> list[str]:
+    """The wanted columns once each, without key and geometry; one that ``df`` lacks raises."""
+    out = [c for c in dict.fromkeys(wanted) if c not in (key, geometry)]
+    for c in out:
+        if c not in df.columns:
+            raise ValueError(f"the ground truth has no column {c}")
+    return out
 
 
 def snap_vertices(spark: SparkSession, vertices: DataFrame, threshold: float) -> DataFrame:

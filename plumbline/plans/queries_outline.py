@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import geo
 from plumbline.operators import grids, outline
+from plumbline.operators.keys import cyclic
+from plumbline.operators.simplify import simplify
 from plumbline.plans.scratch import Scratch
 from plumbline.sources import fixtures as fx
+from plumbline.sources import readers
 
 CROP = (10.0, 3.0, 120.0, 90.0)
 EDGE_COLUMNS = ["edge_key", "cleabs", "idx_polygon", "idx_ring", "idx_edge", "start_x", "start_y", "start_z", "end_x", "end_y", "end_z"]
@@ -67,6 +71,43 @@ def rebuild_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cleabs", F.size(F.element_at("geometry", 1)).cast("long").alias("n_rings"), size.cast("long").alias("n_points"))
 
 
+def edge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge with those before and after it in its ring."""
+    edges = outline.keyed_edges(spark, fx.buildings(spark, sf_dir))
+    return cyclic(edges, ["cleabs", "idx_polygon", "idx_ring"], "idx_edge", {"before": F.col("edge_key"), "after": F.col("edge_key")}).select("edge_key", "before", "after")
+
+
+def simplified_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines with a vertex at every metre, without those that no ring needs: points of each, and the area."""
+    out = simplify(spark, fx.dense(spark, sf_dir), "cleabs", "geometry")
+    return out.select("cleabs", F.aggregate(F.flatten("geometry"), F.lit(0), lambda s, r: s + F.size(r) - 1).cast("long").alias("n_points"), F.aggregate("geometry", F.lit(0.0), lambda s, p: s + geo.polygon_area(p)).alias("area"))
+
+
+def known_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the cropped edges in the overlaps of all edges, as they are read from files."""
+    return _read_known(spark, sf_dir)[0].select("edge_key_a", "edge_key_b", "row_a", "row_b")
+
+
+def _read_known(spark: SparkSession, sf_dir: str):
+    scratch = Scratch(spark, "known")
+    keyed, overlaps, groups = _parts(spark, sf_dir)
+    scratch.keep(outline.crop(groups, keyed, overlaps, CROP)[1], "edges")
+    scratch.keep(overlaps, "overlaps")
+    _, met, counters = readers.read_edges(spark, scratch.path("edges"), scratch.path("overlaps"))
+    return scratch.keep(met, "met"), counters
+
+
+def overlap_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many overlaps were read and skipped there, counted in the same pass."""
+    return _read_known(spark, sf_dir)[1].table(spark)
+
+
+def scored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that suppliers' keys name, by a list or a range that the scan is told."""
+    ids = fx.table(spark, sf_dir, "supplier").select("s_suppkey")
+    return readers.read_scored(spark, f"{sf_dir}/part.parquet", ids, "p_partkey", ["p_size", "p_brand"])
+
+
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = fx.points(spark, sf_dir).agg(*[F.expr(f"cast({f}({c} * 40) as bigint)").alias(f"{c.lower()}{n}") for c in "XY" for f, n in (("min", 0), ("max", 1))])
     return grids.tiles(box, 1000).select("tile_x", "tile_y", "name")
@@ -128,6 +169,11 @@ QUERIES = {
     "tile_grid": tile_grid,
     "best_tile_match": best_tile_match,
     "param_grid": param_grid,
+    "edge_neighbours": edge_neighbours,
+    "simplified_outlines": simplified_outlines,
+    "known_overlaps": known_overlaps,
+    "overlap_counters": overlap_counters,
+    "scored_scan": scored_scan,
 }
 ORACLE_SQL = {
     "edges_unnest": fx.with_views("edges") + f" SELECT {_EDGES} FROM edges",
@@ -143,4 +189,17 @@ ORACLE_SQL = {
     "tile_grid": TILES_SQL,
     "best_tile_match": BEST_SQL,
     "param_grid": PARAM_SQL,
+    "edge_neighbours": fx.with_views("edges") + """ SELECT edge_key, coalesce(lag(edge_key) OVER w, last_value(edge_key) OVER a) AS before, coalesce(lead(edge_key) OVER w, first_value(edge_key) OVER a) AS after FROM edges
+  WINDOW w AS (PARTITION BY cleabs, idx_polygon, idx_ring ORDER BY idx_edge), a AS (PARTITION BY cleabs, idx_polygon, idx_ring ORDER BY idx_edge ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    # A point along a wall stays only where another outline turns.
+    "simplified_outlines": fx.with_views("verts") + """, turns AS (SELECT DISTINCT x, y FROM verts),
+along AS (SELECT cleabs, x, y FROM bld, LATERAL (SELECT unnest(range(CAST(x0 AS BIGINT) + 1, CAST(x1 AS BIGINT))) AS x) u, LATERAL (VALUES (y0), (y1)) v(y)
+  UNION ALL SELECT cleabs, x, y FROM bld, LATERAL (SELECT unnest(range(CAST(y0 AS BIGINT) + 1, CAST(y1 AS BIGINT))) AS y) u, LATERAL (VALUES (x0), (x1)) v(x)),
+kept AS (SELECT cleabs, count(*) AS n FROM along JOIN turns ON along.x = turns.x AND along.y = turns.y GROUP BY cleabs)
+SELECT cleabs, CAST(CASE WHEN k % 7 = 0 THEN 8 ELSE 4 END + coalesce(n, 0) AS BIGINT) AS n_points, (x1 - x0) * (y1 - y0) - CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS area FROM bld LEFT JOIN kept USING (cleabs)""",
+    "known_overlaps": REACH + _CROP + """, r AS (SELECT edge_key, row_number() OVER (ORDER BY edge_key) - 1 AS row FROM own)
+SELECT edge_key_a, edge_key_b, a.row AS row_a, b.row AS row_b FROM shared_walls JOIN r a ON a.edge_key = edge_key_a JOIN r b ON b.edge_key = edge_key_b""",
+    "overlap_counters": REACH + _CROP + """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE edge_key_a NOT IN (SELECT edge_key FROM own) OR edge_key_b NOT IN (SELECT edge_key FROM own)) AS s FROM shared_walls)
+SELECT 'overlaps_read' AS counter, n AS value FROM c UNION ALL SELECT 'overlaps_skipped', s FROM c""",
+    "scored_scan": "SELECT p_partkey, p_size, p_brand FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)",
 }

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import points as P
+from plumbline.operators.counters import Counters
 from plumbline.operators.spatial import interpolate, nearest
+from plumbline.plans.scratch import Scratch
 from plumbline.sources import fixtures as fx
 
+
 def reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reclassify(fx.points(spark, sf_dir)).groupBy("Classification").agg(F.count("*").alias("n"))
 
@@ -85,12 +88,22 @@ def single_echo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.single_echo(fx.points(spark, sf_dir), lined, P.ray_neighbours(lined))
 
 
+def ray_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays by their echoes, points on edges and façades, counted while the points are written."""
+    counters, scratch = Counters(), Scratch(spark, "ray-counters")
+    rays_ = counters.watch(P.rays(fx.points(spark, sf_dir)), rays=F.count("*"), rays_single=F.count_if(F.col("n_returns") == 1), rays_multi=F.count_if(F.col("n_returns") > 1))
+    scratch.keep(rays_, "rays")
+    marked = counters.watch(P.multi_echo(fx.points(spark, sf_dir)), points=F.count("*"), points_edge=F.count_if("is_edge"), points_facade=F.count_if("is_facade"))
+    scratch.keep(marked, "points")
+    return counters.table(spark)
+
+
 def point_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.points(spark, sf_dir).select("point_id", F.round(P.weight(F.col("point_id") % 3, F.col("Classification")), 6).alias("weight"))
 
 
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.gap_runs(fx.points(spark, sf_dir), "PointSourceId", "X", "point_id")
+    return P.gap_runs(fx.points(spark, sf_dir), "PointSourceId", "GpsTime", "point_id", 0.5)
 
 
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +153,7 @@ SELECT point_id, g AS gain, round((X + rx) / 2, 6) AS x, round((Y + ry) / 2, 6)
 
 QUERIES = {f.__name__: f for f in (
     reclassify, reclassify_chain, class_filter, split_counts, merge_points, las_bounds, inward_roof, inward_facade, rays, return_numbers, scan_lines, trajectory_interp,
-    ray_neighbours, multi_echo_edges, facade_points, single_echo_edges, point_weights, gap_runs, nearest_points, principal_axes,
+    ray_neighbours, multi_echo_edges, facade_points, single_echo_edges, ray_counters, point_weights, gap_runs, nearest_points, principal_axes,
 )}
 ORACLE_SQL = {
     "reclassify": _PTS + " SELECT CASE WHEN Classification IN (1, 64, 65, 67) THEN 6 ELSE Classification END AS Classification, count(*) AS n FROM pts GROUP BY 1",
@@ -159,10 +172,14 @@ ORACLE_SQL = {
     "multi_echo_edges": _PTS + _ECHO.format("pts") + " SELECT point_id, gain, gain > 2 AS is_edge FROM echo",
     "facade_points": _PTS + _ECHO.format("pts") + " SELECT point_id FROM echo e WHERE is_last AND EXISTS (SELECT 1 FROM echo o WHERE o.GpsTime = e.GpsTime AND o.gain > 2 AND o.Classification NOT IN (3, 4, 5))",
     "single_echo_edges": _ALL + _NEIGHBOURS + _ECHO.format("cloud") + _SINGLE,
+    "ray_counters": _PTS + _ECHO.format("pts") + """, r AS (SELECT GpsTime, count(*) AS n FROM pts GROUP BY GpsTime),
+t AS (SELECT (SELECT count(*) FROM r) AS rays, (SELECT count(*) FROM r WHERE n = 1) AS rays_single, (SELECT count(*) FROM r WHERE n > 1) AS rays_multi, count(*) AS points, count(*) FILTER (WHERE gain > 2) AS points_edge,
+  count(*) FILTER (WHERE is_last AND EXISTS (SELECT 1 FROM echo o WHERE o.GpsTime = e.GpsTime AND o.gain > 2 AND o.Classification NOT IN (3, 4, 5))) AS points_facade FROM echo e)
+UNPIVOT t ON rays, rays_single, rays_multi, points, points_edge, points_facade INTO NAME counter VALUE value""",
     "point_weights": _PTS + " SELECT point_id, round(CASE point_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END * CASE WHEN Classification = 6 THEN 1.0 ELSE 0.3 END, 6)::DOUBLE AS weight FROM pts",
-    "gap_runs": _PTS + """, s AS (SELECT *, coalesce(CAST(X - lag(X) OVER (PARTITION BY PointSourceId ORDER BY X, point_id) > 1 AS INTEGER), 0) AS brk FROM pts),
-r AS (SELECT *, sum(brk) OVER (PARTITION BY PointSourceId ORDER BY X, point_id ROWS UNBOUNDED PRECEDING) AS run FROM s)
-SELECT PointSourceId, CAST(run AS BIGINT) AS run, count(*) AS n, min(X) AS low, max(X) AS high FROM r GROUP BY PointSourceId, run""",
+    "gap_runs": _PTS + """, s AS (SELECT *, coalesce(CAST(GpsTime - lag(GpsTime) OVER (PARTITION BY PointSourceId ORDER BY GpsTime, point_id) > 0.5 AS INTEGER), 0) AS brk FROM pts),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY PointSourceId ORDER BY GpsTime, point_id ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT PointSourceId, CAST(run AS BIGINT) AS run, count(*) AS n, min(GpsTime) AS low, max(GpsTime) AS high FROM r GROUP BY PointSourceId, run""",
     "nearest_points": _PTS + """, d AS (SELECT p.point_id AS a, q.point_id AS b, row_number() OVER (PARTITION BY p.point_id ORDER BY (p.X - q.X) * (p.X - q.X) + (p.Y - q.Y) * (p.Y - q.Y), q.point_id) AS rank
   FROM pts p JOIN pts q ON p.Classification = 5 AND q.Classification = 6 AND q.X BETWEEN p.X - 4 AND p.X + 4 AND (p.X - q.X) * (p.X - q.X) + (p.Y - q.Y) * (p.Y - q.Y) <= 16)
 SELECT a, b, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 3""",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
-from plumbline.operators import roofs, validation
+from plumbline.operators import arrange, roofs, validation
 from plumbline.operators.keys import numbered
 from plumbline.plans.scratch import Scratch
 from plumbline.sources import fixtures as fx
@@ -53,8 +53,7 @@ def compare_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = fx.buildings(spark, sf_dir).count()
-    return validation.summary(_compared(spark, sf_dir).select("cleabs", *[F.round(c, 6).alias(c) for c in MEASURES]), n).drop("iou").withColumnsRenamed({c: c for c in MEASURES})
+    return validation.summary(compare_individual(spark, sf_dir), fx.buildings(spark, sf_dir), fx.scored(spark, sf_dir))
 
 
 def compare_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +72,46 @@ def boundary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("cleabs").agg(F.count("*").alias("n"), F.round(F.sum("p.x"), 6).alias("sx"), F.round(F.sum("p.y"), 6).alias("sy"))
 
 
+def touching_slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of leaning outlines with holes, some of them filled, that touch."""
+    return arrange.touching(spark, fx.slanted(spark, sf_dir), "cleabs", "geometry")
+
+
+def _perimeter(rings: Column) -> Column:
+    return F.aggregate(F.flatten(F.transform(rings, geo.ring_edges)), F.lit(0.0), lambda s, e: s + geo.length(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+
+
+def dissolve_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of each group of touching buildings with their scored outlines (which overlap them): area, length of the boundary, corners."""
+    b = fx.buildings(spark, sf_dir)
+    groups = validation.aggregated(spark, b, "cleabs", BOX)
+    members = Scratch(spark, "dissolve-groups").keep(groups.select("ground_truth_aggregate_id", F.explode("ground_truth_ids").alias("cleabs")), "members")
+    shapes = b.select("cleabs", F.lit("truth").alias("kind"), "geometry").unionByName(_found(spark, sf_dir).select("cleabs", F.lit("scored").alias("kind"), F.col("found").alias("geometry")))
+    shapes = shapes.join(members, "cleabs").select("ground_truth_aggregate_id", F.concat_ws("/", "cleabs", "kind").alias("shape"), "geometry")
+    rings = F.flatten("geometry")
+    out = arrange.dissolve(spark, shapes, "ground_truth_aggregate_id", "shape", "geometry")
+    return out.select("ground_truth_aggregate_id", F.round("area", 6).alias("area"), F.round(_perimeter(rings), 6).alias("boundary"), F.aggregate(rings, F.lit(0), lambda s, r: s + F.size(r) - 1).cast("long").alias("corners"))
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of five kinds: sound, crossed over (a bow tie), with a spike, given twice around, and crossed over with a hole in one half."""
+    b = fx.buildings(spark, sf_dir)
+    at = lambda u, v: F.struct((F.col("x0") + u * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + v * (F.col("y1") - F.col("y0"))).alias("y"), F.lit(0.0).alias("z"))
+    line = lambda *p: F.array(*[at(u, v) for u, v in p])
+    round_ = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    tie = line((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))
+    kinds = (F.array(line(*round_, (0, 0))), F.array(tie), F.array(line((0, 0), (1, 0), (1.5, 0.5), (1, 0), (1, 1), (0, 1), (0, 0))), F.array(line(*round_, *round_, (0, 0))), F.array(tie, line((0.75, 0.5), (1, 0.5), (0.875, 0.625), (0.75, 0.5))))
+    kind = F.lit(None)
+    for i, k in enumerate(kinds):
+        kind = F.when(F.col("k") % 5 == i, F.array(k)) if i == 0 else kind.when(F.col("k") % 5 == i, F.array(k))
+    return b.select("cleabs", kind.alias("geometry"))
+
+
+def valid_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = arrange.make_valid(spark, _broken(spark, sf_dir), "cleabs", "geometry")
+    return out.select("cleabs", F.size("geometry").cast("long").alias("polygons"), F.aggregate("geometry", F.lit(0), lambda s, p: s + F.size(p)).cast("long").alias("rings"), F.round("area", 6).alias("area"))
+
+
 def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fx.buildings(spark, sf_dir).select("cleabs", "k", F.explode("geometry").alias("p")).select("cleabs", "k", F.posexplode("p").alias("ring", "r"))
     v = b.select("cleabs", "k", "ring", F.posexplode(F.slice("r", 1, 4)).alias("i", "q"))
@@ -114,6 +153,7 @@ snapped AS (SELECT node AS vertex, r.x, r.y FROM (SELECT node, min(root) AS root
 
 QUERIES = {f.__name__: f for f in (
     faces_contain, under_roof, polygon_measures, touching_components, compare_individual, compare_summary, compare_aggregated, boundary_samples, vertex_snap, clean_topology,
+    touching_slanted, dissolve_groups, valid_outlines,
 )}
 ORACLE_SQL = {
     "faces_contain": fx.with_views("bld", "pts") + """ SELECT cleabs, count(*) AS n FROM bld b JOIN pts p ON p.X BETWEEN x0 AND x1 AND p.Y BETWEEN y0 AND y1
@@ -124,7 +164,8 @@ ORACLE_SQL = {
     "polygon_measures": fx.with_views("bld") + " SELECT cleabs, (x1 - x0) * (y1 - y0) - CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS area, (x1 - x0) * (y1 - y0) AS exterior, CAST(CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS rings FROM bld",
     "touching_components": _TOUCH + " SELECT ground_truth_aggregate_id, ground_truth_ids FROM agg",
     "compare_individual": _CMP + " SELECT * FROM c",
-    "compare_summary": _CMP + " SELECT " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in MEASURES[1:]) + ", count(*) AS matched, (SELECT count(*) FROM bld) - count(*) AS ignored FROM c",
+    "compare_summary": _CMP + " SELECT (SELECT count(*) FROM bld) AS ground_truth_count, (SELECT count(*) FROM scored) AS scored_count, count(*) AS matched_count, (SELECT count(*) FROM bld) - count(*) AS ignored_ground_truth_count, (SELECT count(*) FROM scored) - count(*) AS ignored_scored_count, "
+    + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS mean_{c}" for c in MEASURES) + " FROM c",
     "compare_aggregated": _TOUCH.replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1) + ", " + fx.SQL["scored"] + """,
 m AS (SELECT ground_truth_aggregate_id AS g, unnest(ground_truth_ids) AS cleabs FROM agg),
 -- cells of half a metre
@@ -134,6 +175,23 @@ i AS (SELECT g, count(*) AS n FROM ta JOIN sa USING (g, cx, cy) GROUP BY g),
 a AS (SELECT g, count(*) AS n FROM ta GROUP BY g), b AS (SELECT g, count(*) AS n FROM sa GROUP BY g),
 k AS (SELECT g, count(*) AS n_scored FROM m JOIN scored USING (cleabs) GROUP BY g)
 SELECT g AS ground_truth_aggregate_id, round(coalesce(i.n, 0) / (a.n + b.n - coalesce(i.n, 0)), 6) AS iou, n_scored FROM k JOIN a USING (g) JOIN b USING (g) LEFT JOIN i USING (g)""",
+    # Leaning keeps what touches and what crosses, so the upright boxes decide; a house in a hole touches its own building alone.
+    "touching_slanted": fx.with_views("bld") + """ SELECT a.cleabs AS a, b.cleabs AS b FROM bld a JOIN bld b ON a.cleabs < b.cleabs AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
+   AND NOT (least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0))
+ UNION ALL SELECT cleabs, 'INNER' || cleabs FROM bld WHERE k % 14 = 0""",
+    "dissolve_groups": _TOUCH + ", " + fx.SQL["scored"] + """,
+m AS (SELECT ground_truth_aggregate_id AS g, unnest(ground_truth_ids) AS cleabs FROM agg),
+-- cells of half a metre that belong to any outline of the group; the first seventh has holes
+c AS (SELECT g, cx, cy FROM m JOIN bld USING (cleabs), LATERAL (SELECT unnest(range(CAST(x0 * 2 AS BIGINT), CAST(x1 * 2 AS BIGINT))) AS cx) u1, LATERAL (SELECT unnest(range(CAST(y0 * 2 AS BIGINT), CAST(y1 * 2 AS BIGINT))) AS cy) u2
+   WHERE NOT (k % 7 = 0 AND cx BETWEEN x0 * 2 + 2 AND x0 * 2 + 3 AND cy BETWEEN y0 * 2 + 2 AND y0 * 2 + 3)
+  UNION SELECT g, cx, cy FROM m JOIN scored USING (cleabs), LATERAL (SELECT unnest(range(CAST(sx0 * 2 AS BIGINT), CAST(sx1 * 2 AS BIGINT))) AS cx) u1, LATERAL (SELECT unnest(range(CAST(sy0 * 2 AS BIGINT), CAST(sy1 * 2 AS BIGINT))) AS cy) u2),
+side AS (SELECT g, count(*) AS n FROM c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy) WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.g = c.g AND o.cx = c.cx + dx AND o.cy = c.cy + dy) GROUP BY g),
+-- a corner: a point with one or three cells of four around it, or two that meet in it only (both turn there)
+around AS (SELECT g, cx + dx AS px, cy + dy AS py, count(*) AS n, list(dx * 2 + dy ORDER BY dx * 2 + dy) AS which FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dx, dy) GROUP BY g, px, py),
+corner AS (SELECT g, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND (which = [0, 3] OR which = [1, 2]) THEN 2 ELSE 0 END) AS n FROM around GROUP BY g)
+SELECT g AS ground_truth_aggregate_id, a.n / 4 AS area, side.n / 2 AS boundary, CAST(corner.n AS BIGINT) AS corners FROM (SELECT g, count(*) AS n FROM c GROUP BY g) a JOIN side USING (g) JOIN corner USING (g)""",
+    "valid_outlines": fx.with_views("bld") + """ SELECT cleabs, CAST(CASE WHEN k % 5 IN (1, 4) THEN 2 ELSE 1 END AS BIGINT) AS polygons, CAST(CASE k % 5 WHEN 1 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS BIGINT) AS rings,
+   round((x1 - x0) * (y1 - y0) * CASE k % 5 WHEN 1 THEN 0.5 WHEN 4 THEN 0.5 - 0.015625 ELSE 1 END, 6)::DOUBLE AS area FROM bld""",
     "boundary_samples": fx.with_views("verts") + """, e AS (SELECT a.cleabs, a.ring, a.x AS ax, a.y AS ay, b.x AS b_x, b.y AS b_y, abs(b.x - a.x) + abs(b.y - a.y) AS d,
   coalesce(sum(abs(b.x - a.x) + abs(b.y - a.y)) OVER (PARTITION BY a.cleabs, a.ring ORDER BY a.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM verts a JOIN verts b ON a.cleabs = b.cleabs AND a.ring = b.ring AND b.i = a.i + 1),

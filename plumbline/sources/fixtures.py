@@ -40,14 +40,18 @@ def k_of(n: int) -> Column:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A laser cloud: point_id, ray, X, Y, Z, Classification, GpsTime, ScanDirectionFlag, ScanAngleRank, PointSourceId."""
+    """A laser cloud: point_id, ray, X, Y, Z, Classification, GpsTime, ScanDirectionFlag, ScanAngleRank, PointSourceId.
+
+    Two points share a GPS time, but every third pair has a time for each, so its rays have one return.
+    """
     i = F.col("event_id")
     ray = F.floor(i / 2)
+    apart = F.when(ray % 3 == 0, i % 2).otherwise(0) / 65536
     kind = F.col("event_type")
     classes = F.when(kind == "click", 6).when(kind == "view", 2).when(kind == "purchase", 1).when(kind == "signup", 5).otherwise(67)
     return table(spark, sf_dir, "events").select(
         i.alias("point_id"), ray.alias("ray"), ((i * 37 % 1280) / 8).alias("X"), ((i * 101 % 1600) / 8).alias("Y"), ((i * 13 % 160) / 8).alias("Z"), classes.alias("Classification"),
-        (ray / 32768 + F.floor(ray / 50)).alias("GpsTime"), (F.floor(i / 100) % 2).cast("int").alias("ScanDirectionFlag"), (ray % 25).cast("int").alias("ScanAngleRank"), (F.col("user_id") % 4).cast("int").alias("PointSourceId"),
+        (ray / 32768 + apart + F.floor(ray / 50)).alias("GpsTime"), (F.floor(i / 100) % 2).cast("int").alias("ScanDirectionFlag"), (ray % 25).cast("int").alias("ScanAngleRank"), (F.col("user_id") % 4).cast("int").alias("PointSourceId"),
     )
 
 
@@ -72,6 +76,49 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buildings(spark, sf_dir).select("cleabs", F.lit(0).alias("face"), F.array(ring).alias("polygon"))
 
 
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buildings with a vertex at every metre of their outlines (cleabs, geometry)."""
+    along = lambda a, b: F.transform(F.sequence(F.lit(0), (F.abs(b["x"] - a["x"]) + F.abs(b["y"] - a["y"])).cast("int") - 1), lambda i: F.struct((a["x"] + i * F.signum(b["x"] - a["x"])).alias("x"), (a["y"] + i * F.signum(b["y"] - a["y"])).alias("y")))
+    closed = lambda r: F.concat(F.flatten(F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), along)), F.transform(F.slice(r, 1, 1), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+    return buildings(spark, sf_dir).select("cleabs", F.transform("geometry", lambda p: F.transform(p, closed)).alias("geometry"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses on a grid of ten metres, so that none is near another: cleabs, k, box columns and geometry."""
+    b = buildings(spark, sf_dir).select("cleabs", "k", "z", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    b = b.select("cleabs", "k", "z", (10 * (F.col("k") % 40)).cast("double").alias("x0"), (10 * F.floor(F.col("k") / 40)).cast("double").alias("y0"), "w", "h")
+    b = b.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}).drop("w", "h")
+    return b.withColumn("geometry", F.array(F.array(rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("z")))))
+
+
+def block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four edges of each of these houses, with a key of their own: 4 * k + the edge's number."""
+    corner = lambda i, c: F.col("geometry")[0][0][i][c]
+    e = blocks(spark, sf_dir).select("cleabs", "k", "z", "geometry", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx_edge"))
+    return e.select((4 * F.col("k") + F.col("idx_edge")).alias("edge_key"), "cleabs", F.lit(0).alias("idx_polygon"), F.lit(0).alias("idx_ring"), "idx_edge", F.col("k"), "z", *[corner(F.col("idx_edge") + j, c).alias(f"{n}_{c}") for n, j in (("start", 0), ("end", 1)) for c in "xy"])
+
+
+def eaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of two lines along each of these edges (point_id, X, Y, Z): 13 that rise from the edge's start, and 11 that go on behind a
+    gap 8 higher (k % 3 = 0), behind a gap on a steeper line that starts where the other one leads (1), or over the other one's
+    end 8 higher (2)."""
+    e = block_edges(spark, sf_dir).select("edge_key", "k", "z", "start_x", "start_y", F.signum(F.col("end_x") - F.col("start_x")).alias("ux"), F.signum(F.col("end_y") - F.col("start_y")).alias("uy"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
+    n, kind = F.col("j") - 13, F.col("k") % 3
+    t = F.when(F.col("j") < 13, F.col("j") / 8).when(kind == 2, 1 + n / 8).otherwise(1.625 + n / 8)
+    z = F.when(F.col("j") < 13, t / 2).when(kind == 1, 0.78125 + 4 * (t - 1.5625)).otherwise(8 + t / 2)
+    e = e.withColumn("t", t)
+    return e.select((F.col("edge_key") * 24 + F.col("j")).alias("point_id"), (F.col("start_x") + F.col("t") * F.col("ux")).alias("X"), (F.col("start_y") + F.col("t") * F.col("uy")).alias("Y"), (F.col("z") + z).alias("Z"))
+
+
+def slanted(spark: SparkSession, sf_dir: str, inner: bool = True) -> DataFrame:
+    """The buildings with their holes, leaned over (x + y / 2), and in every other hole a house that fills it: cleabs, geometry."""
+    lean = lambda c: F.transform(c, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct((q["x"] + q["y"] / 2).alias("x"), q["y"].alias("y")))))
+    b = buildings(spark, sf_dir)
+    own = b.select("cleabs", lean("geometry").alias("geometry"))
+    fill = b.where(k_of(14)).select(F.concat(F.lit("INNER"), F.col("cleabs")).alias("cleabs"), lean(F.array(F.array(F.col("geometry")[0][1]))).alias("geometry"))
+    return own.unionByName(fill) if inner else own
+
+
 #: The same views in SQL, each after those that it needs.
 SQL = {
     "bld": """bld AS (SELECT *, x0 + 3 + s % 2 AS x1, y0 + 3 + (s // 2) % 2 AS y1 FROM (
@@ -95,7 +142,7 @@ SQL = {
     "links": "links AS (SELECT DISTINCT cleabs_a AS src, cleabs_b AS dst FROM shared_walls WHERE cleabs_a < cleabs_b)",
     "pts": """pts AS (SELECT event_id AS point_id, event_id // 2 AS ray, (event_id * 37 % 1280) / 8 AS X, (event_id * 101 % 1600) / 8 AS Y, (event_id * 13 % 160) / 8 AS Z,
         CASE event_type WHEN 'click' THEN 6 WHEN 'view' THEN 2 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 5 ELSE 67 END AS Classification,
-        (event_id // 2) / 32768 + ((event_id // 2) // 50) AS GpsTime, CAST((event_id // 100) % 2 AS INTEGER) AS ScanDirectionFlag,
+        (event_id // 2) / 32768 + CASE WHEN (event_id // 2) % 3 = 0 THEN event_id % 2 ELSE 0 END / 65536 + ((event_id // 2) // 50) AS GpsTime, CAST((event_id // 100) % 2 AS INTEGER) AS ScanDirectionFlag,
         CAST((event_id // 2) % 25 AS INTEGER) AS ScanAngleRank, CAST(user_id % 4 AS INTEGER) AS PointSourceId FROM events)""",
     "knots": "knots AS (SELECT event_id AS seq, (event_id // 2) / 32768 + ((event_id // 2) // 50) AS t FROM events WHERE event_id % 500 = 250)",
     "scored": "scored AS (SELECT cleabs, x0 + (k % 3) / 2 AS sx0, y0 AS sy0, x1 + (k % 3) / 2 AS sx1, y1 AS sy1 FROM bld WHERE k % 11 <> 0)",

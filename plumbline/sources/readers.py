@@ -7,6 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import geo
+from plumbline.operators.counters import Counters
+from plumbline.operators.keys import numbered
 from plumbline.sources.wkb import from_wkb
 
 #: Stored types that may be read as a narrower or signed one, with a checked cast.
@@ -33,17 +36,45 @@ def read_columns(spark: SparkSession, path: str, wanted: dict[str, str]) -> Data
 
 
 def read_outlines(spark: SparkSession, path: str, key: str = "cleabs", geometry: str = "geometry") -> DataFrame:
-    """Outlines from Parquet with well-known binary: all columns, the geometry parsed, the number in the id added;
-    rows without id or geometry are left out."""
+    """Outlines from Parquet with well-known binary: all columns, the geometry parsed and its rings turned (exteriors
+    counter-clockwise, holes clockwise), the number in the id added; rows without id or geometry are left out."""
     raw = spark.read.parquet(path).where(F.col(key).isNotNull() & F.col(geometry).isNotNull())
     out = raw.withColumn(geometry, from_wkb(F.col(geometry))).where(F.col(geometry).isNotNull())
+    out = out.withColumn(geometry, F.transform(geometry, geo.force_ccw))
     return out.withColumn(f"{key}_int", F.substring(key, 9, 1 << 30).try_cast("bigint"))
 
 
-def read_edges(edges: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Overlaps whose two edges are known."""
-    keys = edges.select("edge_key")
-    return overlaps.join(keys.withColumnRenamed("edge_key", "edge_key_a"), "edge_key_a", "left_semi").join(keys.withColumnRenamed("edge_key", "edge_key_b"), "edge_key_b", "left_semi")
+def read_edges(spark: SparkSession, edges_path: str, overlaps_path: str) -> tuple[DataFrame, DataFrame, Counters]:
+    """Edges with their row (from 0, in the order of edge_key), and the overlaps whose two edges are known, as rows.
+
+    The counters tell, once the overlaps have been written or counted, how many were read and how many skipped.
+    """
+    edges = numbered(spark, spark.read.parquet(edges_path), ["edge_key"], "row", 0)
+    counters = Counters()
+    of = lambda p: edges.select(F.col("edge_key").alias(f"edge_key_{p}"), F.col("row").alias(f"row_{p}"))
+    met = spark.read.parquet(overlaps_path).join(of("a"), "edge_key_a", "left").join(of("b"), "edge_key_b", "left")
+    known = F.col("row_a").isNotNull() & F.col("row_b").isNotNull()
+    met = counters.watch(met, overlaps_read=F.count("*"), overlaps_skipped=F.count_if(~known))
+    return edges, met.where(known), counters
+
+
+#: Ids up to this many are pushed to the scan as a list.
+MOST_LISTED = 1000
+
+
+def read_scored(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The columns of the rows of a Parquet table whose key is among ``ids`` (one column).
+
+    Few ids reach the scan as a list; of more, the least and the largest do, which lets row groups of a clustered
+    table be skipped, and a semi join looks at the rest. The ids are counted first, and only a short list comes to the driver.
+    """
+    name = ids.columns[0]
+    ids = ids.select(F.col(f"`{name}`").alias("__id")).where("__id is not null").distinct()
+    seen = ids.agg(F.count("*").alias("n"), F.min("__id").alias("low"), F.max("__id").alias("high")).first()
+    found = spark.read.parquet(path).select(*dict.fromkeys([key, *columns]))
+    if seen["n"] <= MOST_LISTED:
+        return found.where(F.col(key).isin([r[0] for r in ids.collect()]))
+    return found.where(F.col(key).between(seen["low"], seen["high"])).join(ids, F.col(key) == F.col("__id"), "left_semi")
 
 
 def read_trajectory(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,78 @@ def test_long_chains_take_few_rounds(spark):
     assert got == dict(enumerate(want)) and len(rounds) < 20
 
 
+def test_roots_come_down_a_comb_in_few_rounds(spark):
+    """A chain in which each building also has a small source of its own."""
+    n = 48
+    chain = [(f"b{i:03}", f"b{i + 1:03}") for i in range(n)]
+    combs = [(f"a{n - i:03}", f"b{i:03}") for i in range(n + 1)]
+    names = sorted({x for p in chain + combs for x in p})
+    want, before = {}, {}
+    for x, y in sorted(chain + combs, key=lambda p: p[1]):
+        before.setdefault(y, []).append(x)
+    for x in names:
+        want[x] = min([x, *[want[y] for y in before.get(x, [])]])
+    rounds = []
+    original = Scratch.keep
+    try:
+        Scratch.keep = lambda self, df, name, *more, **named: (rounds.append(name), original(self, df, name, *more, **named))[1]
+        got = {r.cleabs: r.root_id for r in outline.reachable_roots(spark, spark.createDataFrame([(x,) for x in names], "cleabs string"), spark.createDataFrame(chain + combs, "src string, dst string")).collect()}
+    finally:
+        Scratch.keep = original
+    assert got == want and sum(r.startswith("roots-") for r in rounds) <= 10
+
+
+def test_roots_in_random_graphs(spark):
+    rng = random.Random(21)
+    names = [f"{i:03}" for i in range(150)]
+    pairs = [tuple(sorted(rng.sample(names, 2))) for _ in range(170)]
+    want = {}
+    for x in names:
+        want[x] = min([x, *[want[a] for a, b in pairs if b == x]])
+    got = {r.cleabs: r.root_id for r in outline.reachable_roots(spark, spark.createDataFrame([(x,) for x in names], "cleabs string"), spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got == want
+
+
+def test_runs_go_on_over_buckets(spark):
+    rng = random.Random(22)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[round(rng.uniform(-90, 90), 2)] * 9]), i) for i in range(300)]
+    got = sorted((str(r.g), r.run, r.n, r.low, r.high) for r in P.gap_runs(spark.createDataFrame(rows, "g string, v double, k long"), "g", "v", "k", 1.5, 4.0).collect())
+    want = []
+    for g in {r[0] for r in rows}:
+        values = sorted(v for h, v, _ in rows if h == g and v is not None)
+        cuts = [i for i in range(1, len(values)) if values[i] - values[i - 1] > 1.5]
+        want += [(str(g), n, b - a, values[a], values[b - 1]) for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(values)]))]
+    assert got == sorted(want) and len(want) > 20
+
+
+def test_interpolation_over_a_year_without_knots(spark):
+    knots = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0), (2, 31_536_000.0, 2.0), (3, 31_536_001.0, 5.0)], "seq long, t double, x double")
+    at = spark.createDataFrame([(0.5,), (1.0,), (15_768_000.5,), (31_536_000.5,), (None,)], "t double")
+    plan = spatial.interpolate(at, "t", knots, 1.0, ("x",))
+    got = {r.t: r.scanner_x for r in plan.collect()}
+    assert got == pytest.approx({0.5: 0.5, 1.0: 1.0, 15_768_000.5: 1.5, 31_536_000.5: 3.5})
+    assert "explode" not in plan._jdf.queryExecution().toString().lower()
+    assert spatial.interpolate(at, "t", knots.limit(1), 1.0, ("x",)).count() == 0
+
+
+def test_lines_along_an_edge_are_joined():
+    c = lines3d.connect
+    assert c([], 4.0) == []
+    assert c([(1.0, 2.0, 3.0, 2.0)], 4.0) == [(0.0, 2.0), (4.0, 2.0)]  # drawn out to both ends
+    assert c([(3.0, 2.0, 1.0, 2.0)], 4.0) == [(0.0, 2.0), (4.0, 2.0)]
+    assert c([(0.0, 0.0, 1.0, 0.0), (3.0, 1.0, 4.0, 1.0)], 4.0) == [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (4.0, 1.0)]  # halfway
+    assert c([(0.0, 0.0, 1.5, 1.5), (2.5, 1.5, 4.0, 0.0)], 4.0) == [(0.0, 0.0), (2.0, 2.0), (4.0, 0.0)]  # at the crossing in the gap
+    assert c([(0.0, 0.0, 3.0, 3.0), (1.0, 3.0, 4.0, 0.0)], 4.0) == [(0.0, 0.0), (2.0, 2.0), (4.0, 0.0)]  # at the crossing in the overlap
+    assert c([(0.0, 0.0, 3.0, 0.0), (2.0, 1.0, 4.0, 1.0)], 4.0) == [(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (4.0, 1.0)]  # the better one keeps its place
+    assert c([(1.0, 5.0, 2.0, 5.0), (0.0, 0.0, 4.0, 0.0)], 4.0) == [(0.0, 0.0), (1.0, 0.0), (1.0, 5.0), (2.0, 5.0), (2.0, 0.0), (4.0, 0.0)]  # on both sides
+    assert c([(0.0, 0.0, 4.0, 0.0), (1.0, 5.0, 2.0, 5.0)], 4.0) == [(0.0, 0.0), (4.0, 0.0)]  # covered
+    assert c([(2.0, 0.0, 2.0, 9.0), (-3.0, 1.0, 9.0, 1.0)], 4.0) == [(0.0, 1.0), (4.0, 1.0)]  # upright, and cut to the edge
+    rng = random.Random(5)
+    for _ in range(300):
+        out = c([(rng.uniform(-1, 9), rng.uniform(0, 3), rng.uniform(-1, 9), rng.uniform(0, 3)) for _ in range(rng.randint(1, 7))], 8.0)
+        assert not out or (out[0][0] == 0.0 and out[-1][0] == 8.0 and all(a[0] <= b[0] + 1e-9 for a, b in zip(out[:-1], out[1:])))
+
+
 def test_binned_joins_equal_brute_force(spark):
     rng = random.Random(3)
     boxes = [(i, x := rng.uniform(-20, 20), y := rng.uniform(-20, 20), x + rng.uniform(0, 9), y + rng.uniform(0, 9)) for i in range(120)]
@@ -129,7 +201,7 @@ def test_split_by_value_is_spread(spark, tmp_path):
     df = spark.range(2000).selectExpr("id", "if(id % 10 = 0, 6, 2) as Classification")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small parts would be put together
     try:
-        sinks.write_split(df, str(tmp_path / "split"), "Classification", files=4)
+        sinks.write_split(df, str(tmp_path / "split"), "Classification", rows_per_file=450)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(os.path.basename(p) for p in glob.glob(str(tmp_path / "split" / "C*"))) == ["Classification=2", "Classification=6"]

@@ -37,6 +37,7 @@ def test_equals_sql(spark, db, name):
     want = db.execute(__spark_entry__.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == names
+    assert got, "a query without rows shows nothing"
     assert got == sorted(repr([plain(r[columns.index(c)]) for c in names]) for r in want.fetchall())
 
 
