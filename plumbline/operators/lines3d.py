@@ -25,6 +25,8 @@ def interval_relation(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 #: A segment stays only if better ones leave more than this of its length along the edge.
 LEAST_UNCOVERED = 0.1
+#: Distances of points to lines that are held at once.
+PLACES = 1 << 18
 #: Shorter edges get no lines.
 LEAST_EDGE = 0.5
 
@@ -49,24 +51,30 @@ def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_s
         along = np.linalg.svd(xyz[:, :2] - xyz[:, :2].mean(0), full_matrices=False)[2][0]
     if len(xyz) >= 2:
         rng = np.random.default_rng([977, key % (1 << 63)])
-        pairs = rng.integers(0, len(xyz), (samples, 2))
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        for i, j in np.unique(np.sort(pairs, 1), axis=0):
-            d = xyz[j] - xyz[i]
-            size = np.linalg.norm(d)
-            if size < EPS:
-                continue
-            u = d / size
-            t = (xyz - xyz[i]) @ u
-            away = np.linalg.norm(xyz - xyz[i] - t[:, None] * u, axis=1)
-            held = np.nonzero(away <= threshold)[0]
-            order = held[np.argsort(t[held], kind="stable")]
-            for run in np.split(order, np.nonzero(np.diff(t[order]) > gap)[0] + 1):
-                score = float((1 - away[run] / threshold).sum())
-                if score > least_score:
-                    ends = xyz[i] + np.outer([t[run[0]], t[run[-1]]], u)
-                    places = xyz[run, :2] @ along
-                    found.append((score, frozenset(run.tolist()), ends, (places.min(), places.max())))
+        pairs = np.unique(np.sort(rng.integers(0, len(xyz), (samples, 2)), 1), axis=0)
+        d = xyz[pairs[:, 1]] - xyz[pairs[:, 0]]
+        size = np.linalg.norm(d, axis=1)
+        first, u = xyz[pairs[size >= EPS, 0]], d[size >= EPS] / size[size >= EPS, None]
+        step = max(1, PLACES // len(xyz))
+        for k in range(0, len(u), step):
+            rel = xyz - first[k : k + step, None]
+            t = np.einsum("pnc,pc->pn", rel, u[k : k + step])
+            away = np.linalg.norm(rel - t[..., None] * u[k : k + step, None], axis=2)
+            worth = np.where(away <= threshold, 1 - away / threshold, 0.0)
+            total = worth.sum(1)
+            able = np.nonzero(total > least_score)[0]  # no run has more than all together
+            able = able[np.argsort(-total[able], kind="stable")]
+            # Of lines with the same inliers the best one is looked at.
+            _, one = np.unique(np.packbits(away[able] <= threshold, axis=1), axis=0, return_index=True)
+            for i in able[np.sort(one)]:
+                held = np.nonzero(away[i] <= threshold)[0]
+                order = held[np.argsort(t[i, held], kind="stable")]
+                for run in np.split(order, np.nonzero(np.diff(t[i, order]) > gap)[0] + 1):
+                    score = float(worth[i, run].sum())
+                    if score > least_score:
+                        ends = first[k + i] + np.outer(t[i, run[[0, -1]]], u[k + i])
+                        places = xyz[run, :2] @ along
+                        found.append((score, frozenset(run.tolist()), ends, (places.min(), places.max())))
     found.sort(key=lambda x: (-x[0], sorted(x[1])))
     kept: list[tuple] = []
     for score, held, ends, span in found:
@@ -83,7 +91,9 @@ def edge_lines(df: DataFrame, samples: int = 1000, threshold: float = 0.3, least
         rows = fit_lines(int(group["edge_key"].iat[0]), group[["X", "Y", "Z"]].to_numpy(float), samples, threshold, least_score, gap, group[["ux", "uy"]].to_numpy(float)[0])
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
-    return df.select("edge_key", "X", "Y", "Z", "ux", "uy").groupBy("edge_key").applyInPandas(run, SEGMENTS)
+    # A number of its own keeps small tables, which are much work, in as many tasks as there are partitions.
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select("edge_key", "X", "Y", "Z", "ux", "uy").repartition(spread, "edge_key").groupBy("edge_key").applyInPandas(run, SEGMENTS)
 
 
 Piece = tuple[float, float, float, float]

@@ -98,8 +98,8 @@ _EAVES = fx.with_views("bld") + """, g AS (SELECT k, z, CAST(10 * (k % 40) AS DO
 e AS (SELECT 4 * k + n AS edge_key, k, z, gx + sx * w AS ax, gy + sy * h AS ay, CAST(vx AS DOUBLE) AS ux, CAST(vy AS DOUBLE) AS uy, CASE WHEN vx = 0 THEN h ELSE w END AS size
   FROM g, (VALUES (0, 0, 0, 1, 0), (1, 1, 0, 0, 1), (2, 1, 1, -1, 0), (3, 0, 1, 0, -1)) v(n, sx, sy, vx, vy)),
 l AS (SELECT edge_key, 0 AS segment, 13 AS n, CAST(0 AS DOUBLE) AS t0, CAST(1.5 AS DOUBLE) AS t1, z AS h0, z + 0.75 AS h1 FROM e
-  UNION ALL SELECT edge_key, 1, 11, CAST(CASE k % 3 WHEN 2 THEN 1.0 ELSE 1.625 END AS DOUBLE), CAST(CASE k % 3 WHEN 2 THEN 2.25 ELSE 2.875 END AS DOUBLE),
-    z + CASE k % 3 WHEN 0 THEN 8.8125 WHEN 1 THEN 1.03125 ELSE 8.5 END, z + CASE k % 3 WHEN 0 THEN 9.4375 WHEN 1 THEN 6.03125 ELSE 9.125 END FROM e)"""
+  UNION ALL SELECT edge_key, 1, 11, CAST(CASE k % 3 WHEN 1 THEN 2.25 WHEN 2 THEN 1.0 ELSE 1.625 END AS DOUBLE), CAST(CASE k % 3 WHEN 2 THEN 2.25 ELSE 2.875 END AS DOUBLE),
+    z + CASE k % 3 WHEN 0 THEN 8.8125 WHEN 1 THEN 3.9375 ELSE 8.5 END, z + CASE k % 3 WHEN 0 THEN 9.4375 WHEN 1 THEN 8.9375 ELSE 9.125 END FROM e)"""
 _WEIGHT = "CAST(CASE WHEN Classification = 6 THEN 1.0 ELSE 0.3 END AS DOUBLE) AS weight"
 QUERIES = {f.__name__: f for f in (roof_offset_argmin, foot_offset_argmin, edge_group_length, optimised_roofprints, optimised_footprints, circle_experiment, edge_lines, edge_lines_connected, interval_relation)}
 ORACLE_SQL = {
@@ -119,9 +119,9 @@ SELECT edge_key, CAST(segment AS INTEGER) AS segment, CAST(n AS INTEGER) AS n_in
    CASE WHEN f THEN qx ELSE px END AS x1, CASE WHEN f THEN qy ELSE py END AS y1, CASE WHEN f THEN qz ELSE pz END AS z1
 FROM (SELECT *, (px, py, pz) < (qx, qy, qz) AS f FROM p)""",
     "edge_lines_connected": _EAVES + """, n AS (SELECT edge_key, k, z, ax, ay, ux, uy, size, unnest(range(0, CASE k % 3 WHEN 1 THEN 3 ELSE 4 END)) AS i FROM e),
-c AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN i = CASE k % 3 WHEN 1 THEN 2 ELSE 3 END THEN size WHEN k % 3 = 2 THEN 1.5 ELSE 1.5625 END AS t,
+c AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN i = CASE k % 3 WHEN 1 THEN 2 ELSE 3 END THEN size WHEN k % 3 = 1 THEN 1.875 WHEN k % 3 = 2 THEN 1.5 ELSE 1.5625 END AS t,
   i < 2 AS low FROM n),
-d AS (SELECT *, z + CASE WHEN low THEN t / 2 WHEN k % 3 = 1 THEN 0.78125 + 4 * (t - 1.5625) ELSE 8 + t / 2 END AS h FROM c)
+d AS (SELECT *, z + CASE WHEN low THEN t / 2 WHEN k % 3 = 1 THEN 0.9375 + 8 * (t - 1.875) ELSE 8 + t / 2 END AS h FROM c)
 SELECT edge_key, CAST(i AS INTEGER) AS i, round(ax + t * ux, 6)::DOUBLE AS x, round(ay + t * uy, 6)::DOUBLE AS y, round(h, 6)::DOUBLE AS z FROM d""",
     "interval_relation": fx.with_views("bld") + """, p AS (SELECT a.k, a.x0 AS a0, a.x1 AS a1, b.x0 + b.k % 5 - 2 AS b0, b.x1 + b.k % 3 - 1 AS b1 FROM bld a JOIN bld b ON b.k = a.k + 40)
 SELECT k, CASE WHEN b1 <= a0 THEN 'none_before' WHEN b0 >= a1 THEN 'none_after' WHEN b0 <= a0 AND b1 >= a1 THEN 'full_covers' WHEN b0 >= a0 AND b1 <= a1 THEN 'full_inside' WHEN b0 < a0 THEN 'partial_before' ELSE 'partial_after' END AS relation FROM p""",

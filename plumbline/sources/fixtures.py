@@ -100,12 +100,12 @@ def block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of two lines along each of these edges (point_id, X, Y, Z): 13 that rise from the edge's start, and 11 that go on behind a
-    gap 8 higher (k % 3 = 0), behind a gap on a steeper line that starts where the other one leads (1), or over the other one's
+    gap 8 higher (k % 3 = 0), behind a gap on a steep line that the other one meets there (1), or over the other one's
     end 8 higher (2)."""
     e = block_edges(spark, sf_dir).select("edge_key", "k", "z", "start_x", "start_y", F.signum(F.col("end_x") - F.col("start_x")).alias("ux"), F.signum(F.col("end_y") - F.col("start_y")).alias("uy"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
     n, kind = F.col("j") - 13, F.col("k") % 3
-    t = F.when(F.col("j") < 13, F.col("j") / 8).when(kind == 2, 1 + n / 8).otherwise(1.625 + n / 8)
-    z = F.when(F.col("j") < 13, t / 2).when(kind == 1, 0.78125 + 4 * (t - 1.5625)).otherwise(8 + t / 2)
+    t = F.when(F.col("j") < 13, F.col("j") / 8).when(kind == 1, 2.25 + n / 16).when(kind == 2, 1 + n / 8).otherwise(1.625 + n / 8)
+    z = F.when(F.col("j") < 13, t / 2).when(kind == 1, 0.9375 + 8 * (t - 1.875)).otherwise(8 + t / 2)
     e = e.withColumn("t", t)
     return e.select((F.col("edge_key") * 24 + F.col("j")).alias("point_id"), (F.col("start_x") + F.col("t") * F.col("ux")).alias("X"), (F.col("start_y") + F.col("t") * F.col("uy")).alias("Y"), (F.col("z") + z).alias("Z"))
 
