@@ -237,6 +237,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
         if "©" in b.text or "®" in b.text:
             own.append("rights")
         own.append(f"commas:{min(3, b.text.count(','))}")
+        label, colon, rest = b.text.partition(": ")
+        if colon and " " not in label and n < 80:
+            own.append("labelled stop" if "stop" in own else "labelled")
         if i == 0:
             own.append("first")
         if i == len(blocks) - 1:
@@ -371,6 +374,13 @@ class _Writer:
         self.labels[out] = label
         return out
 
+    def listed(self) -> str:
+        """A short label and what it lists."""
+        self.count += 1
+        out = f"{self.words(1, 1).capitalize()}: {', '.join(self.words(1, 1) for _ in range(self.rng.randint(1, 4)))}{self.count}"
+        self.labels[out] = 0
+        return out
+
     def links(self, label: int = 0) -> str:
         items = [f'<li><a href="/{i}">{self.text(label, 1, 3, 0.05)}</a></li>' for i in range(self.rng.randint(2, 7))]
         return f"<ul>{''.join(items)}</ul>"
@@ -423,6 +433,11 @@ class _Writer:
             return f'<{tag} class="{self.one("notice", "alert", "popup", "modal notice")}">{self.one("<p>", "")}{t(4, 25)}</{tag}>'
         if kind == "form":
             return f'<form {self.one("", "class=search", "id=login")}><p>{t(2, 10)}</p><label>{t(1, 3, 0)}</label><input name=q><button>{t(1, 2, 0)}</button></form>'
+        if kind == "comments" and r.random() < 0.35:  # nothing but the layout tells
+            top = self.one("", f"<h3>{t(1, 3, 0)}</h3>", f"<h4>{t(1, 3, 0)}</h4>")
+            who = lambda: self.one("", "", f"<p><b>{t(1, 2, 0)}</b></p>", f"<span>{t(1, 3, 0)}</span>")
+            items = "".join(f"<li>{self.one('', '<div>')}{who()}<p>{t(2, 60)}</p>{self.one('', '<p>' + t(2, 40) + '</p>') if r.random() < 0.3 else ''}</li>" for _ in range(r.randint(1, 5)))
+            return self.within(f"{top}<{self.one('ul', 'ol')}>{items}</{self.one('ul', 'ol')}>")
         if kind == "comments":
             tag, item = self.one("section", "div"), self.one("div", "li", "article", "div")
             own = "".join(f'<{item} class="{self.one("comment", "reply", "comment-body")}"><p>{t(1, 3, 0)}</p><p>{t(5, 60)}</p></{item}>' for _ in range(r.randint(1, 4)))
@@ -436,6 +451,8 @@ class _Writer:
             return f'<div class="{self.one("newsletter", "subscribe")}"><p>{t(4, 20)}</p></div>'
         if kind == "crumbs":
             return f'<div class="{self.one("breadcrumb", "breadcrumbs")}"><a href=/>{t(1, 1, 0)}</a> / <a href=/x>{t(1, 2, 0)}</a></div>'
+        if kind == "tags" and r.random() < 0.5:
+            return f"<{self.one('p', 'div')}>{self.listed()}</p>"
         if kind == "tags":
             return f'<div class="{self.one("tags", "post-tags")}"><a href=#>{t(1, 1, 0)}</a></div>'
         tag = self.one("p", "h2", "a", "div")

@@ -8,10 +8,11 @@ Two streams run one after the other, each over what has arrived since its last r
 2. those rows -> keyed state in RocksDB on the executors' disks, without expiry: per digest the stable id
    and content locator (file and row in it) of its first document, the count, and the row that stays so far.
 
-A digest seen more than once is a hit, and hits are confirmed on full bytes: the texts of all hits are
-grouped by (digest, text), which compares whole strings and combines copies map-side. Digests under which
-different texts meet are then resolved by text. State and logs lie in the shared folder, so a lost executor
-costs only a retry.
+A digest seen more than once is a hit, and hits are confirmed on full bytes in the batch that brings them: the batch's
+texts under such digests, and those that the locators of their first documents name, are grouped by (digest, text),
+which compares whole strings and combines copies map-side. The verdict goes into the state; ``result`` reads texts again
+only for digests under which different texts met, and tells these apart by text. State and logs lie in the shared folder, so a
+lost executor costs only a retry.
 
 Edge cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z; of equal
 texts the row with the largest id stays (null is the least), and of repeated rows with that id one row; an
@@ -28,7 +29,7 @@ from plumbline.plans.scratch import Scratch
 NO_ID = -(1 << 63)
 #: Names of the files that have been read are broadcast up to this many (about 20 MB); beyond that they are joined by shuffling.
 MOST_FILES = 100_000
-SEEN = "digest string, first struct<batch:long,doc_id:long,row:long,locator:string>, keep struct<doc_id:long,batch:long,row:long>, n long"
+SEEN = "digest string, first struct<batch:long,doc_id:long,row:long,locator:string>, keep struct<doc_id:long,batch:long,row:long>, n long, clash boolean"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -62,18 +63,47 @@ class StreamDedup:
 
     def _log(self, rows: DataFrame, k: int) -> None:
         """Idempotent: a batch that is run again replaces its own folders."""
-        log = rows.withColumns({"batch": F.lit(k).cast("long"), "row": F.monotonically_increasing_id()})
+        log = rows.drop("text").withColumns({"batch": F.lit(k).cast("long"), "row": F.monotonically_increasing_id()})
         log.write.mode("overwrite").parquet(self.scratch.path(f"log/part={k}"))
         log = self.spark.read.parquet(self.scratch.path(f"log/part={k}"))
         found = log.groupBy("digest").agg(F.min(F.struct("batch", "doc_id", "row", "locator")).alias("first"), F.max(F.struct("doc_id", "batch", "row")).alias("keep"), F.count("*").alias("n"))
-        found.write.mode("overwrite").parquet(self.scratch.path(f"seen/part={k}"))
+        # What earlier batches saw under the same digests; a batch that is run again is not earlier than itself.
+        before = self._table("seen", SEEN).where(F.col("first.batch") < k) if k else None
+        if before is not None:
+            known = before.join(found.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("first").alias("first"))
+            known = self.scratch.keep(known.select("digest", "first.locator"), f"known-{k}")
+        hits = found.where("n > 1").select("digest")
+        hits = hits if before is None else hits.unionByName(known.select("digest")).distinct()
+        hits = self.scratch.keep(hits, f"hits-{k}")
+        clashes = None
+        if not hits.isEmpty():
+            texts = rows.select("digest", "text").join(hits, "digest", "left_semi")
+            if before is not None:
+                texts = texts.unionByName(self._stored(known))
+            variants = texts.groupBy("digest", "text").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("v"))
+            clashes = self.scratch.keep(variants.where("v > 1").select("digest"), f"clashes-{k}")
+        told = found.withColumn("clash", F.lit(False))
+        if clashes is not None and not clashes.isEmpty():
+            told = found.join(clashes.withColumn("clash", F.lit(True)), "digest", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
+        told.write.mode("overwrite").parquet(self.scratch.path(f"seen/part={k}"))
+
+    def _stored(self, known: DataFrame) -> DataFrame:
+        """(digest, text) of the documents that locators name; only their files are read."""
+        place = known.select("digest", F.regexp_extract("locator", "^(.*)#([0-9]+)$", 1).alias("file"), F.regexp_extract("locator", "^(.*)#([0-9]+)$", 2).cast("long").alias("index"))
+        texts = self._named(self.shape(self.spark.read.schema(self.schema).parquet(self.source)), place.select("file").distinct(), "known-files")
+        return texts.join(place, ["file", "index"]).select("digest", "text")
+
+    def _named(self, texts: DataFrame, files: DataFrame, name: str) -> DataFrame:
+        """The rows of ``texts`` from these files."""
+        files = self.scratch.keep(files, name)
+        return texts.join(F.broadcast(files) if files.count() <= MOST_FILES else files, "file", "left_semi")
 
     def _drain(self, stream: DataFrame, sink, name: str, mode: str) -> None:
         query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", self.scratch.path(f"checkpoint/{name}")).trigger(availableNow=True).start()
         query.awaitTermination()
 
     def run(self) -> None:
-        light = self.docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.concat_ws("#", "file", "index").alias("locator"))
+        light = self.docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.concat_ws("#", "file", "index").alias("locator"), "text")
         self._drain(light, self._log, "log", "append")
         seen = self.spark.readStream.schema(SEEN).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.max_files).parquet(self.scratch.path("seen"))
         before = {k: self.spark.conf.get(k, None) for k in ROCKSDB}
@@ -81,7 +111,7 @@ class StreamDedup:
             self.spark.conf.set(k, v)
         try:
             # No watermark: the state of a digest never expires.
-            changed = seen.groupBy("digest").agg(F.min("first").alias("first"), F.max("keep").alias("keep"), F.sum("n").alias("n"))
+            changed = seen.groupBy("digest").agg(F.min("first").alias("first"), F.max("keep").alias("keep"), F.sum("n").alias("n"), F.max("clash").alias("clash"))
             self._drain(changed, lambda df, k: df.write.mode("overwrite").parquet(self.scratch.path(f"changes/part={k}")), "state", "update")
         finally:
             for k, v in before.items():
@@ -92,25 +122,22 @@ class StreamDedup:
 
     def state(self) -> DataFrame:
         """The latest state of each digest; counts only grow, so it is the one with the largest count."""
-        latest = self._table("changes", SEEN).groupBy("digest").agg(F.max_by(F.struct("first", "keep", "n"), "n").alias("s"))
-        return latest.select("digest", F.col("s.first.doc_id").alias("stable_id"), "s.first.locator", F.col("s.keep").alias("keep"), F.col("s.keep.doc_id").alias("keep_id"), "s.n")
+        latest = self._table("changes", SEEN).groupBy("digest").agg(F.max_by(F.struct("first", "keep", "n", "clash"), "n").alias("s"))
+        return latest.select("digest", F.col("s.first.doc_id").alias("stable_id"), "s.first.locator", F.col("s.keep").alias("keep"), F.col("s.keep.doc_id").alias("keep_id"), "s.n", "s.clash")
 
     def result(self) -> DataFrame:
         """One row per document: doc_id, digest, keep_id, group_size, kept."""
         log = self._table("log", "doc_id long, digest string, locator string, batch long, row long")
         # Written, so that a digest that very many rows have is split over tasks where it is joined.
         state = self.scratch.keep(self.state(), "latest")
-        # The source may have grown since the last run: only files that are in the log count.
-        files = self.scratch.keep(log.select(F.regexp_replace("locator", "#[0-9]+$", "").alias("file")).distinct(), "files")
-        files = F.broadcast(files) if files.count() <= MOST_FILES else files
-        texts = self.shape(self.spark.read.schema(self.schema).parquet(self.source)).join(files, "file", "left_semi").withColumn("digest", self.digest(F.col("text")))
-        hits = state.where("n > 1").select("digest")
-        variants = texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.count("*").alias("n"))
-        clashes = self.scratch.keep(variants.groupBy("digest").agg(F.count("*").alias("v")).where("v > 1").select("digest"), "clashes")
+        clashes = state.where("clash").select("digest")
         some = not clashes.isEmpty()
         plain = log.join(clashes, "digest", "left_anti") if some else log
         out = plain.join(state, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), F.expr("struct(doc_id, batch, row) = keep").alias("kept"))
         if some:
+            # The source may have grown since the last run: only files that are in the log count.
+            files = log.select(F.regexp_replace("locator", "#[0-9]+$", "").alias("file")).distinct()
+            texts = self._named(self.shape(self.spark.read.schema(self.schema).parquet(self.source)), files, "files").withColumn("digest", self.digest(F.col("text")))
             met = texts.join(clashes, "digest", "left_semi")
             groups = met.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
             nth = F.row_number().over(Window.partitionBy("digest", "text", "doc_id").orderBy("doc_id"))
