@@ -176,6 +176,26 @@ def dissolve(spark: SparkSession, shapes: DataFrame, group: str, shape: str, geo
     return every.select(F.col("g").alias(group), F.coalesce("geometry", empty).alias("geometry"), F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
+def overlap_areas(spark: SparkSession, shapes: DataFrame, group: str, shape: str, first: str, geometry: str, cell: float = 8.0) -> DataFrame:
+    """(group, area_first, area_second, area_both) of the unions of each group's shapes on two sides (``first`` tells which) and
+    of what these have in common.
+
+    An area is a sum over the pieces of its boundary, so a group of any size is added up piece by piece.
+    """
+    scratch = Scratch(spark, "overlap-areas")
+    named = shapes.select(F.col(group).alias("g"), F.struct(F.col(first).alias("first"), F.col(shape).alias("id")).alias("shape"), F.col(geometry).alias("geometry"))
+    facts = sides(pieces(spark, named, "geometry", scratch, cell), cell)
+    one = F.col("shape.first")
+    within = lambda side, own: F.coalesce(F.max(F.when(own, F.col(side))), F.lit(False))
+    held = facts.groupBy("g", *ENDS).agg(*[within(s, o).alias(f"{n}_{s}") for s in ("left", "right") for n, o in (("a", one), ("b", ~one))])
+    size = geo.cross(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) / 2
+    area = lambda left, right: F.sum(F.when(left & ~right, size).when(right & ~left, -size).otherwise(0.0))
+    c = F.col
+    both = area(c("a_left") & c("b_left"), c("a_right") & c("b_right"))
+    found = held.groupBy("g").agg(area(c("a_left"), c("a_right")).alias("area_first"), area(c("b_left"), c("b_right")).alias("area_second"), both.alias("area_both"))
+    return found.withColumnRenamed("g", group)
+
+
 def make_valid(spark: SparkSession, shapes: DataFrame, key: str, geometry: str, cell: float = 8.0) -> DataFrame:
     """(key, geometry, area): each shape as a valid multipolygon of the places within an odd number of its rings: a bow tie
     becomes two polygons, spikes go, a ring that is given twice counts once."""

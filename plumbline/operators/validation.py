@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geo
 from plumbline.functions.overlay import iou_series
+from plumbline.operators import arrange
 from plumbline.operators.graph import connected_components
 from plumbline.operators.spatial import box_join, radius_join
 from plumbline.plans.scratch import Scratch
@@ -34,9 +35,13 @@ def aggregate_id(ids: Column) -> Column:
     return F.concat(F.lit("agg_"), F.substring(F.sha1(F.array_join(F.array_sort(ids), ",").cast("binary")), 1, 12))
 
 
-def aggregated(spark: SparkSession, shapes: DataFrame, key: str, box: tuple[str, ...]) -> DataFrame:
-    """Components of touching shapes: ground_truth_aggregate_id and ground_truth_ids."""
-    found = connected_components(spark, touching(shapes, key, box), Scratch(spark, "touching"))
+def aggregated(spark: SparkSession, shapes: DataFrame, key: str, box: tuple[str, ...] = (), geometry: str = "") -> DataFrame:
+    """Components of touching shapes: ground_truth_aggregate_id and ground_truth_ids.
+
+    Shapes are rectangles that ``box`` names, or multipolygons of any form in ``geometry``.
+    """
+    met = arrange.touching(spark, shapes, key, geometry) if geometry else touching(shapes, key, box)
+    found = connected_components(spark, met, Scratch(spark, "touching"))
     of = shapes.select(key).join(found, F.col(key) == F.col("id"), "left").select(key, F.coalesce("component", key).alias("root"))
     groups = of.groupBy("root").agg(F.array_sort(F.collect_list(key)).alias("ground_truth_ids"))
     return groups.select(aggregate_id(F.col("ground_truth_ids")).alias("ground_truth_aggregate_id"), "ground_truth_ids")

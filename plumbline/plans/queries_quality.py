@@ -60,10 +60,18 @@ def compare_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of each group of touching buildings with the union of its scored outlines."""
     groups = Scratch(spark, "compare").keep(touching_components(spark, sf_dir), "groups")
     members = groups.select("ground_truth_aggregate_id", F.explode("ground_truth_ids").alias("cleabs"))
-    both = members.join(_truth(spark, sf_dir).select("cleabs", "truth"), "cleabs").join(_found(spark, sf_dir), "cleabs", "left")
-    shapes = both.groupBy("ground_truth_aggregate_id").agg(F.flatten(F.collect_list("truth")).alias("truth"), F.flatten(F.collect_list("found")).alias("found"), F.count("found").alias("n_scored"))
-    iou = F.pandas_udf(validation.iou_series, "double")
-    return shapes.where("n_scored > 0").select("ground_truth_aggregate_id", F.round(iou("truth", "found"), 6).alias("iou"), "n_scored")
+    truth = _truth(spark, sf_dir).select("cleabs", F.lit(True).alias("truth_side"), F.col("truth").alias("geometry"))
+    found = _found(spark, sf_dir).select("cleabs", F.lit(False).alias("truth_side"), F.col("found").alias("geometry"))
+    shapes = Scratch(spark, "compare-shapes").keep(truth.unionByName(found).join(members, "cleabs"), "shapes")
+    scored = shapes.where("not truth_side").groupBy("ground_truth_aggregate_id").agg(F.count("*").alias("n_scored"))
+    areas = arrange.overlap_areas(spark, shapes, "ground_truth_aggregate_id", "cleabs", "truth_side", "geometry").join(scored, "ground_truth_aggregate_id")
+    iou = F.col("area_both") / (F.col("area_first") + F.col("area_second") - F.col("area_both"))
+    return areas.select("ground_truth_aggregate_id", F.round(iou, 6).alias("iou"), "n_scored")
+
+
+def touching_groups_slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of leaning outlines with holes, some of them filled, that touch."""
+    return validation.aggregated(spark, fx.slanted(spark, sf_dir), "cleabs", geometry="geometry")
 
 
 def boundary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +161,7 @@ snapped AS (SELECT node AS vertex, r.x, r.y FROM (SELECT node, min(root) AS root
 
 QUERIES = {f.__name__: f for f in (
     faces_contain, under_roof, polygon_measures, touching_components, compare_individual, compare_summary, compare_aggregated, boundary_samples, vertex_snap, clean_topology,
-    touching_slanted, dissolve_groups, valid_outlines,
+    touching_slanted, touching_groups_slanted, dissolve_groups, valid_outlines,
 )}
 ORACLE_SQL = {
     "faces_contain": fx.with_views("bld", "pts") + """ SELECT cleabs, count(*) AS n FROM bld b JOIN pts p ON p.X BETWEEN x0 AND x1 AND p.Y BETWEEN y0 AND y1
@@ -179,6 +187,8 @@ SELECT g AS ground_truth_aggregate_id, round(coalesce(i.n, 0) / (a.n + b.n - coa
     "touching_slanted": fx.with_views("bld") + """ SELECT a.cleabs AS a, b.cleabs AS b FROM bld a JOIN bld b ON a.cleabs < b.cleabs AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
    AND NOT (least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0))
  UNION ALL SELECT cleabs, 'INNER' || cleabs FROM bld WHERE k % 14 = 0""",
+    "touching_groups_slanted": _TOUCH.replace("agg AS (SELECT root,", """whole AS (SELECT cleabs, root FROM comp UNION ALL SELECT 'INNER' || cleabs, root FROM comp WHERE CAST(substr(cleabs, 9) AS BIGINT) % 14 = 0),
+agg AS (SELECT root,""").replace("FROM comp GROUP BY root)", "FROM whole GROUP BY root)") + " SELECT ground_truth_aggregate_id, ground_truth_ids FROM agg",
     "dissolve_groups": _TOUCH + ", " + fx.SQL["scored"] + """,
 m AS (SELECT ground_truth_aggregate_id AS g, unnest(ground_truth_ids) AS cleabs FROM agg),
 -- cells of half a metre that belong to any outline of the group; the first seventh has holes

@@ -118,6 +118,18 @@ def test_repair(spark):
     assert len(got["star"][0]) == 5 and got["star"][1] == pytest.approx(overlay.areas([[ring(star)]], [])[0], abs=1e-9)
 
 
+def test_areas_of_two_sides(spark):
+    rng = random.Random(14)
+    rows = [(f"g{g}", f"s{s}", rng.random() < 0.5, [[turned(rng.uniform(0, 9), rng.uniform(0, 9), rng.uniform(1, 3), rng.uniform(0, 3), rng.choice([3, 4, 6]))]]) for g in range(5) for s in range(10)]
+    rows += [("one", "s", True, [[turned(0, 0, 1, 0, 4)]])]
+    df = spark.createDataFrame(rows, "g string, shape string, first boolean, geometry array<array<array<struct<x:double,y:double>>>>")
+    got = {r.g: (r.area_first, r.area_second, r.area_both) for r in arrange.overlap_areas(spark, df, "g", "shape", "first", "geometry", 3.0).collect()}
+    assert len(got) == 6
+    for g, areas in got.items():
+        one, two = ([p for k, _, f, geometry in rows if k == g and f == side for p in geometry] for side in (True, False))
+        assert areas == pytest.approx(overlay.areas(one, two), abs=1e-6)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SHAPES)
     assert arrange.dissolve(spark, none, "g", "shape", "geometry").count() == 0
