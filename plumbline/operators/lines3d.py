@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.keys import shuffled
+
 EPS = 1e-9
 SEGMENTS = "edge_key long, segment int, n_inliers int, score double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
 
@@ -168,7 +170,7 @@ def connected_lines(edges: DataFrame, segments: DataFrame) -> DataFrame:
     size = F.sqrt(F.pow(F.col("end_x") - F.col("start_x"), 2) + F.pow(F.col("end_y") - F.col("start_y"), 2))
     e = edges.select("edge_key", "start_x", "start_y", ((F.col("end_x") - F.col("start_x")) / size).alias("ux"), ((F.col("end_y") - F.col("start_y")) / size).alias("uy"), size.alias("size")).where("size > 0")
     along = lambda i: (F.col(f"x{i}") - F.col("start_x")) * F.col("ux") + (F.col(f"y{i}") - F.col("start_y")) * F.col("uy")
-    of = segments.join(e, "edge_key").groupBy("edge_key", "start_x", "start_y", "ux", "uy", "size").agg(F.array_sort(F.collect_list(F.struct("segment", along(0).alias("t0"), "z0", along(1).alias("t1"), "z1"))).alias("s"))
+    of = segments.join(shuffled(e), "edge_key").groupBy("edge_key", "start_x", "start_y", "ux", "uy", "size").agg(F.array_sort(F.collect_list(F.struct("segment", along(0).alias("t0"), "z0", along(1).alias("t1"), "z1"))).alias("s"))
 
     @F.pandas_udf("array<struct<t:double,z:double>>")
     def line(s: pd.Series, size: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
-from plumbline.operators.keys import cyclic
+from plumbline.operators.keys import cyclic, shuffled
 from plumbline.plans.scratch import Scratch
 
 #: How far a vertex may lie off its neighbours' line, in metres (fixed value of the method).
@@ -40,14 +40,14 @@ def simplify(spark: SparkSession, shapes: DataFrame, key: str, geometry: str, to
         agreed = near.groupBy(F.col("v.x").alias("x"), F.col("v.y").alias("y")).agg(F.min("flat").alias("flat")).where("flat")
         if agreed.isEmpty():
             break
-        free = near.drop("flat").join(agreed, (place[0] == F.col("x")) & (place[1] == F.col("y")), "left").withColumn("h", F.when(F.col("flat"), F.xxhash64(*place))).drop("x", "y", "flat")
+        free = near.drop("flat").join(shuffled(agreed), (place[0] == F.col("x")) & (place[1] == F.col("y")), "left").withColumn("h", F.when(F.col("flat"), F.xxhash64(*place))).drop("x", "y", "flat")
         turn = cyclic(free, list(RING), "i", {"before": F.col("h"), "after": F.col("h")})
         last = F.least("before", "after")  # of those that may go
         turn = turn.withColumn("goes", F.coalesce((F.col("h") < last) | last.isNull(), F.lit(False)) & F.col("h").isNotNull())
         lost = F.sum(F.col("goes").cast("int")).over(Window.partitionBy(*RING))
         turn = scratch.keep(turn.withColumn("goes", F.col("goes") & (F.col("n") - lost >= 3)).select(*RING, "i", "v", "goes", "h"), f"turn-{k}")
         gone = turn.where("h is not null").groupBy(F.col("v.x").alias("x"), F.col("v.y").alias("y")).agg(F.min("goes").alias("gone")).where("gone").select("x", "y")
-        left = turn.join(gone, (place[0] == F.col("x")) & (place[1] == F.col("y")), "left_anti").select(*RING, "i", "v")
+        left = turn.join(shuffled(gone), (place[0] == F.col("x")) & (place[1] == F.col("y")), "left_anti").select(*RING, "i", "v")
         if gone.isEmpty():  # what may go would leave a ring too small, or neighbours wait for each other in different rings
             break
         k += 1
@@ -58,4 +58,4 @@ def simplify(spark: SparkSession, shapes: DataFrame, key: str, geometry: str, to
     made = made.select("key", "polygon", "ring", F.concat("r", F.slice("r", 1, 1)).alias("r"))
     polygons = made.groupBy("key", "polygon").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "r"))), lambda x: x["r"]).alias("p"))
     whole = polygons.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("polygon", "p"))), lambda x: x["p"]).alias("geometry"))
-    return shapes.select(F.col(key).alias("__k"), F.col(geometry).alias("__g")).join(whole, F.col("__k").eqNullSafe(F.col("key")), "left").select(F.col("__k").alias(key), F.coalesce("geometry", "__g").alias(geometry))
+    return shapes.select(F.col(key).alias("__k"), F.col(geometry).alias("__g")).join(shuffled(whole), F.col("__k").eqNullSafe(F.col("key")), "left").select(F.col("__k").alias(key), F.coalesce("geometry", "__g").alias(geometry))

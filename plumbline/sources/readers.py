@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geo
 from plumbline.operators.counters import Counters
-from plumbline.operators.keys import numbered
+from plumbline.operators.keys import numbered, shuffled
 from plumbline.sources.wkb import from_wkb
 
 #: Stored types that may be read as a narrower or signed one, with a checked cast.
@@ -52,7 +52,7 @@ def read_edges(spark: SparkSession, edges_path: str, overlaps_path: str) -> tupl
     edges = numbered(spark, spark.read.parquet(edges_path), ["edge_key"], "row", 0)
     counters = Counters()
     of = lambda p: edges.select(F.col("edge_key").alias(f"edge_key_{p}"), F.col("row").alias(f"row_{p}"))
-    met = spark.read.parquet(overlaps_path).join(of("a"), "edge_key_a", "left").join(of("b"), "edge_key_b", "left")
+    met = spark.read.parquet(overlaps_path).join(shuffled(of("a")), "edge_key_a", "left").join(shuffled(of("b")), "edge_key_b", "left")
     known = F.col("row_a").isNotNull() & F.col("row_b").isNotNull()
     met = counters.watch(met, overlaps_read=F.count("*"), overlaps_skipped=F.count_if(~known))
     return edges, met.where(known), counters
