@@ -11,6 +11,7 @@ from plumbline.functions import geo
 from plumbline.functions.overlay import iou_series
 from plumbline.operators import arrange
 from plumbline.operators.graph import connected_components
+from plumbline.operators.keys import shuffled
 from plumbline.operators.spatial import box_join, radius_join
 from plumbline.plans.scratch import Scratch
 
@@ -42,7 +43,7 @@ def aggregated(spark: SparkSession, shapes: DataFrame, key: str, box: tuple[str,
     """
     met = arrange.touching(spark, shapes, key, geometry) if geometry else touching(shapes, key, box)
     found = connected_components(spark, met, Scratch(spark, "touching"))
-    of = shapes.select(key).join(found, F.col(key) == F.col("id"), "left").select(key, F.coalesce("component", key).alias("root"))
+    of = shapes.select(key).join(shuffled(found), F.col(key) == F.col("id"), "left").select(key, F.coalesce("component", key).alias("root"))
     groups = of.groupBy("root").agg(F.array_sort(F.collect_list(key)).alias("ground_truth_ids"))
     return groups.select(aggregate_id(F.col("ground_truth_ids")).alias("ground_truth_aggregate_id"), "ground_truth_ids")
 
@@ -149,6 +150,8 @@ def centroid(multipolygon: Column) -> Column:
 def compare(pairs: DataFrame, key: str, truth: str, found: str, spacing: float) -> DataFrame:
     """The five measures of each pair of multipolygons (columns ``truth`` and ``found``)."""
     iou = F.pandas_udf(iou_series, "double")
+    # Small tables, which are much work here, come in one or two partitions.
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     c = pairs.withColumns({"ct": centroid(F.col(truth)), "cf": centroid(F.col(found))})
     gap = F.coalesce(geo.length(F.col("ct.x") - F.col("cf.x"), F.col("ct.y") - F.col("cf.y")), F.lit(0.0))
     measured = c.select(key, iou(F.col(truth), F.col(found)).alias("iou"), gap.alias("centroid_distance_m"), boundary_distances(spacing)(F.col(truth), F.col(found)).alias("d"))
@@ -189,9 +192,9 @@ def snap_vertices(spark: SparkSession, vertices: DataFrame, threshold: float) ->
     side = lambda p: vertices.select(F.col("vertex").alias(p), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     near = radius_join(side("a"), side("b"), threshold, ("ax", "ay"), ("bx", "by"), F.col("a") < F.col("b")).select("a", "b")
     found = connected_components(spark, near, Scratch(spark, "snap"))
-    of = vertices.select("vertex").join(found, F.col("vertex") == F.col("id"), "left").select("vertex", F.coalesce("component", "vertex").alias("root"))
+    of = vertices.select("vertex").join(shuffled(found), F.col("vertex") == F.col("id"), "left").select("vertex", F.coalesce("component", "vertex").alias("root"))
     place = vertices.select(F.col("vertex").alias("root"), "x", "y")
-    return of.join(place, "root").select("vertex", "x", "y")
+    return of.join(shuffled(place), "root").select("vertex", "x", "y")
 
 
 def clean_rings(vertices: DataFrame, snapped: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def clean_rings(vertices: DataFrame, snapped: DataFrame) -> DataFrame:
 
     ``vertices`` has vertex, cleabs, ring and i (the closing point is not among them).
     """
-    made = vertices.select("vertex", "cleabs", "ring", "i").join(snapped, "vertex").groupBy("cleabs", "ring").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    made = vertices.select("vertex", "cleabs", "ring", "i").join(shuffled(snapped), "vertex").groupBy("cleabs", "ring").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
     point = F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     made = made.select("cleabs", "ring", point.alias("p"))
     distinct = F.filter("p", lambda p, i: (i == 0) | (p != F.col("p")[F.greatest(i - 1, F.lit(0))]))
