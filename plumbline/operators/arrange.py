@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geo
 from plumbline.operators.graph import connected_components
+from plumbline.operators.keys import shuffled
 from plumbline.operators.spatial import box_join
 from plumbline.plans.scratch import Scratch
 
@@ -49,7 +50,7 @@ def _cuts(p: str, q: str) -> Column:
     return F.array_compact(F.array(*touch, F.when(touch[0].isNull() & touch[1].isNull(), crossing)))
 
 
-def pieces(spark: SparkSession, shapes: DataFrame, geometry: str, scratch: Scratch, cell: float = 8.0, name: str = "pieces") -> DataFrame:
+def pieces(spark: SparkSession, shapes: DataFrame, geometry: str, scratch: Scratch, cell: float | None = 8.0, name: str = "pieces") -> DataFrame:
     """(g, shape, ax, ay, bx, by): the boundaries of the shapes of each group ``g``, split wherever edges of the group meet.
 
     Pieces that a shape runs along an even number of times bound nothing and are left out (spikes, shapes without area); a
@@ -60,12 +61,15 @@ def pieces(spark: SparkSession, shapes: DataFrame, geometry: str, scratch: Scrat
     side = lambda p: lines.select(F.col("g").alias(f"{p}_g"), *[F.col(c).alias(f"{p}_{c}") for c in ENDS], *[f(f"a{c}", f"b{c}").alias(f"{p}_{k}{c}") for c in "xy" for k, f in (("low", F.least), ("high", F.greatest))])
     box = lambda p: (f"{p}_lowx", f"{p}_lowy", f"{p}_highx", f"{p}_highy")
     key = lambda p: F.struct(*[F.col(f"{p}_{c}") for c in ENDS])
-    met = box_join(side("p"), side("q"), cell, box("p"), box("q"), (F.col("p_g") == F.col("q_g")) & (key("p") < key("q")))
-    cut = lambda p, q: met.select(F.col(f"{p}_g").alias("g"), *[F.col(f"{p}_{c}").alias(c) for c in ENDS], F.explode(_cuts(p, q)).alias("at"))
-    cuts = cut("p", "q").unionByName(cut("q", "p")).groupBy("g", *ENDS).agg(F.collect_set("at").alias("cuts"))
+    met = box_join(side("p"), side("q"), cell, box("p"), box("q"), key("p") < key("q"), same=("p_g", "q_g"))
+    cut = lambda p, q: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in ENDS], _cuts(p, q).alias("at"))
+    # In a function, as Java leaves what so long expressions are compiled to uncompiled (see ``box_join``).
+    both = F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array(cut("p", "q"), cut("q", "p"))))
+    cuts = met.select(F.col("p_g").alias("g"), F.explode(F.filter(both, lambda e: F.size(e["at"]) > 0)).alias("e"))
+    cuts = cuts.select("g", "e.*").groupBy("g", *ENDS).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("cuts"))
     ends = [F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab"]
     along = lambda c: F.struct(((c["x"] - F.col("ax")) * (F.col("bx") - F.col("ax")) + (c["y"] - F.col("ay")) * (F.col("by") - F.col("ay"))).alias("t"), c.alias("c"))
-    split = own.join(cuts, ["g", *ENDS], "left")
+    split = own.join(shuffled(cuts), ["g", *ENDS], "left")
     # A point that is an end already may come again as a cut.
     row = F.transform(F.array_sort(F.transform(F.array_distinct(F.concat(F.array(*ends), F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double>>")))), along)), lambda s: s["c"])
     split = split.select("g", "shape", "n", row.alias("row"))
@@ -73,20 +77,22 @@ def pieces(spark: SparkSession, shapes: DataFrame, geometry: str, scratch: Scrat
     split = split.select("g", "shape", "n", F.explode(part).alias("s")).select("g", "shape", "n", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
     counted = scratch.keep(split.groupBy("g", "shape", *ENDS).agg(F.abs(F.sum("n")).alias("n")).where("n > 0"), f"{name}-split")
     alike = counted.groupBy("g", "shape").agg(F.when(F.min("n") == F.max("n"), F.min("n")).otherwise(F.lit(1)).alias("times"))
-    odd = counted.join(alike, ["g", "shape"]).where("(n div times) % 2 = 1")
+    odd = counted.join(shuffled(alike), ["g", "shape"]).where("(n div times) % 2 = 1")
     return scratch.keep(odd.select("g", "shape", *ENDS), name)
 
 
-def sides(split: DataFrame, cell: float = 8.0) -> DataFrame:
+def sides(split: DataFrame, cell: float | None = 8.0) -> DataFrame:
     """(g, ax, ay, bx, by, shape, own, left, right): for each distinct piece and each shape of its group that is near, is it a
-    boundary of the shape, and is the shape inside at its left and right (from the lesser end on)."""
+    boundary of the shape, and is the shape inside at its left and right (from the lesser end on).
+
+    Without ``cell`` (groups of a few shapes) shapes meet the pieces by their group alone, and no shape is shown once a cell."""
     rings = split.groupBy("g", "shape").agg(
         F.collect_list(F.struct(*ENDS)).alias("edges"), *[f(g(f"a{c}", f"b{c}")).alias(f"__{k}{c}") for c in "xy" for k, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest))]
     )
     rings = rings.select(F.col("g").alias("of"), "shape", "edges", *[(F.col(f"__low{c}") - 1e-6).alias(f"__low{c}") for c in "xy"], *[(F.col(f"__high{c}") + 1e-6).alias(f"__high{c}") for c in "xy"])
     mid = lambda c: (F.col(f"a{c}") + F.col(f"b{c}")) / 2
     asked = split.select("g", *ENDS).distinct().withColumns({"mx": mid("x"), "my": mid("y"), "nx": mid("x"), "ny": mid("y")})
-    met = box_join(asked, rings, cell, ("mx", "my", "nx", "ny"), ("__lowx", "__lowy", "__highx", "__highy"), F.col("g") == F.col("of"))
+    met = box_join(asked, rings, cell, ("mx", "my", "nx", "ny"), ("__lowx", "__lowy", "__highx", "__highy"), same=("g", "of"))
     same = lambda e: (e["ax"] == F.col("ax")) & (e["ay"] == F.col("ay")) & (e["bx"] == F.col("bx")) & (e["by"] == F.col("by"))
 
     def beyond(e: Column) -> Column:
@@ -139,10 +145,10 @@ def boundary_rings(spark: SparkSession, directed: DataFrame, scratch: Scratch) -
     out = pieces.select("g", F.col("id").alias("next"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("qx").alias("rx"), F.col("qy").alias("ry"))
     turn = F.atan2(F.col("py") - F.col("qy"), F.col("px") - F.col("qx")) - F.atan2(F.col("ry") - F.col("qy"), F.col("rx") - F.col("qx"))
     clockwise = F.when(turn <= 1e-12, turn + 2 * np.pi).otherwise(turn)
-    linked = pieces.join(out, ["g", "qx", "qy"]).groupBy("g", "id", "px", "py").agg(F.min_by("next", F.struct(clockwise, F.col("next"))).alias("next"))
+    linked = pieces.join(shuffled(out), ["g", "qx", "qy"]).groupBy("g", "id", "px", "py").agg(F.min_by("next", F.struct(clockwise, F.col("next"))).alias("next"))
     linked = scratch.keep(linked, "linked")
     found = connected_components(spark, linked.select("id", F.col("next").alias("n")), scratch, "rings").withColumnRenamed("id", "piece")
-    whole = linked.join(found, F.col("id") == F.col("piece")).groupBy("g", "component").agg(F.collect_list(F.struct("id", "next", F.col("px").alias("x"), F.col("py").alias("y"))).alias("row"))
+    whole = linked.join(shuffled(found), F.col("id") == F.col("piece")).groupBy("g", "component").agg(F.collect_list(F.struct("id", "next", F.col("px").alias("x"), F.col("py").alias("y"))).alias("row"))
     walked = whole.select("g", F.explode(F.pandas_udf(_walk, RINGS)("row")).alias("ring"))
     return walked.withColumn("area", geo.ring_area(F.col("ring")))
 
@@ -153,11 +159,11 @@ def _assembled(rings: DataFrame, scratch: Scratch, cell: float) -> DataFrame:
     span = [f(F.transform("ring", lambda q: q[c])).alias(f"o_{k}{c}") for k, f in (("low", F.array_min), ("high", F.array_max)) for c in "xy"]
     outer = rings.where("area > 0").select("g", "no", "ring", "area", *span)
     holes = rings.where("area < 0").select(F.col("g").alias("of"), F.col("no").alias("hole_no"), F.col("ring").alias("hole"), *[((F.col("ring")[0][c] + F.col("ring")[1][c]) / 2).alias(m) for m, c in (("mx", "x"), ("my", "y"), ("nx", "x"), ("ny", "y"))])
-    inside = (F.col("of") == F.col("g")) & geo.in_ring(F.col("mx"), F.col("my"), F.col("ring"))
-    met = box_join(holes, outer, cell, ("mx", "my", "nx", "ny"), ("o_lowx", "o_lowy", "o_highx", "o_highy"), inside)
+    inside = geo.in_ring(F.col("mx"), F.col("my"), F.col("ring"))
+    met = box_join(holes, outer, cell, ("mx", "my", "nx", "ny"), ("o_lowx", "o_lowy", "o_highx", "o_highy"), inside, same=("of", "g"))
     home = met.groupBy("hole_no").agg(F.min_by("no", F.struct("area", "no")).alias("no"), F.first("hole").alias("hole"))
     held = home.groupBy("no").agg(F.array_sort(F.collect_list("hole")).alias("holes"))
-    polygons = outer.select("g", "no", "ring").join(held, "no", "left").select("g", F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(RINGS))).alias("polygon"))
+    polygons = outer.select("g", "no", "ring").join(shuffled(held), "no", "left").select("g", F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(RINGS))).alias("polygon"))
     polygons = polygons.withColumn("a", geo.polygon_area(F.col("polygon")))
     return polygons.groupBy("g").agg(F.array_sort(F.collect_list("polygon")).alias("geometry"), F.sum("a").alias("area"))
 
@@ -172,7 +178,7 @@ def dissolve(spark: SparkSession, shapes: DataFrame, group: str, shape: str, geo
     directed = found.select("g", turned("ax", "bx").alias("px"), turned("ay", "by").alias("py"), turned("bx", "ax").alias("qx"), turned("by", "ay").alias("qy"))
     whole = _assembled(boundary_rings(spark, directed, scratch), scratch, cell)
     empty = F.array().cast(f"array<{RINGS}>")
-    every = named.select("g").distinct().join(whole, "g", "left")
+    every = named.select("g").distinct().join(shuffled(whole), "g", "left")
     return every.select(F.col("g").alias(group), F.coalesce("geometry", empty).alias("geometry"), F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
@@ -212,13 +218,14 @@ def touching(spark: SparkSession, shapes: DataFrame, key: str, geometry: str, ce
     boxed = scratch.keep(shapes.select(F.col(key).alias("id"), F.col(geometry).alias("geometry")).withColumns(box), "boxed")
     side = lambda p: boxed.select(F.col("id").alias(p), *[F.col(f"__{c}").alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")])
     boxes = lambda p: tuple(f"{p}_{c}" for c in ("x0", "y0", "x1", "y1"))
-    near = box_join(side("a"), side("b"), cell, boxes("a"), boxes("b"), F.col("a") < F.col("b")).select(F.struct("a", "b").alias("g"))
-    near = scratch.keep(near, "near")
-    both = near.select("g", F.explode(F.array("g.a", "g.b")).alias("shape")).join(boxed, F.col("shape") == F.col("id")).select("g", "shape", "geometry")
-    split = pieces(spark, both, "geometry", scratch, cell)
-    facts = sides(split, cell).groupBy("g", *ENDS).agg(F.sum(F.col("own").cast("int")).alias("owners"), F.sum((F.col("left") & F.col("right")).cast("int")).alias("within"), F.sum(F.col("left").cast("int")).alias("lefts"), F.sum(F.col("right").cast("int")).alias("rights"))
+    near = box_join(side("a"), side("b"), cell, boxes("a"), boxes("b"), F.col("a") < F.col("b")).select("a", "b")
+    # All that follows carries a pair's number and not its two names, which are most of a row.
+    near = scratch.keep(near.select(F.monotonically_increasing_id().alias("g"), "a", "b"), "near")
+    both = near.select("g", F.posexplode(F.array("a", "b")).alias("shape", "name")).join(shuffled(boxed), F.col("name") == F.col("id")).select("g", "shape", "geometry")
+    split = pieces(spark, both, "geometry", scratch, None)
+    facts = sides(split, None).groupBy("g", *ENDS).agg(F.sum(F.col("own").cast("int")).alias("owners"), F.sum((F.col("left") & F.col("right")).cast("int")).alias("within"), F.sum(F.col("left").cast("int")).alias("lefts"), F.sum(F.col("right").cast("int")).alias("rights"))
     # Inside is shared where a piece lies within the other shape, or where both bound it from one side.
     shared = facts.where("within > 0 or (owners = 2 and (lefts = 2 or rights = 2))").select("g").distinct()
     ends = split.select("g", "shape", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
     contact = ends.groupBy("g", "p").agg(F.min("shape").alias("x"), F.max("shape").alias("y")).where("x <> y").select("g").distinct()
-    return contact.join(shared, "g", "left_anti").select("g.a", "g.b")
+    return near.join(shuffled(contact.join(shuffled(shared), "g", "left_anti")), "g").select("a", "b")
