@@ -11,7 +11,8 @@ short signatures): two lines meet if any three that follow each other are the sa
 Equal lines are one node (by their md5), so copies are never expanded. Each member of a bucket first meets
 the bucket's two pivots only. Where a bucket then still holds several components, a small one (``SMALL`` members) meets in all
 pairs, and a larger one's members are split by pairs of the bands that they share, into finer buckets that are dealt with in the
-same two ways. A similar pair shares many of those, and no work grows with the square of a bucket. Pairs whose
+same two ways. Members that are still apart after that in a bucket of any size meet in all pairs, block by block, so
+that no pair that shares a bucket goes by. Pairs whose
 signatures have few hashes in common are dropped; texts of nodes that share a bucket are split off again, and what is left is verified on the sets of
 all their shingles, as strings. Components come from alternating stars.
 
@@ -48,8 +49,10 @@ RUNS = ((3, 5, LEAST), (2, 3, 5), (1, 1, 3))
 COMMON = 0.42
 #: Members of a bucket that meet in all pairs.
 SMALL = 8
+#: Members of larger buckets that meet in one place, about.
+BLOCK = 256
 #: Keys of shared buckets, and the nodes in them, are broadcast to the lines up to this many; beyond that both are shuffled.
-MOST_BROADCAST = 4_000_000
+MOST_BROADCAST = 500_000
 #: Hashes of a line that are sorted first, about; it has ``LEAST`` distinct ones among them, or all are sorted.
 PICKED = 48
 
@@ -237,10 +240,15 @@ class FuzzyLines:
         found = self._labels(links, "finer-labels")
         last = keep(self._fitting(self._pairs(keep(self._mixed(finer, found, 3), "mixed-finer"))), "last-star")
         links = links.union(self._confirm(last, "last"))
+        found = self._labels(links, "last-labels")
+        # What still is apart in larger buckets, of either level, meets in all pairs.
+        rest = keep(self._mixed(members, found, SMALL).unionByName(self._mixed(finer, found, SMALL)), "rest")
+        met = keep(self._fitting(self._every_pair(rest)), "rest-pairs")
+        links = links.union(self._confirm(met, "rest"))
         found = self._labels(links, "labels")
         ids = self.lines.select(F.xxhash64("id").alias("node"), "id").where("id is not null").groupBy("node").agg(F.min("id").alias("line_id"))
         found = keep(found.join(ids, F.col("id") == F.col("node")).select(F.col("line_id").alias("id"), "component"), "found")
-        for name in ("members", "signs", "texts", "star", "mixed", "finer", "mixed-finer", "finer-star", "last-star", "first-pivots", "second-pivots", "first-mates", "second-mates"):
+        for name in ("members", "signs", "texts", "star", "mixed", "finer", "mixed-finer", "finer-star", "last-star", "rest", "rest-pairs", "first-pivots", "second-pivots", "first-mates", "second-mates"):
             self.scratch.remove(name)
         return found
 
@@ -271,6 +279,21 @@ class FuzzyLines:
         side = lambda x: few.select("key", F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         return side("a").join(side("b"), "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
 
+    @staticmethod
+    def _every_pair(mixed: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components in buckets of any size.
+
+        Members are dealt into blocks of about ``BLOCK``, and each two blocks of a bucket meet apart from the others, so no task
+        holds a bucket. The work grows with the square of a bucket that holds many components.
+        """
+        blocks = F.ceil(F.col("size") / BLOCK)
+        own = mixed.select("key", "node", "component", blocks.alias("n"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).alias("block"))
+        side = lambda x, i, j: own.select("key", i.alias("i"), j.alias("j"), F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        left = side("x", F.col("block"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)))
+        right = side("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))), F.col("block"))
+        met = left.join(right.hint("merge"), ["key", "i", "j"]).where("c_x <> c_y and (i < j or x < y)")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     @staticmethod
     def _split(mixed: DataFrame) -> DataFrame:
         """Members of finer buckets: a pair of bands each, of those that a node has (it has few) in mixed buckets."""

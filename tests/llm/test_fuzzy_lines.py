@@ -198,3 +198,11 @@ def test_shuffled_where_there_are_many(spark, monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "MOST_BROADCAST", 0)
     got = {r.doc_id: r.removed for r in fuzzy_lines.line_report(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
     assert got == {d: gone for (d, _), gone in zip(rows, brute(rows))} and sum(map(len, got.values())) > 20
+
+
+def test_no_pair_of_a_large_bucket_goes_by(spark):
+    rows = [(key, 1000 * key + i, (1000 * key + i) // 3, size) for key, size in ((1, 600), (2, 9)) for i in range(size)]
+    mixed = spark.createDataFrame(rows, "key long, node long, component long, size long")
+    want = {(a, b) for k, a, c, _ in rows for m, b, d, _ in rows if k == m and a < b and c != d}
+    got = [tuple(r) for r in fuzzy_lines.FuzzyLines._every_pair(mixed).collect()]
+    assert len(got) == len(want) and set(got) == want
