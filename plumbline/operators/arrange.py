@@ -139,14 +139,19 @@ def _walk(column: pd.Series) -> pd.Series:
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
-def boundary_rings(spark: SparkSession, directed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, ring, area): rings of the directed pieces (g, px, py, qx, qy), which have the inside at their left."""
+def _linked(directed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, id, px, py, qx, qy, rx, ry, next): each directed piece (from p to q) with the one after it (from q to r)."""
     pieces = scratch.keep(directed.withColumn("id", F.monotonically_increasing_id()), "directed")
     out = pieces.select("g", F.col("id").alias("next"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("qx").alias("rx"), F.col("qy").alias("ry"))
     turn = F.atan2(F.col("py") - F.col("qy"), F.col("px") - F.col("qx")) - F.atan2(F.col("ry") - F.col("qy"), F.col("rx") - F.col("qx"))
     clockwise = F.when(turn <= 1e-12, turn + 2 * np.pi).otherwise(turn)
-    linked = pieces.join(shuffled(out), ["g", "qx", "qy"]).groupBy("g", "id", "px", "py").agg(F.min_by("next", F.struct(clockwise, F.col("next"))).alias("next"))
-    linked = scratch.keep(linked, "linked")
+    linked = pieces.join(shuffled(out), ["g", "qx", "qy"]).groupBy("g", "id", "px", "py").agg(F.min_by(F.struct("next", "qx", "qy", "rx", "ry"), F.struct(clockwise, F.col("next"))).alias("n"))
+    return scratch.keep(linked.select("g", "id", "px", "py", "n.*"), "linked")
+
+
+def boundary_rings(spark: SparkSession, directed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, ring, area): rings of the directed pieces (g, px, py, qx, qy), which have the inside at their left."""
+    linked = _linked(directed, scratch)
     found = connected_components(spark, linked.select("id", F.col("next").alias("n")), scratch, "rings").withColumnRenamed("id", "piece")
     whole = linked.join(shuffled(found), F.col("id") == F.col("piece")).groupBy("g", "component").agg(F.collect_list(F.struct("id", "next", F.col("px").alias("x"), F.col("py").alias("y"))).alias("row"))
     walked = whole.select("g", F.explode(F.pandas_udf(_walk, RINGS)("row")).alias("ring"))
@@ -168,20 +173,38 @@ def _assembled(rings: DataFrame, scratch: Scratch, cell: float) -> DataFrame:
     return polygons.groupBy("g").agg(F.array_sort(F.collect_list("polygon")).alias("geometry"), F.sum("a").alias("area"))
 
 
+def _outline(spark: SparkSession, named: DataFrame, scratch: Scratch, cell: float) -> DataFrame:
+    """(g, px, py, qx, qy): the pieces that bound each group's union, with the inside at their left."""
+    found = sides(pieces(spark, named, "geometry", scratch, cell), cell).groupBy("g", *ENDS).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left <> right")
+    turned = lambda a, b: F.when(F.col("left"), F.col(a)).otherwise(F.col(b))
+    return found.select("g", turned("ax", "bx").alias("px"), turned("ay", "by").alias("py"), turned("bx", "ax").alias("qx"), turned("by", "ay").alias("qy"))
+
+
 def dissolve(spark: SparkSession, shapes: DataFrame, group: str, shape: str, geometry: str, cell: float = 8.0) -> DataFrame:
     """(group, geometry, area): the union of each group's shapes as a valid multipolygon, holes kept; exteriors run
     counter-clockwise, holes clockwise, without points on a line. A group without area has an empty geometry."""
     scratch = Scratch(spark, "dissolve")
     named = shapes.select(F.col(group).alias("g"), F.col(shape).alias("shape"), F.col(geometry).alias("geometry"))
-    found = sides(pieces(spark, named, "geometry", scratch, cell), cell).groupBy("g", *ENDS).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left <> right")
-    turned = lambda a, b: F.when(F.col("left"), F.col(a)).otherwise(F.col(b))
-    directed = found.select("g", turned("ax", "bx").alias("px"), turned("ay", "by").alias("py"), turned("bx", "ax").alias("qx"), turned("by", "ay").alias("qy"))
-    whole = _assembled(boundary_rings(spark, directed, scratch), scratch, cell)
+    whole = _assembled(boundary_rings(spark, _outline(spark, named, scratch, cell), scratch), scratch, cell)
     empty = F.array().cast(f"array<{RINGS}>")
     every = named.select("g").distinct().join(shuffled(whole), "g", "left")
     return every.select(F.col("g").alias(group), F.coalesce("geometry", empty).alias("geometry"), F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
+def dissolved_measures(spark: SparkSession, shapes: DataFrame, group: str, shape: str, geometry: str, cell: float = 8.0) -> DataFrame:
+    """(group, area, boundary, corners) of the union of each group's shapes: sums over the pieces that bound it, so that no ring and
+    no group comes into one row. A corner is a turn of the boundary; where it touches itself in a point each way through counts."""
+    scratch = Scratch(spark, "dissolved-measures")
+    named = shapes.select(F.col(group).alias("g"), F.col(shape).alias("shape"), F.col(geometry).alias("geometry"))
+    c = F.col
+    ux, uy, vx, vy = c("qx") - c("px"), c("qy") - c("py"), c("rx") - c("qx"), c("ry") - c("qy")
+    turns = F.abs(geo.cross(ux, uy, vx, vy)) > 1e-9 * geo.length(ux, uy) * geo.length(vx, vy)
+    linked = _linked(_outline(spark, named, scratch, cell), scratch)
+    whole = linked.groupBy("g").agg(F.sum(geo.cross(c("px"), c("py"), c("qx"), c("qy")) / 2).alias("area"), F.sum(geo.length(ux, uy)).alias("boundary"), F.sum(turns.cast("long")).alias("corners"))
+    every = named.select("g").distinct().join(shuffled(whole), "g", "left")
+    return every.select(c("g").alias(group), *[F.coalesce(n, F.lit(zero)).alias(n) for n, zero in (("area", 0.0), ("boundary", 0.0), ("corners", 0))])
+
+
 def overlap_areas(spark: SparkSession, shapes: DataFrame, group: str, shape: str, first: str, geometry: str, cell: float = 8.0) -> DataFrame:
     """(group, area_first, area_second, area_both) of the unions of each group's shapes on two sides (``first`` tells which) and
     of what these have in common.

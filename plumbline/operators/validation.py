@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +40,49 @@ def aggregate_id(ids: Column) -> Column:
     return F.concat(F.lit("agg_"), F.substring(F.sha1(F.array_join(F.array_sort(ids), ",").cast("binary")), 1, 12))
 
 
+def _roots(spark: SparkSession, shapes: DataFrame, key: str, box: tuple[str, ...], geometry: str) -> DataFrame:
+    met = arrange.touching(spark, shapes, key, geometry) if geometry else touching(shapes, key, box)
+    found = connected_components(spark, met, Scratch(spark, "touching"))
+    return shapes.select(key).join(shuffled(found), F.col(key) == F.col("id"), "left").select(key, F.coalesce("component", key).alias("root"))
+
+
 def aggregated(spark: SparkSession, shapes: DataFrame, key: str, box: tuple[str, ...] = (), geometry: str = "") -> DataFrame:
     """Components of touching shapes: ground_truth_aggregate_id and ground_truth_ids.
 
     Shapes are rectangles that ``box`` names, or multipolygons of any form in ``geometry``.
     """
-    met = arrange.touching(spark, shapes, key, geometry) if geometry else touching(shapes, key, box)
-    found = connected_components(spark, met, Scratch(spark, "touching"))
-    of = shapes.select(key).join(shuffled(found), F.col(key) == F.col("id"), "left").select(key, F.coalesce("component", key).alias("root"))
-    groups = of.groupBy("root").agg(F.array_sort(F.collect_list(key)).alias("ground_truth_ids"))
+    groups = _roots(spark, shapes, key, box, geometry).groupBy("root").agg(F.array_sort(F.collect_list(key)).alias("ground_truth_ids"))
     return groups.select(aggregate_id(F.col("ground_truth_ids")).alias("ground_truth_aggregate_id"), "ground_truth_ids")
 
 
+def members(spark: SparkSession, shapes: DataFrame, key: str, box: tuple[str, ...] = (), geometry: str = "") -> DataFrame:
+    """The same groups as a row for each shape: ground_truth_aggregate_id and the key.
+
+    Names come sorted and the id is digested name by name, so no row or task holds a group of any size.
+    """
+    scratch = Scratch(spark, "members")
+    of = scratch.keep(_roots(spark, shapes, key, box, geometry), "roots")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(root: str, sha) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([root], pa.string()), pa.array([f"agg_{sha.hexdigest()[:12]}"], pa.string())], ["root", "ground_truth_aggregate_id"])
+
+        last, sha = None, None
+        for b in batches:
+            for root, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if root != last:
+                    if sha is not None:
+                        yield made(last, sha)
+                    last, sha = root, hashlib.sha1(name.encode())
+                else:
+                    sha.update(b"," + name.encode())
+        if sha is not None:
+            yield made(last, sha)
+
+    ids = of.select("root", F.col(key).alias("name")).repartition("root").sortWithinPartitions("root", "name").mapInArrow(digest, "root string, ground_truth_aggregate_id string")
+    return of.join(shuffled(ids), "root").select("ground_truth_aggregate_id", key)
+
+
 def ring_samples(ring: Column, spacing: float) -> Column:
     """Points along a ring at 0, s, 2s, ... below its length; one point for a ring without length."""
     if spacing <= 0:

@@ -134,3 +134,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SHAPES)
     assert arrange.dissolve(spark, none, "g", "shape", "geometry").count() == 0
     assert arrange.touching(spark, none, "shape", "geometry").count() == 0
+
+
+def test_measures_and_groups_without_a_row_for_a_group(spark):
+    """Area, boundary and corners are summed over pieces, and ids digested name by name; the same as from whole rings and lists."""
+    from plumbline.operators import validation
+
+    boxes = [("a", 0.0, 0.0, 4.0, 4.0), ("b", 4.0, 4.0, 6.0, 6.0), ("c", 4.0, 0.0, 7.0, 2.0), ("d", 20.0, 0.0, 21.0, 1.0)]
+    df = spark.createDataFrame(boxes, "name string, x0 double, y0 double, x1 double, y1 double").selectExpr("*", "array(array(transform(array(array(x0, y0), array(x1, y0), array(x1, y1), array(x0, y1), array(x0, y0)), q -> struct(q[0] as x, q[1] as y)))) as geometry")
+    rows = {(r[0], r[1]) for r in validation.members(spark, df, "name", ("x0", "y0", "x1", "y1")).collect()}
+    lists = validation.aggregated(spark, df, "name", ("x0", "y0", "x1", "y1")).collect()
+    assert rows == {(r[0], name) for r in lists for name in r[1]} and len(lists) == 2
+    got = {tuple(r) for r in arrange.dissolved_measures(spark, df.selectExpr("name = 'd' as g", "name", "geometry"), "g", "name", "geometry").collect()}
+    assert got == {(False, 26.0, 30.0, 10), (True, 1.0, 4.0, 4)}
