@@ -83,20 +83,28 @@ def windows(hashes: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
 
 
 def _pack(grams: np.ndarray, fields: dict[str, np.ndarray]) -> bytes:
-    """Rows as one block: the distinct words, rows as numbers of words, and the fields that are not all 0."""
+    """Rows as one compressed block: the distinct words, rows as numbers of words, and the fields that are not all 0.
+
+    Words come as bytes of the steps from one to the next, all first bytes together, as sorted hashes have little in their highest bytes then.
+    """
     known, numbers = np.unique(grams, return_inverse=True)
     numbers = numbers.reshape(grams.shape).astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
-    # Rows with one head stand together, which the shuffle's compression makes short.
+    # Rows with one head stand together, which compression makes short.
     order = np.lexsort(numbers.T[::-1])
     numbers, fields = numbers[order], {f: v[order] for f, v in fields.items()}
     given = [f for f in FIELDS if f in fields]
     kinds = [np.uint8 if fields[f].max(initial=0) < 256 else np.int64 for f in given]
-    head = np.array([len(grams), grams.shape[1], len(known), numbers.itemsize, sum(1 << FIELDS.index(f) for f in given), sum(1 << FIELDS.index(f) for f, k in zip(given, kinds, strict=True) if k == np.uint8)], np.int64)
-    columns = [numbers[:, k].tobytes() for k in range(grams.shape[1])]
-    return b"".join([head.tobytes(), known.tobytes(), *columns, *[fields[f].astype(k).tobytes() for f, k in zip(given, kinds, strict=True)]])
+    # Distinct single words are their own numbers.
+    size = 0 if grams.shape[1] == 1 and len(grams) == len(known) else numbers.itemsize
+    head = np.array([len(grams), grams.shape[1], len(known), size, sum(1 << FIELDS.index(f) for f in given), sum(1 << FIELDS.index(f) for f, k in zip(given, kinds, strict=True) if k == np.uint8)], np.int64)
+    columns = [numbers[:, k].tobytes() for k in range(grams.shape[1])] if size else []
+    steps = np.diff(known, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    block = b"".join([head.tobytes(), steps, *columns, *[fields[f].astype(k).tobytes() for f, k in zip(given, kinds, strict=True)]])
+    return len(block).to_bytes(8, "little") + pa.compress(block, codec="zstd", asbytes=True)
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _unpack(packed: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    block = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     n, order, n_known, size, given, small = np.frombuffer(block, np.int64, 6).tolist()
     at = 48
 
@@ -106,8 +114,8 @@ def _unpack(block: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         at += out.nbytes
         return out
 
-    known = take(np.uint64, n_known)
-    grams = np.stack([known[take(np.uint16 if size == 2 else np.uint32, n)] for _ in range(order)], 1)
+    known = np.cumsum(np.ascontiguousarray(take(np.uint8, 8 * n_known).reshape(8, n_known).T).view(np.uint64).ravel(), dtype=np.uint64)
+    grams = np.stack([known[take(np.uint16 if size == 2 else np.uint32, n)] for _ in range(order)], 1) if size else known[:, None]
     return grams, {f: take(np.uint8 if small >> i & 1 else np.int64, n) for i, f in enumerate(FIELDS) if given >> i & 1}
 
 

@@ -108,3 +108,16 @@ def test_empty_tables(spark):
 def test_discounts_stay_inside_their_counts():
     for n in ([0, 0, 0, 0], [5, 0, 0, 0], [10, 5, 3, 2], [1, 90, 90, 900], [0, 3, 3, 3]):
         assert all(0 < d < k for k, d in zip((1, 2, 3), kneser_ney.discounts_of(n)))
+
+
+def test_blocks_are_short():
+    """Sorted hashes and counts of mostly one take fewer bytes than they have, and come back as they went."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    for order, most in ((1, 8), (2, 9)):
+        grams = np.unique(words[rng.integers(0, len(words), (25_000, order))], axis=0)
+        packed = kneser_ney._pack(grams, {"count": np.ones(len(grams), np.int64)})
+        back, fields = kneser_ney._unpack(packed)
+        assert sorted(map(tuple, back.tolist())) == sorted(map(tuple, grams.tolist())) and fields["count"].tolist() == [1] * len(grams)
+        assert len(packed) < most * len(grams)
+    assert kneser_ney._unpack(kneser_ney._pack(np.zeros((0, 2), np.uint64), {}))[0].shape == (0, 2)
