@@ -100,6 +100,44 @@ def test_roots_in_random_graphs(spark):
     assert got == want
 
 
+def test_roots_come_down_within_a_task(spark):
+    """Long chains and combs are done in one or two passes; small windows and few passes give the same roots by ways."""
+    n = 300
+    links = [(i, i + 1) for i in range(n) if i % 101 != 100] + [(i, i + 40) for i in range(0, n - 40, 3)]
+    want = list(range(n + 1))
+    for a, b in sorted(links, key=lambda p: p[1]):
+        want[b] = min(want[b], want[a])
+    b = spark.createDataFrame([(i,) for i in range(n + 1)], "cleabs long")
+    df = spark.createDataFrame(links, "src long, dst long")
+    original = Scratch.keep
+    for window, passes, most in ((1000, 4, 6), (7, 4, None), (1, 1, None)):
+        rounds = []
+        try:
+            Scratch.keep = lambda self, df, name, *more, **named: (rounds.append(name), original(self, df, name, *more, **named))[1]  # noqa: B023
+            got = {r.cleabs: r.root_id for r in outline.reachable_roots(spark, b, df, window, passes).collect()}
+        finally:
+            Scratch.keep = original
+        assert got == dict(enumerate(want))
+        assert most is None or len(rounds) <= most
+
+
+def test_edges_of_other_lines_do_not_meet(spark):
+    """Level, upright and slanted edges; -0.0 is the line of 0.0."""
+    rows = [(1, 0.0, 0.0, 9.0, 0.0), (2, 20.0, -0.0, 4.0, -0.0), (3, 9.0, 0.0, 12.0, 0.0), (4, 0.0, 0.0, 0.0, 5.0), (5, -0.0, 4.0, 0.0, 30.0), (6, 1.0, 1.0, 5.0, 5.0), (7, 9.0, 9.0, 2.0, 2.0), (8, 1.0, 2.0, 5.0, 6.0), (9, 0.0, 1.0, 9.0, 1.0)]
+    keyed = spark.createDataFrame([(k, str(k), *e) for k, *e in rows], "edge_key long, cleabs string, start_x double, start_y double, end_x double, end_y double")
+    met = outline.edge_overlaps(keyed)
+    assert sorted((r.edge_key_a, r.edge_key_b, round(r.length, 9)) for r in met.collect()) == [(1, 2, 5.0), (2, 3, 3.0), (4, 5, 1.0), (6, 7, round(18**0.5, 9))]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "a_line" in plan[plan.index("SortMergeJoin") :].split("\n")[0]
+
+
+def test_numbers_take_one_shuffle(spark):
+    plan = numbered(spark, spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")), ["v"], "n", 5).sort("v")
+    assert [(r.v, r.n) for r in plan.collect()] == [(i, i + 5) for i in range(1000)]
+    numbers = numbered(spark, spark.range(1000).toDF("v"), ["v"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in numbers
+
+
 def test_runs_go_on_over_buckets(spark):
     rng = random.Random(22)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[round(rng.uniform(-90, 90), 2)] * 9]), i) for i in range(300)]
