@@ -111,19 +111,23 @@ def _walk(column: pd.Series) -> pd.Series:
     """Rings from pieces that know the one after them, cut apart where they come to a point again; points on a line go."""
     out = []
     for row in column:
-        by = {p["id"]: p for p in row}
-        at, stack, found, seen = min(by), [], [], {}
-        for _ in range(len(by) + 1):
-            p = by[at]
-            here = (p["x"], p["y"])
-            if here in seen:
-                loop, stack = stack[seen[here] :], stack[: seen[here]]
-                for q in loop:
-                    del seen[q]
-                found.append(loop)
-            seen[here] = len(stack)
-            stack.append(here)
-            at = p["next"]
+        by, found = {p["id"]: p for p in row}, []
+        walked = set()
+        for at in sorted(by):
+            stack, seen, way = [], {}, []
+            while at not in walked:
+                walked.add(at)
+                way.append(at)
+                at = by[at]["next"]
+            for q in [*way, at] if way else []:  # the piece that comes again closes the way
+                here = (by[q]["x"], by[q]["y"])
+                if here in seen:
+                    loop, stack = stack[seen[here] :], stack[: seen[here]]
+                    for gone in loop:
+                        del seen[gone]
+                    found.append(loop)
+                seen[here] = len(stack)
+                stack.append(here)
         kept = []
         for loop in found:
             a = np.array(loop)
@@ -149,11 +153,15 @@ def _linked(directed: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(linked.select("g", "id", "px", "py", "n.*"), "linked")
 
 
-def boundary_rings(spark: SparkSession, directed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, ring, area): rings of the directed pieces (g, px, py, qx, qy), which have the inside at their left."""
-    linked = _linked(directed, scratch)
-    found = connected_components(spark, linked.select("id", F.col("next").alias("n")), scratch, "rings").withColumnRenamed("id", "piece")
-    whole = linked.join(shuffled(found), F.col("id") == F.col("piece")).groupBy("g", "component").agg(F.collect_list(F.struct("id", "next", F.col("px").alias("x"), F.col("py").alias("y"))).alias("row"))
+def boundary_rings(spark: SparkSession, directed: DataFrame, scratch: Scratch, single: bool = False) -> DataFrame:
+    """(g, ring, area): rings of the directed pieces (g, px, py, qx, qy), which have the inside at their left.
+
+    Each ring is walked by itself, but all of a group at once where a group is one shape that was given (``single``)."""
+    linked, key = _linked(directed, scratch), ["g"]
+    if not single:
+        found = connected_components(spark, linked.select("id", F.col("next").alias("n")), scratch, "rings").withColumnRenamed("id", "piece")
+        linked, key = linked.join(shuffled(found), F.col("id") == F.col("piece")), ["g", "component"]
+    whole = linked.groupBy(*key).agg(F.collect_list(F.struct("id", "next", F.col("px").alias("x"), F.col("py").alias("y"))).alias("row"))
     walked = whole.select("g", F.explode(F.pandas_udf(_walk, RINGS)("row")).alias("ring"))
     return walked.withColumn("area", geo.ring_area(F.col("ring")))
 
@@ -173,19 +181,20 @@ def _assembled(rings: DataFrame, scratch: Scratch, cell: float) -> DataFrame:
     return polygons.groupBy("g").agg(F.array_sort(F.collect_list("polygon")).alias("geometry"), F.sum("a").alias("area"))
 
 
-def _outline(spark: SparkSession, named: DataFrame, scratch: Scratch, cell: float) -> DataFrame:
+def _outline(spark: SparkSession, named: DataFrame, scratch: Scratch, cell: float, single: bool = False) -> DataFrame:
     """(g, px, py, qx, qy): the pieces that bound each group's union, with the inside at their left."""
-    found = sides(pieces(spark, named, "geometry", scratch, cell), cell).groupBy("g", *ENDS).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left <> right")
+    found = sides(pieces(spark, named, "geometry", scratch, cell), None if single else cell).groupBy("g", *ENDS).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left <> right")
     turned = lambda a, b: F.when(F.col("left"), F.col(a)).otherwise(F.col(b))
     return found.select("g", turned("ax", "bx").alias("px"), turned("ay", "by").alias("py"), turned("bx", "ax").alias("qx"), turned("by", "ay").alias("qy"))
 
 
-def dissolve(spark: SparkSession, shapes: DataFrame, group: str, shape: str, geometry: str, cell: float = 8.0) -> DataFrame:
+def dissolve(spark: SparkSession, shapes: DataFrame, group: str, shape: str, geometry: str, cell: float = 8.0, single: bool = False) -> DataFrame:
     """(group, geometry, area): the union of each group's shapes as a valid multipolygon, holes kept; exteriors run
-    counter-clockwise, holes clockwise, without points on a line. A group without area has an empty geometry."""
+    counter-clockwise, holes clockwise, without points on a line. A group without area has an empty geometry. ``single``
+    tells that each group is one shape."""
     scratch = Scratch(spark, "dissolve")
     named = shapes.select(F.col(group).alias("g"), F.col(shape).alias("shape"), F.col(geometry).alias("geometry"))
-    whole = _assembled(boundary_rings(spark, _outline(spark, named, scratch, cell), scratch), scratch, cell)
+    whole = _assembled(boundary_rings(spark, _outline(spark, named, scratch, cell, single), scratch, single), scratch, cell)
     empty = F.array().cast(f"array<{RINGS}>")
     every = named.select("g").distinct().join(shuffled(whole), "g", "left")
     return every.select(F.col("g").alias(group), F.coalesce("geometry", empty).alias("geometry"), F.coalesce("area", F.lit(0.0)).alias("area"))
@@ -229,7 +238,7 @@ def make_valid(spark: SparkSession, shapes: DataFrame, key: str, geometry: str,
     """(key, geometry, area): each shape as a valid multipolygon of the places within an odd number of its rings: a bow tie
     becomes two polygons, spikes go, a ring that is given twice counts once."""
     same = shapes.select(F.col(key).alias("__g"), F.col(key).alias("__shape"), F.col(geometry).alias("__geometry"))
-    return dissolve(spark, same, "__g", "__shape", "__geometry", cell).select(F.col("__g").alias(key), F.col("geometry").alias(geometry), "area")
+    return dissolve(spark, same, "__g", "__shape", "__geometry", cell, single=True).select(F.col("__g").alias(key), F.col("geometry").alias(geometry), "area")
 
 
 def touching(spark: SparkSession, shapes: DataFrame, key: str, geometry: str, cell: float = 8.0) -> DataFrame:

@@ -147,3 +147,13 @@ def test_measures_and_groups_without_a_row_for_a_group(spark):
     assert rows == {(r[0], name) for r in lists for name in r[1]} and len(lists) == 2
     got = {tuple(r) for r in arrange.dissolved_measures(spark, df.selectExpr("name = 'd' as g", "name", "geometry"), "g", "name", "geometry").collect()}
     assert got == {(False, 26.0, 30.0, 10), (True, 1.0, 4.0, 4)}
+
+
+def test_a_shape_is_walked_without_components(spark, monkeypatch):
+    """All rings of a shape that was given are walked at once."""
+    monkeypatch.setattr(arrange, "connected_components", None)
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    far = [ring((0, 0), (2, 2), (2, 0), (0, 2), (0, 0))], [ring((10, 0), (13, 0), (13, 3), (10, 3), (10, 0)), ring((11, 1), (11, 2), (12, 2), (12, 1), (11, 1))]
+    df = spark.createDataFrame([("a", list(far)), ("b", [far[1]])], "k string, geometry array<array<array<struct<x:double,y:double>>>>")
+    got = {r.k: ([len(p) for p in r.geometry], round(r.area, 9)) for r in arrange.make_valid(spark, df, "k", "geometry").collect()}
+    assert got == {"a": ([1, 1, 2], 10.0), "b": ([2], 8.0)}
