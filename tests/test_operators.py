@@ -121,6 +121,40 @@ def test_roots_come_down_within_a_task(spark):
         assert most is None or len(rounds) <= most
 
 
+def test_components_are_tied_within_a_task(spark):
+    n = 900
+    pairs = [(i, i + 1) for i in range(n) if i % 300 != 299] + [(5, 5), (7, 600), (2000, 2000)]
+    want = {i: 0 if i < 300 or i >= 600 else 300 for i in range(n)} | {2000: 2000}
+    df = spark.createDataFrame(pairs, "a long, b long")
+    original = Scratch.keep
+    for window, most in ((100_000, 6), (3, 40)):
+        rounds = []
+        try:
+            Scratch.keep = lambda self, df, name, *more, **named: (rounds.append(name), original(self, df, name, *more, **named))[1]  # noqa: B023
+            got = {r.id: r.component for r in graph.connected_components(spark, df, Scratch(spark, "test"), window=window).collect()}
+        finally:
+            Scratch.keep = original
+        assert got == want and len(rounds) <= most
+
+
+def test_rays_of_adjacent_lines_meet_once(spark):
+    rng = random.Random(31)
+    rows = [(float(i), rng.randrange(4), rng.randrange(-7, 8), {"X": rng.uniform(-9, 9), "Y": rng.uniform(-9, 9), "Z": 0.0}, 0.0, 0.0, 50.0) for i in range(80)]
+    lined = spark.createDataFrame(rows, "GpsTime double, line long, angle int, top struct<X:double,Y:double,Z:double>, scanner_x double, scanner_y double, scanner_z double")
+    for spread in (1, 2):
+        found = P.ray_neighbours(lined, spread)
+        got = {(r.GpsTime, r.side): r.other for r in found.collect() if r.side.endswith("line")}
+        want = {}
+        for a in rows:
+            for side, step in (("next_line", 1), ("prev_line", -1)):
+                turn = lambda b: round(math.acos(max(-1.0, min(1.0, np.dot(u := [a[3]["X"], a[3]["Y"], -50.0], v := [b[3]["X"], b[3]["Y"], -50.0]) / (np.linalg.norm(u) * np.linalg.norm(v))))), 9)  # noqa: B023, E731
+                near = [b for b in rows if b[1] == a[1] + step and abs(b[2] - a[2]) <= spread]
+                if near:
+                    want[a[0], side] = min(near, key=lambda b: (turn(b), b[0]))[0]
+        assert got == want and len(want) > 100
+    assert "band" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_edges_of_other_lines_do_not_meet(spark):
     """Level, upright and slanted edges; -0.0 is the line of 0.0."""
     rows = [(1, 0.0, 0.0, 9.0, 0.0), (2, 20.0, -0.0, 4.0, -0.0), (3, 9.0, 0.0, 12.0, 0.0), (4, 0.0, 0.0, 0.0, 5.0), (5, -0.0, 4.0, 0.0, 30.0), (6, 1.0, 1.0, 5.0, 5.0), (7, 9.0, 9.0, 2.0, 2.0), (8, 1.0, 2.0, 5.0, 6.0), (9, 0.0, 1.0, 9.0, 1.0)]
