@@ -138,3 +138,26 @@ def test_vertices_go_where_no_ring_needs_them(spark):
     assert at["below"] == [(10.0, 0.0), (9.0, -3.0), (20.0, -3.0), (20.0, 0.0), (10.0, 0.0)]
     assert at["first"] == [(9.0, 50.0), (9.0, 55.0), (0.0, 55.0), (0.0, 50.0), (9.0, 50.0)]
     assert len(at["near"]) == 5 and len(at["bare"]) == 4 and out["none"] is None
+
+
+def test_straight_runs_go_in_one_pass(spark, monkeypatch):
+    """Walls of 60 metres with a vertex at each, one of them met half-way, take the writes of one pass; shapes without a vertex stay as they are."""
+    from plumbline.operators.simplify import Scratch
+
+    wall = [(float(i), 0.0, 0.0) for i in range(60)]
+    upper = [[[*wall, (60.0, 0.0, 0.0), (60.0, 9.0, 0.0), (0.0, 9.0, 0.0), wall[0]]]]
+    lower = [[[(30.0, 0.0, 0.0), *reversed(wall[:30]), (0.0, -9.0, 0.0), (30.0, -9.0, 0.0), (30.0, 0.0, 0.0)]]]
+    bent = [[[*[(float(i), 40.0 + (0.9e-6 if i % 2 else 0.0), 0.0) for i in range(9)], (8.0, 45.0, 0.0), (0.0, 45.0, 0.0), (0.0, 40.0, 0.0)]]]
+    rows = [("upper", upper), ("lower", lower), ("bent", bent), ("empty", []), ("bare", [[]]), ("none", None)]
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a, **b: written.append(name) or keep(self, df, name, *a, **b))
+    out = {r.key: r.geometry for r in simplify(spark, spark.createDataFrame([r for r in rows if r[0] != "bent"], f"key string, {GEOMETRY}"), "key", "geometry").collect()}
+    assert len(written) <= 4
+    at = {k: [(p.x, p.y) for p in g[0][0]] for k, g in out.items() if k in ("upper", "lower")}
+    assert at["upper"] == [(0.0, 0.0), (30.0, 0.0), (60.0, 0.0), (60.0, 9.0), (0.0, 9.0), (0.0, 0.0)]
+    assert at["lower"] == [(30.0, 0.0), (0.0, 0.0), (0.0, -9.0), (30.0, -9.0), (30.0, 0.0)]
+    assert out["empty"] == [] and out["bare"] == [[]] and out["none"] is None
+    # Off the line by almost the tolerance: what goes is within it of the line of its neighbours then, so the ends stay.
+    out = {r.key: r.geometry for r in simplify(spark, spark.createDataFrame(rows, f"key string, {GEOMETRY}"), "key", "geometry").collect()}
+    left = [(p.x, p.y) for p in out["bent"][0][0]]
+    assert {(0.0, 40.0), (8.0, 40.0), (8.0, 45.0), (0.0, 45.0)} <= set(left) and len(left) < 12
