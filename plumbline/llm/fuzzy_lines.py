@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,15 +119,20 @@ def _signed(lines: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], "s array<int>"]))
 
 
-def _keys() -> Column:
-    """The bands of a signature."""
+def _banded(lines: DataFrame) -> DataFrame:
+    """(node, key): the bands of each line's signature.
+
+    Numbers are exploded and each row hashes its own run, as Spark compiles that; a function over arrays is interpreted, hash by hash.
+    """
     n = F.size("s")
 
-    def bands(run: int, low: int, high: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice("s", i, run), F.lit(run)))
-        return F.when((n >= low) & (n <= high), made).otherwise(F.array().cast("array<bigint>"))
+    def numbers(run: int, low: int, high: int) -> Column:
+        return F.when((n >= low) & (n <= high), F.sequence(F.lit(32 * run), 32 * run + n - run)).otherwise(F.array().cast("array<int>"))
 
-    return F.concat(*[bands(*r) for r in RUNS])
+    rows = lines.select(F.xxhash64("id").alias("node"), "s", F.explode(F.concat(*[numbers(*r) for r in RUNS])).alias("k"))
+    run, at = F.shiftright("k", 5), F.col("k").bitwiseAND(31)
+    longest = max(r[0] for r in RUNS)
+    return rows.select("node", F.xxhash64(*[F.when(run > i, F.get("s", at + i)) for i in range(longest)], run).alias("key"))
 
 
 def shingle_set(line: str) -> set[str]:
@@ -146,15 +152,18 @@ def _sizes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["both", "either"]).astype("int64")
 
 
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity by signatures: the least hashes of both together are a sample of their union."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        one, two = set(x.tolist()), set(y.tolist())
-        least = sorted(h & 0xFFFFFFFF for h in one | two)[:LEAST]
-        both = {h & 0xFFFFFFFF for h in one & two}
-        out.append(sum(h in both for h in least) / max(len(least), 1))
-    return pd.Series(out, dtype=float)
+def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Similarity by signatures, pair by pair: the least hashes of both together are a sample of their union."""
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    pair = [np.repeat(np.arange(len(n)), n).astype(np.uint64) << np.uint64(32) for n in sizes]
+    # Each side is in order, so sorting is one merge; a hash of both stands twice in a row.
+    both = np.sort(np.concatenate([p | x.flatten().to_numpy(zero_copy_only=False).view(np.uint32) for p, x in zip(pair, (a, b), strict=True)]), kind="stable")
+    first = np.append(True, both[1:] != both[:-1])[: len(both)]
+    twice = np.append(~first[1:], False)[: len(both)][first]
+    of = (both[first] >> np.uint64(32)).astype(np.int64)
+    least = np.arange(len(of)) - np.searchsorted(of, of) < LEAST
+    total, shared = (np.bincount(of[m], minlength=len(a)) for m in (least, least & twice))
+    return pa.array(shared / np.maximum(total, 1))
 
 
 class FuzzyLines:
@@ -172,7 +181,7 @@ class FuzzyLines:
         """Pairs (a, b) whose signatures allow a link, and how far apart these are."""
         side = lambda x: self.signs.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
         met = pairs.join(side("a"), "a").join(side("b"), "b")
-        alike = F.pandas_udf(_alike, "double")
+        alike = F.arrow_udf(similarities, "double")
         return met.select("a", "b", (1 - alike("s_a", "s_b")).alias("apart")).where(F.col("apart") <= 1 - COMMON * self.similarity / 0.8)
 
     def _confirm(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -215,7 +224,7 @@ class FuzzyLines:
         in links, and its copies are found all the same.
         """
         keep = self.scratch.keep
-        signed = self.lines.select(F.xxhash64("id").alias("node"), F.explode(_keys()).alias("key"))
+        signed = _banded(self.lines)
         # A part of each hash tells whether a bucket has two nodes: less to shuffle, and two parts in one bucket agree once in 2**16.
         half = F.shiftright("node", 48).cast("smallint")
         shared = signed.groupBy("key").agg(F.min(half).alias("x"), F.max(half).alias("y")).where("x <> y").select("key")

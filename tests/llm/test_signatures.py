@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from plumbline.llm import fuzzy_lines
@@ -19,3 +20,20 @@ def test_least_hashes_of_all_shingles():
         every = [fuzzy_lines.signatures(pa.array([x])).to_pylist()[0][0] & 0xFFFFFFFF for x in shingles[50:]] + [known[x] for x in shingles[:50]]
         assert [h & 0xFFFFFFFF for h in s] == sorted(set(every))[: fuzzy_lines.LEAST]
     assert len(set(known.values())) == len(known)
+
+
+def test_similarities_are_those_of_sets():
+    rng = np.random.default_rng(3)
+    sides = [[], []]
+    for _ in range(400):
+        pool = rng.integers(0, 2**32, 45, dtype=np.uint64)
+        for side in sides:
+            side.append(np.unique(rng.choice(pool, rng.integers(0, 26)))[: fuzzy_lines.LEAST])
+    want = []
+    for x, y in zip(*sides):
+        least = sorted({*x.tolist(), *y.tolist()})[: fuzzy_lines.LEAST]
+        want.append(sum(h in x and h in y for h in least) / max(len(least), 1))
+    a, b = (pa.array([x.astype(np.uint32).view(np.int32).tolist() for x in side], pa.list_(pa.int32())) for side in sides)
+    assert fuzzy_lines.similarities(a, b).to_pylist() == want
+    assert fuzzy_lines.similarities(a[7:90], b[7:90]).to_pylist() == want[7:90]
+    assert fuzzy_lines.similarities(a[:0], b[:0]).to_pylist() == []
