@@ -3,6 +3,7 @@
 import glob
 import json
 import random
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -161,3 +162,22 @@ def test_straight_runs_go_in_one_pass(spark, monkeypatch):
     out = {r.key: r.geometry for r in simplify(spark, spark.createDataFrame(rows, f"key string, {GEOMETRY}"), "key", "geometry").collect()}
     left = [(p.x, p.y) for p in out["bent"][0][0]]
     assert {(0.0, 40.0), (8.0, 40.0), (8.0, 45.0), (0.0, 45.0)} <= set(left) and len(left) < 12
+
+
+def test_what_was_shuffled_for_a_kept_table_is_removed(spark):
+    from plumbline.plans.scratch import Scratch
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+    counts = spark.range(100_000).groupBy((F.col("id") % 777).alias("k")).count()
+    scratch, before = Scratch(spark, "test"), files()
+    kept = scratch.keep(counts, "counts")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == counts.count() == scratch.keep(counts, "again").count() == 777
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    scratch.drop()
