@@ -8,12 +8,14 @@ A line's MinHash signature is the ``LEAST`` least hashes of all its shingles of
 spaces; all lines sign alike. A band is a run of three hashes that follow each other in the sorted signature (of two or one in
 short signatures): two lines meet if any three that follow each other are the same, whatever else stands between the others. Recall by kind of line is in the README and the tests.
 
-Equal lines are one node (by their md5), so copies are never expanded. Each member of a bucket first meets
-the bucket's two pivots only. Where a bucket then still holds several components, a small one (``SMALL`` members) meets in all
-pairs, and a larger one's members are split by pairs of the bands that they share, into finer buckets that are dealt with in the
-same two ways. Members that are still apart after that in a bucket of any size meet in all pairs, block by block, so
-that no pair that shares a bucket goes by. Pairs whose
-signatures have few hashes in common are dropped; texts of nodes that share a bucket are split off again, and what is left is verified on the sets of
+Equal lines are one node (by their md5), so copies are never expanded. Members of a bucket bring a sketch of their signature (a bitmap
+of parities), and pairs whose sketches show that their signatures have too few hashes in common never leave the bucket: most
+buckets of a large corpus hold lines that share common words by chance. Each member first meets the nearest of those before it (in blocks
+of ``BLOCK``). What is left to compare in a bucket is remembered; where its members are still apart
+after that, they meet in all pairs, block by block, so that no pair that shares a bucket goes by. There they bring a bitmap of
+all their shingles, and pairs of which it shows that they aren't similar stay in the block, too. Keys are dealt in ``PASSES`` passes,
+so only a part of all bands is on disk at once. Pairs whose
+signatures have few hashes in common are dropped; texts of nodes in the pairs that are left are split off again, and these are verified on the sets of
 all their shingles, as strings. Components come from alternating stars.
 
 Signatures and comparisons run in Arrow batches: with DataFrame functions alone, the shingles of all lines took more CPU
@@ -27,6 +29,7 @@ others; columns of any name ride along; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,23 +51,28 @@ LEAST = 20
 RUNS = ((3, 5, LEAST), (2, 3, 5), (1, 1, 3))
 #: Similarity that the signatures of similar lines show at least: 0.73 (0.8 of the shorter shingles where edits are far apart), less three standard deviations.
 COMMON = 0.42
-#: Members of a bucket that meet in all pairs.
-SMALL = 8
-#: Members of larger buckets that meet in one place, about.
-BLOCK = 256
-#: Keys of shared buckets, and the nodes in them, are broadcast to the lines up to this many; beyond that both are shuffled.
-MOST_BROADCAST = 500_000
+#: Bits in which the sketches of such signatures differ at most: they have 9 of ``LEAST`` hashes in common, and each other hash turns one bit.
+MOST_APART = 22
+#: Members of a bucket that meet in one place, and pairs that are looked at together.
+BLOCK, TOGETHER = 256, 1 << 20
+#: Rows of sorted bands that are taken at once.
+CHUNK = 1 << 16
+#: Passes over the bands of a large table, and bands of one pass of a small one.
+PASSES, PASS_BANDS = 8, 1 << 22
+#: Ids of lines that are compared are broadcast to the lines up to this many; beyond that a bitmap of as many bits tells which lines may be
+#: among them (of 10 million ids, it lets 7 in 100 of the others by), and these and the ids are shuffled.
+MOST_BROADCAST, BITMAP = 500_000, 1 << 26
 #: Hashes of a line that are sorted first, about; it has ``LEAST`` distinct ones among them, or all are sorted.
 PICKED = 48
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(points: np.ndarray) -> np.ndarray:
+def _hashes(points: np.ndarray, length: int = SIGNED) -> np.ndarray:
     """A 32-bit hash, as 64-bit number, of the shingle that begins at each code point but the last ones."""
-    n = max(0, len(points) - SIGNED + 1)
+    n = max(0, len(points) - length + 1)
     h = np.zeros(n, np.uint64)
-    for k in range(SIGNED):
+    for k in range(length):
         h *= _STEP
         h += points[k : k + n]
     return mix(h) >> np.uint64(32)
@@ -79,18 +87,23 @@ def _picked(h: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np
     return (both[kept] & np.uint64(0xFFFFFFFF)), np.bincount(of[kept], minlength=lines)
 
 
-def signatures(column: pa.Array) -> pa.Array:
-    """The least hashes of each line of a string column without nulls, ascending."""
-    flat, counts = [], []
+def _shingled(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of lines: how many shingles each line has, the hashes of all of them one line after another, and their lines."""
     for _, data, starts in runs(column):
         points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))
         first = heads[starts]
         size = np.diff(np.append(first, len(points)))
-        own = np.maximum(size - SIGNED + 1, 0)
-        h = _hashes(points)
+        own = np.maximum(size - length + 1, 0)
+        h = _hashes(points, length)
         at = np.repeat(first - np.cumsum(own) + own, own) + np.arange(own.sum())
-        h, line = h[at], np.repeat(np.arange(len(own)), own)
+        yield own, h[at], np.repeat(np.arange(len(own)), own)
+
+
+def signatures(column: pa.Array) -> pa.Array:
+    """The least hashes of each line of a string column without nulls, ascending."""
+    flat, counts = [], []
+    for own, h, line in _shingled(column, SIGNED):
         few = h < np.repeat(np.minimum(PICKED / np.maximum(own, 1), 1.0) * 2.0**32, own)
         least, n = _picked(h[few], line[few], len(own))
         short = (n < np.minimum(own, LEAST)) & (own > PICKED)  # many repeats: all hashes of these lines
@@ -109,18 +122,70 @@ def signatures(column: pa.Array) -> pa.Array:
 
 
 def _signed(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and s: the signature of ``norm``, empty where that is null."""
+    """``keep`` and s: the signature of ``norm``; of lines that are equal (by ``id``) and come together, the first one's only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], signatures(b.column(0))], [*keep, "s"])
+            which, first = np.unique(b.column(keep.index("id") + 1).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), return_index=True)
+            first = np.sort(first[which >= 0])
+            at = np.full(b.num_rows, -1)
+            at[first] = np.arange(len(first))
+            s = signatures(b.column(0).take(pa.array(first)))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], s.take(pa.array(at, mask=at < 0))], [*keep, "s"])
 
     rows = lines.select(F.coalesce("norm", F.lit("")).alias("norm"), *keep)
     return rows.mapInArrow(run, ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], "s array<int>"]))
 
 
-def _banded(lines: DataFrame) -> DataFrame:
-    """(node, key): the bands of each line's signature.
+def sketches(column: pa.Array) -> list[np.ndarray]:
+    """Of each signature (none is empty) 256 bits in four numbers: a bit is set if an odd number of hashes fall on it."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    at = mix(column.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)) >> np.uint64(56)
+    word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+    if not len(sizes):
+        return [np.zeros(0, np.int64)] * 4
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    return [np.bitwise_xor.reduceat(np.where(word == w, bit, 0), starts).view(np.int64) for w in range(4)]
+
+
+SKETCH = ["k0", "k1", "k2", "k3"]
+#: Of a line that is compared: characters where a shingle begins (no less than its distinct shingles), and 1024 bits, on which these fall.
+FULL = ["places", *[f"b{i}" for i in range(16)]]
+
+
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, norm) with what ``FULL`` tells of the line."""
+    for b in batches:
+        n, bits = [], []
+        for own, h, line in _shingled(b.column(1), SHINGLE):
+            held = np.zeros((len(own), 1024), bool)
+            held[line, (h >> np.uint64(22)).astype(np.int64)] = True
+            n.append(np.maximum(own, 1))
+            bits.append(np.packbits(held, axis=1).view(np.int64))
+        n, bits = (np.concatenate(n), np.concatenate(bits)) if n else (np.zeros(0, np.int64), np.zeros((0, 16), np.int64))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(16)]], ["node", "norm", *FULL])
+
+
+def _most(similarity: float, n: object) -> object:
+    """Shingles that one of two similar lines has and the other has not, at most; no more bits differ, as each that differs tells of one such shingle. n: both lines' shingles."""
+    return (1 - similarity) / (1 + similarity) * n + 0.01
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each node (node, id, s), with its sketch; rows come in order."""
+    last = None
+    for b in batches:
+        node = b.column(0).to_numpy()
+        new = np.append(True, node[1:] != node[:-1])[: len(node)]
+        if len(node):
+            new[0] = node[0] != last
+            last = node[-1]
+        one = b.filter(pa.array(new))
+        yield pa.RecordBatch.from_arrays([*one.columns, *map(pa.array, sketches(one.column(2)))], ["node", "id", "s", *SKETCH])
+
+
+def _banded(signs: DataFrame, part: int, parts: int) -> DataFrame:
+    """(key, node, sketch): the bands of each signature whose first hash falls in this part.
 
     Numbers are exploded and each row hashes its own run, as Spark compiles that; a function over arrays is interpreted, hash by hash.
     """
@@ -129,10 +194,143 @@ def _banded(lines: DataFrame) -> DataFrame:
     def numbers(run: int, low: int, high: int) -> Column:
         return F.when((n >= low) & (n <= high), F.sequence(F.lit(32 * run), 32 * run + n - run)).otherwise(F.array().cast("array<int>"))
 
-    rows = lines.select(F.xxhash64("id").alias("node"), "s", F.explode(F.concat(*[numbers(*r) for r in RUNS])).alias("k"))
+    rows = signs.select("node", *SKETCH, "s", F.explode(F.concat(*[numbers(*r) for r in RUNS])).alias("k"))
     run, at = F.shiftright("k", 5), F.col("k").bitwiseAND(31)
     longest = max(r[0] for r in RUNS)
-    return rows.select("node", F.xxhash64(*[F.when(run > i, F.get("s", at + i)) for i in range(longest)], run).alias("key"))
+    own = rows.where(F.pmod(F.get("s", at), F.lit(parts)) == part) if parts > 1 else rows
+    return own.select(F.xxhash64(*[F.when(run > i, F.get("s", at + i)) for i in range(longest)], run).alias("key"), "node", *SKETCH)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of each row i and the rows j from ``low`` to before ``high``, about ``TOGETHER`` at once."""
+    n = np.maximum(high - low, 0)
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, "right")))
+        i = np.repeat(np.arange(at, end), n[at:end])
+        first = np.append(0, np.cumsum(n[at:end])[:-1])
+        yield i, low[i] + np.arange(len(i)) - np.repeat(first, n[at:end])
+        at = end
+
+
+def _bits_apart(k: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches (four columns) of rows i and j differ."""
+    return np.bitwise_count(np.take(k, i, 0) ^ np.take(k, j, 0)).sum(1, dtype=np.int64)
+
+
+def _near(key: np.ndarray, node: np.ndarray, k: np.ndarray, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of their keys: pairs of each row and the nearest of those before it in its bucket, and which rows have more that they may
+    be like. Members meet in blocks, and all of them the bucket's first; ``split`` is the key of a bucket that has members elsewhere."""
+    if not len(key):
+        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    rows = np.arange(len(key))
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.maximum.accumulate(np.where(new, rows, 0))
+    ends = np.append(np.nonzero(new)[0][1:], len(key))
+    end = ends[np.cumsum(new) - 1]
+    block = (rows - first) // BLOCK
+    more = np.zeros(len(key), bool)
+    pairs = []
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        d = _bits_apart(k, i, j)
+        near = np.nonzero((d <= MOST_APART) & (node[i] != node[j]))[0]
+        pairs.append((i[near], j[near], d[near]))
+
+    for i, j in _ranges(rows + 1, np.minimum(end, first + (block + 1) * BLOCK)):
+        look(i, j)
+    late = rows[block > 0]
+    look(first[late], late)
+    i, j, d = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((i, d, j))
+    i, j = i[order], j[order]
+    best = np.append(True, j[1:] != j[:-1])[: len(j)]
+    more[i[~best]] = more[j[~best]] = True
+    more |= end - first > BLOCK
+    if split is not None:
+        more |= key == split
+    return np.stack([i[best], j[best]]), np.nonzero(more)[0]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of bands in order of their keys: pairs to be compared (no key, a, b), and members of buckets in which there are more (key, a, null)."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        columns = [c.combine_chunks().to_numpy() for c in rows.columns]
+        key, node, k = columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], 1)
+        shared = np.zeros(len(key), bool)
+        shared[1:] = key[1:] == key[:-1]
+        shared[:-1] |= shared[1:]
+        key, node, k = key[shared], node[shared], k[shared]
+        near, more = _near(key, node, k, split)
+        a, b = node[near[0]], node[near[1]]
+        n = len(a)
+        none = np.arange(n + len(more))
+        out = [pa.array(np.append(np.zeros(n, np.int64), key[more]), mask=none < n), pa.array(np.append(np.minimum(a, b), node[more])), pa.array(np.append(np.maximum(a, b), np.zeros(len(more), np.int64)), mask=none >= n)]
+        return pa.RecordBatch.from_arrays(out, ["key", "a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    size, split = 0, None
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= CHUNK:
+            rows = pa.Table.from_batches(held)
+            key = rows.column(0).combine_chunks().to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield found(rows.slice(0, last))
+            rest = rows.slice(last)
+            if rest.num_rows >= CHUNK:  # a bucket of very many: its first member meets those that come later, too
+                split = int(key[-1])
+                yield found(rest)
+                rest = rest.slice(0, 1)
+            held, size = rest.combine_chunks().to_batches(), rest.num_rows
+    if size:
+        yield found(pa.Table.from_batches(held))
+
+
+def _every(batches: Iterator[pa.RecordBatch], similarity: float = 0.0) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components in blocks (key, i, j, block, node, component and, if any, sketch and ``FULL``) that come in order."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, block, node, component, *k = [c.combine_chunks().to_numpy() for c in rows.columns]
+        row = np.arange(len(key))
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[: len(key)]
+        end = np.append(np.nonzero(new)[0][1:], len(key))[np.cumsum(new) - 1]
+        turn = np.append(True, new[1:] | (block[1:] != block[:-1]))[: len(key)]
+        after = np.append(np.nonzero(turn)[0][1:], len(key))[np.cumsum(turn) - 1]
+        pairs = [np.zeros((2, 0), np.int64)]
+        if k:
+            sketch, n_of, bits = np.stack([c.view(np.uint64) for c in k[:4]], 1), k[4], np.stack([c.view(np.uint64) for c in k[5:]], 1)
+        for x, y in _ranges(np.where(i == j, row + 1, after), np.where(block == i, end, 0)):
+            apart = (component[x] != component[y]) & (node[x] != node[y])
+            x, y = x[apart], y[apart]
+            if k:
+                near = _bits_apart(sketch, x, y) <= MOST_APART
+                x, y = x[near], y[near]
+                near = _bits_apart(bits, x, y) <= _most(similarity, n_of[x] + n_of[y])
+                x, y = x[near], y[near]
+            pairs.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        a, b = np.concatenate(pairs, 1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= CHUNK:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key, i, j = (rows.column(c).to_numpy() for c in range(3))
+            other = np.nonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))[0]
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield found(rows.slice(0, last))
+            held, size = rows.slice(last).to_batches(), rows.num_rows - last
+    if size:
+        yield found(pa.Table.from_batches(held))
 
 
 def shingle_set(line: str) -> set[str]:
@@ -166,13 +364,19 @@ def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(shared / np.maximum(total, 1))
 
 
+def _places(node: Column) -> list[Column]:
+    """Two places of a node in the bitmap."""
+    return [F.shiftrightunsigned(node, n).bitwiseAND(BITMAP - 1).cast("int") for n in (0, 32)]
+
+
 class FuzzyLines:
     """Links between the lines of one table (row, doc_id, text), which has one row per document."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame, scratch: Scratch, similarity: float = 0.8):
         self.spark, self.similarity, self.scratch = spark, similarity, scratch
         lines = rows.select("row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-        lines = lines.select("row", "no", "doc_id", normalised_line(F.col("line")).alias("norm"))
+        # An exploded value is made once, however often it is asked for.
+        lines = lines.select("row", "no", "doc_id", F.explode(F.array(normalised_line(F.col("line")))).alias("norm"))
         self.split = lines.select("row", "no", "doc_id", F.when(F.col("norm") != "", F.col("norm")).alias("norm")).withColumn("id", F.unhex(F.md5("norm")))
         # Texts are not stored; those of pairs that are compared are split off again.
         self.lines = scratch.keep(_signed(self.split, ["row", "no", "doc_id", "id"]), "lines", "zstd", dictionary=False)
@@ -186,8 +390,9 @@ class FuzzyLines:
 
     def _confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are links by all their shingles."""
-        t = lambda x: self.texts.select(F.col("node").alias(x), F.col("norm").alias(f"t_{x}"))
-        met = pairs.select("a", "b").join(t("b"), "b").join(t("a"), "a")
+        t = lambda x: self.texts.select(F.col("node").alias(x), F.col("norm").alias(f"t_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in FULL])
+        apart = reduce(Column.__add__, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in FULL[1:]])
+        met = pairs.select("a", "b").join(t("b"), "b").join(t("a"), "a").where(apart <= _most(self.similarity, F.col("places_a") + F.col("places_b")))
         sizes = F.pandas_udf(_sizes, "both long, either long")
         found = met.select("a", "b", sizes("t_a", "t_b").alias("n")).where(F.col("n.both") >= F.lit(self.similarity) * F.col("n.either") - 1e-6)
         return self.scratch.keep(found.select("a", "b"), f"{name}-links")
@@ -201,21 +406,11 @@ class FuzzyLines:
     def _labels(self, links: DataFrame, name: str) -> DataFrame:
         return connected_components(self.spark, links, self.scratch, name)
 
-    def _star(self, members: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) of each member of a bucket and the bucket's pivots.
-
-        One pivot is the member that shares most bands with others, so that variants of a line meet what they come
-        from; the other is any member.
-        """
-        sizes = self.scratch.keep(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
-        sized = members.join(sizes, "key")
-        central = self.scratch.keep(sized.groupBy("node").agg(F.sum("size").alias("mates")), f"{name}-mates")
-        known = members.join(central, "node")
-        pivots = F.array(F.max_by("node", F.struct("mates", "node")), F.min_by("node", F.xxhash64("node", "key")))
-        # Written, so that a bucket of very many members is split over tasks where it is joined.
-        buckets = self.scratch.keep(known.groupBy("key").agg(F.array_distinct(pivots).alias("pivots")), f"{name}-pivots")
-        pairs = members.join(buckets.select("key", F.explode("pivots").alias("p")), "key").where("node <> p")
-        return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    def _signs(self) -> DataFrame:
+        """(node, id, s, sketch): one row of each node that has a signature."""
+        lines = self.lines.where("id is not null and size(s) > 0").select(F.xxhash64("id").alias("node"), "id", "s")
+        dealt = lines.repartition("node").sortWithinPartitions("node", "id")
+        return dealt.mapInArrow(_nodes, "node long, id binary, s array<int>, " + ", ".join(f"{c} long" for c in SKETCH))
 
     def labels(self) -> DataFrame:
         """(id, component) of the nodes that have links.
@@ -224,15 +419,23 @@ class FuzzyLines:
         in links, and its copies are found all the same.
         """
         keep = self.scratch.keep
-        signed = _banded(self.lines)
-        # A part of each hash tells whether a bucket has two nodes: less to shuffle, and two parts in one bucket agree once in 2**16.
-        half = F.shiftright("node", 48).cast("smallint")
-        shared = signed.groupBy("key").agg(F.min(half).alias("x"), F.max(half).alias("y")).where("x <> y").select("key")
-        members = signed.join(self._small(shared, "shared"), "key", "left_semi").distinct()
-        members = keep(members, "members")
-        self._fetch(members.select("node").distinct())
-
-        star = keep(self._fitting(self._star(members, "first")), "star")
+        every = keep(self._signs(), "every-sign", dictionary=False)
+        bands = every.agg(F.sum(F.size("s"))).first()[0] or 0
+        parts = min(PASSES, 1 + bands // PASS_BANDS)
+        met = []
+        for part in range(parts):
+            dealt = _banded(every, part, parts).repartition("key").sortWithinPartitions("key")
+            met.append(keep(dealt.mapInArrow(_met, "key long, a long, b long"), f"met-{part}", dictionary=False))
+        met = reduce(DataFrame.unionByName, met)
+        first = keep(met.where("key is null").select("a", "b").distinct(), "first")
+        members = keep(met.where("key is not null").select("key", F.col("a").alias("node")).distinct(), "members")
+        nodes = first.select(F.col("a").alias("node")).union(first.select("b")).union(members.select("node")).distinct()
+        self.signs = keep(every.join(nodes.hint("merge"), "node", "left_semi"), "signs", dictionary=False)
+        for name in ("every-sign", *[f"met-{part}" for part in range(parts)]):
+            self.scratch.remove(name)
+
+        star = keep(self._fitting(first), "star")
+        self._fetch(star.select(F.col("a").alias("node")).union(star.select("b")).union(members.select("node")).distinct())
         best = star.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).where("k = 1").drop("k")
         links = self._confirm(best, "best")
         found = self._labels(links, "best-labels")
@@ -240,77 +443,55 @@ class FuzzyLines:
         links = links.union(self._confirm(more, "star"))
         found = self._labels(links, "star-labels")
 
-        # A bucket of three members has had all its pairs met.
-        mixed = keep(self._mixed(members, found, 3), "mixed")
-        finer = keep(self._split(mixed.where(F.col("size") > SMALL)), "finer")
-        met = self._star(finer, "second").unionByName(self._pairs(mixed)).distinct()
-        met = keep(self._fitting(self._apart(met, found)), "finer-star")
-        links = links.union(self._confirm(met, "finer"))
-        found = self._labels(links, "finer-labels")
-        last = keep(self._fitting(self._pairs(keep(self._mixed(finer, found, 3), "mixed-finer"))), "last-star")
-        links = links.union(self._confirm(last, "last"))
-        found = self._labels(links, "last-labels")
-        # What still is apart in larger buckets, of either level, meets in all pairs.
-        rest = keep(self._mixed(members, found, SMALL).unionByName(self._mixed(finer, found, SMALL)), "rest")
-        met = keep(self._fitting(self._every_pair(rest)), "rest-pairs")
+        # What still is apart in a bucket meets in all pairs.
+        mixed = keep(self._mixed(members, found), "mixed")
+        met = keep(self._fitting(self._every_pair(mixed.join(self.signs.select("node", *SKETCH), "node").join(self.texts.select("node", *FULL), "node"), self.similarity)), "rest")
         links = links.union(self._confirm(met, "rest"))
         found = self._labels(links, "labels")
-        ids = self.lines.select(F.xxhash64("id").alias("node"), "id").where("id is not null").groupBy("node").agg(F.min("id").alias("line_id"))
-        found = keep(found.join(ids, F.col("id") == F.col("node")).select(F.col("line_id").alias("id"), "component"), "found")
-        for name in ("members", "signs", "texts", "star", "mixed", "finer", "mixed-finer", "finer-star", "last-star", "rest", "rest-pairs", "first-pivots", "second-pivots", "first-mates", "second-mates"):
+        ids = self.signs.select(F.col("node").alias("id"), F.col("id").alias("line_id"))
+        found = keep(found.join(ids, "id").select(F.col("line_id").alias("id"), "component"), "found")
+        for name in ("first", "members", "signs", "texts", "star", "mixed", "rest"):
             self.scratch.remove(name)
         return found
 
-    def _small(self, keys: DataFrame, name: str) -> DataFrame:
-        """``keys`` to be broadcast, if they are few enough."""
-        keys = self.scratch.keep(keys, name)
-        return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
-
     def _fetch(self, nodes: DataFrame) -> None:
-        """signs and texts: (node, s) and (node, norm) of the nodes."""
-        lines = self.lines.where("id is not null").select(F.xxhash64("id").alias("node"), "id", "s").join(self._small(nodes, "nodes"), "node", "left_semi")
-        signs = self.scratch.keep(lines.groupBy("node").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s")), "signs", dictionary=False)
-        self.signs = signs.select("node", "s")
-        ids = self._small(signs.select("node", "id"), "ids")
-        one = self.split.select("id", "norm").join(ids, "id").groupBy("node").agg(F.first("norm").alias("norm"))
-        self.texts = self.scratch.keep(one, "texts", "zstd", dictionary=False)
-
-    def _mixed(self, members: DataFrame, labels: DataFrame, more_than: int) -> DataFrame:
-        """(key, node, component, size) of the buckets of more members than that which hold several components."""
+        """texts: (node, norm, and what ``FULL`` tells) of the nodes."""
+        ids = self.scratch.keep(self.signs.select("node", "id").join(nodes, "node", "left_semi"), "ids")
+        lines = self.split.select("id", "norm")
+        if ids.count() <= MOST_BROADCAST:
+            ids = F.broadcast(ids)
+        else:
+            lines = lines.join(F.broadcast(self._bitmap(ids)), reduce(Column.__and__, [F.getbit(F.get("bits", F.shiftright(x, 6)), x.bitwiseAND(63).cast("int")) == 1 for x in _places(F.xxhash64("id"))]), "left_semi")
+        one = lines.join(ids, "id").groupBy("id", "node").agg(F.first("norm").alias("norm")).select("node", "norm")
+        self.texts = self.scratch.keep(one.mapInArrow(_full, "node long, norm string, " + ", ".join(f"{c} long" for c in FULL)), "texts", "zstd", dictionary=False)
+
+    def _bitmap(self, ids: DataFrame) -> DataFrame:
+        """One row (bits): a bitmap in which two places of each node are set."""
+        at = ids.select(F.explode(F.array(*_places(F.col("node")))).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+        bits = np.zeros(BITMAP >> 6, np.int64)
+        bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+        return self.spark.createDataFrame([(bits.tolist(),)], "bits array<long>")
+
+    def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, node, component, size) of the buckets which hold several components."""
         shown = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = shown.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        return shown.join(mixed.where(F.col("x") != F.col("y")).where(F.col("size") > more_than).select("key", "size"), "key")
+        return shown.join(mixed.where(F.col("x") != F.col("y")).select("key", "size"), "key")
 
     @staticmethod
-    def _pairs(mixed: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components in small buckets, at most 28 a bucket."""
-        few = mixed.where(F.col("size") <= SMALL)
-        side = lambda x: few.select("key", F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-        return side("a").join(side("b"), "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
-
-    @staticmethod
-    def _every_pair(mixed: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components in buckets of any size.
+    def _every_pair(mixed: DataFrame, similarity: float = 0.0) -> DataFrame:
+        """Pairs (a, b) of different components in buckets of any size; of those with sketches, the ones that these allow.
 
         Members are dealt into blocks of about ``BLOCK``, and each two blocks of a bucket meet apart from the others, so no task
         holds a bucket. The work grows with the square of a bucket that holds many components.
         """
         blocks = F.ceil(F.col("size") / BLOCK)
-        own = mixed.select("key", "node", "component", blocks.alias("n"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).alias("block"))
-        side = lambda x, i, j: own.select("key", i.alias("i"), j.alias("j"), F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-        left = side("x", F.col("block"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)))
-        right = side("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))), F.col("block"))
-        met = left.join(right.hint("merge"), ["key", "i", "j"]).where("c_x <> c_y and (i < j or x < y)")
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    @staticmethod
-    def _split(mixed: DataFrame) -> DataFrame:
-        """Members of finer buckets: a pair of bands each, of those that a node has (it has few) in mixed buckets."""
-        own = mixed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-        entries = own.select("node", F.explode(pairs).alias("key"))
-        shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-        return entries.join(shared, "key", "left_semi").distinct()
+        own = mixed.withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")))
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", *[c for c in (*SKETCH, *FULL) if c in mixed.columns])
+        dealt = own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+        return dealt.mapInArrow(lambda batches: _every(batches, similarity), "a long, b long").distinct()
 
     def removed(self) -> DataFrame:
         """(row, removed, keepers): the numbers of the lines that go, ascending, of each row that loses any, and

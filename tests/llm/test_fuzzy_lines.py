@@ -206,3 +206,11 @@ def test_no_pair_of_a_large_bucket_goes_by(spark):
     want = {(a, b) for k, a, c, _ in rows for m, b, d, _ in rows if k == m and a < b and c != d}
     got = [tuple(r) for r in fuzzy_lines.FuzzyLines._every_pair(mixed).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_passes_and_small_blocks_change_nothing(spark, monkeypatch):
+    rows = corpus(random.Random(12))[:60]
+    for name, n in (("PASS_BANDS", 64), ("BLOCK", 4), ("CHUNK", 32), ("TOGETHER", 50)):
+        monkeypatch.setattr(fuzzy_lines, name, n)
+    got = {r.doc_id: r.removed for r in fuzzy_lines.line_report(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
+    assert got == {d: gone for (d, _), gone in zip(rows, brute(rows))} and sum(map(len, got.values())) > 20

@@ -37,3 +37,52 @@ def test_similarities_are_those_of_sets():
     assert fuzzy_lines.similarities(a, b).to_pylist() == want
     assert fuzzy_lines.similarities(a[7:90], b[7:90]).to_pylist() == want[7:90]
     assert fuzzy_lines.similarities(a[:0], b[:0]).to_pylist() == []
+
+
+def _batches(columns, size):
+    import itertools
+
+    table = pa.table(columns)
+    return itertools.chain(*[table.slice(k, size).to_batches() for k in range(0, table.num_rows, size)])
+
+
+def test_chance_pairs_stay_in_their_bucket(monkeypatch):
+    """Lines that share a band and little else are no pairs, whatever the bucket's size; like ones are found or their members are told."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(fuzzy_lines, "CHUNK", 500)
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", 16)
+    signs = [np.unique(np.append(rng.integers(0, 1 << 32, 17), [5, 6, 7])).astype(np.uint32) for _ in range(1300)]
+    for i in range(0, 1300, 26):  # like the one before it by 19 of 20 hashes
+        signs[i + 1] = np.append(signs[i][:-1], rng.integers(0, 1 << 32, 1).astype(np.uint32))
+    s = pa.array([x.view(np.int32).tolist() for x in signs], pa.list_(pa.int32()))
+    k = fuzzy_lines.sketches(s)
+    for key in (np.zeros(1300, np.int64), np.arange(1300) // 52, np.arange(1300)):
+        rows = {"key": key, "node": np.arange(1300), **{c: k[i] for i, c in enumerate(fuzzy_lines.SKETCH)}}
+        out = pa.Table.from_batches(fuzzy_lines._met(_batches(rows, 130))).to_pylist()
+        pairs, more = {(r["a"], r["b"]) for r in out if r["key"] is None}, {r["a"] for r in out if r["key"] is not None}
+        true = {(i, i + 1) for i in range(0, 1300, 26) if key[i] == key[i + 1]}
+        assert true <= pairs | {p for p in true if {*p} <= more} and len(pairs) < len(true) + 200  # of about 11,000 that meet in blocks
+        blocks = {"key": key, "i": np.zeros(1300, np.int64), "j": np.zeros(1300, np.int64), "block": np.zeros(1300, np.int64), "node": np.arange(1300), "component": np.arange(1300)}
+        every = blocks | {c: k[i] for i, c in enumerate(fuzzy_lines.SKETCH)} | {"places": np.full(1300, 50), **{c: np.zeros(1300, np.int64) for c in fuzzy_lines.FULL[1:]}}
+        met = {(r["a"], r["b"]) for r in pa.Table.from_batches(fuzzy_lines._every(_batches(every, 130), 0.8)).to_pylist()}
+        assert true <= met and len(met) < len(true) + 20_000  # of 844,350 pairs in one bucket
+
+
+def test_bitmaps_drop_no_similar_pair():
+    rng = random.Random(8)
+    lines, dropped = [], 0
+    for _ in range(300):
+        a = [rng.choice(["ka", "lo", "mit", "run", "sol"]) + rng.choice("abc") for _ in range(rng.randint(2, 60))]
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 1, 2, 5, 20])):
+            b[rng.randrange(len(b))] = rng.choice(["ka", "lo", "mit"]) + rng.choice("abc")
+        lines += [" ".join(a), " ".join(b)]
+    full = pa.Table.from_batches(fuzzy_lines._full(_batches({"node": np.arange(600), "norm": lines}, 100)))
+    bits = np.stack([full.column(c).to_numpy().view(np.uint64) for c in fuzzy_lines.FULL[1:]], 1)
+    places = full.column("places").to_numpy()
+    for i in range(0, 600, 2):
+        x, y = fuzzy_lines.shingle_set(lines[i]), fuzzy_lines.shingle_set(lines[i + 1])
+        may = np.bitwise_count(bits[i] ^ bits[i + 1]).sum() <= fuzzy_lines._most(0.8, places[i] + places[i + 1])
+        assert may or len(x & y) < 0.8 * len(x | y)
+        dropped += not may
+    assert dropped > 20
