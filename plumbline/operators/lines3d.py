@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.operators.keys import shuffled
 
@@ -53,11 +58,12 @@ def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_s
         along = np.linalg.svd(xyz[:, :2] - xyz[:, :2].mean(0), full_matrices=False)[2][0]
     if len(xyz) >= 2:
         rng = np.random.default_rng([977, key % (1 << 63)])
-        pairs = np.unique(np.sort(rng.integers(0, len(xyz), (samples, 2)), 1), axis=0)
+        drawn = np.sort(rng.integers(0, len(xyz), (samples, 2)), 1)
+        pairs = np.stack(np.divmod(np.unique(drawn[:, 0] * len(xyz) + drawn[:, 1]), len(xyz)), 1)
         d = xyz[pairs[:, 1]] - xyz[pairs[:, 0]]
         size = np.linalg.norm(d, axis=1)
         first, u = xyz[pairs[size >= EPS, 0]], d[size >= EPS] / size[size >= EPS, None]
-        step = max(1, PLACES // len(xyz))
+        step, places = max(1, PLACES // len(xyz)), xyz[:, :2] @ along
         for k in range(0, len(u), step):
             rel = xyz - first[k : k + step, None]
             t = np.einsum("pnc,pc->pn", rel, u[k : k + step])
@@ -67,35 +73,69 @@ def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_s
             able = np.nonzero(total > least_score)[0]  # no run has more than all together
             able = able[np.argsort(-total[able], kind="stable")]
             # Of lines with the same inliers the best one is looked at.
-            _, one = np.unique(np.packbits(away[able] <= threshold, axis=1), axis=0, return_index=True)
-            for i in able[np.sort(one)]:
-                held = np.nonzero(away[i] <= threshold)[0]
-                order = held[np.argsort(t[i, held], kind="stable")]
-                for run in np.split(order, np.nonzero(np.diff(t[i, order]) > gap)[0] + 1):
-                    score = float(worth[i, run].sum())
-                    if score > least_score:
-                        ends = first[k + i] + np.outer(t[i, run[[0, -1]]], u[k + i])
-                        places = xyz[run, :2] @ along
-                        found.append((score, frozenset(run.tolist()), ends, (places.min(), places.max())))
-    found.sort(key=lambda x: (-x[0], sorted(x[1])))
+            near = away[able] <= threshold
+            if len(xyz) <= 62:  # as bits of one number, which sort faster
+                _, one = np.unique(near @ (1 << np.arange(len(xyz))), return_index=True)
+            else:
+                _, one = np.unique(np.packbits(near, axis=1), axis=0, return_index=True)
+            one = np.sort(one)
+            able, near = able[one], near[one]
+            # All their points, line by line in order along it; a run ends with its line and before a gap.
+            order = np.argsort(np.where(near, t[able], np.inf), axis=1, kind="stable")
+            row, at = np.nonzero(np.arange(len(xyz)) < near.sum(1)[:, None])
+            point, line = order[row, at], able[row]
+            where = t[line, point]
+            starts = np.nonzero(np.append(True, (row[1:] != row[:-1]) | (where[1:] - where[:-1] > gap))[: len(row)])[0]
+            if not len(starts):
+                continue
+            ends = np.append(starts[1:], len(row))
+            score = np.add.reduceat(worth[line, point], starts)
+            low, high = (f.reduceat(places[point], starts) for f in (np.minimum, np.maximum))
+            for r in np.nonzero(score > least_score)[0]:
+                a, b = starts[r], ends[r]
+                found.append((float(score[r]), sorted(point[a:b].tolist()), (first[k + line[a]], u[k + line[a]], where[a], where[b - 1]), (low[r], high[r])))
+    found.sort(key=lambda x: (-x[0], x[1]))
     kept: list[tuple] = []
-    for score, held, ends, span in found:
+    for score, run, (base, way, t0, t1), span in found:
+        held = frozenset(run)
         if all(len(held & other) <= 0.5 * min(len(held), len(other)) for _, other, _, _ in kept) and uncovered(*span, [x[3] for x in kept]) > LEAST_UNCOVERED:
-            kept.append((score, held, ends, span))
+            kept.append((score, held, (base + t0 * way, base + t1 * way), span))
     return [(key, n, len(held), score, *ends[0], *ends[1]) for n, (score, held, ends, _) in enumerate(kept)]
 
 
 def edge_lines(df: DataFrame, samples: int = 1000, threshold: float = 0.3, least_score: float = 5.0, gap: float = 1.0) -> DataFrame:
-    """Segments of each edge's points (edge_key, X, Y, Z, and ux, uy: the edge's direction), one grouped task per edge."""
+    """Segments of each edge's points (edge_key, X, Y, Z, and ux, uy: the edge's direction).
+
+    Edges are many and small, so they come in batches, in order, and no edge is a group of its own to Spark.
+    """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["X", "Y", "Z"])
-        rows = fit_lines(int(group["edge_key"].iat[0]), group[["X", "Y", "Z"]].to_numpy(float), samples, threshold, least_score, gap, group[["ux", "uy"]].to_numpy(float)[0])
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+    def fitted(rows: pa.Table) -> pa.RecordBatch:
+        key, *columns = (c.combine_chunks().to_numpy() for c in rows.columns)
+        xyz, way = np.stack(columns[:3], 1), np.stack(columns[3:], 1)
+        starts = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key))
+        out = [r for a, b in zip(starts[:-1], starts[1:], strict=True) for r in fit_lines(int(key[a]), xyz[a:b], samples, threshold, least_score, gap, way[a])]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last edge, more may come
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            key = b.column(0).to_numpy()
+            if held[0].column(0)[0].as_py() == key[-1]:
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            yield fitted(pa.Table.from_batches([*held[:-1], b.slice(0, last)]))
+            held = [b.slice(last)]
+        if held:
+            yield fitted(pa.Table.from_batches(held))
 
+    schema = to_arrow_schema(StructType.fromDDL(SEGMENTS))
     # A number of its own keeps small tables, which are much work, in as many tasks as there are partitions.
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select("edge_key", "X", "Y", "Z", "ux", "uy").repartition(spread, "edge_key").groupBy("edge_key").applyInPandas(run, SEGMENTS)
+    rows = df.select("edge_key", *[F.col(c).cast("double").alias(c) for c in ("X", "Y", "Z", "ux", "uy")])
+    return rows.repartition(spread, "edge_key").sortWithinPartitions("edge_key", "X", "Y", "Z").mapInArrow(run, SEGMENTS)
 
 
 Piece = tuple[float, float, float, float]

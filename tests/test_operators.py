@@ -483,3 +483,23 @@ def test_synthetic_does_not_depend_on_partitions(spark):
     one = synthetic.circle_points(spark, 50, 5.0, 0.1).collect()
     assert sorted(one) == sorted(synthetic.circle_points(spark, 50, 5.0, 0.1).repartition(7).collect())
     assert synthetic.edge_samples(synthetic.circle_edges(spark, 6, 3.0, 0.0), 1.9, 0.0).count() == 36
+
+
+def test_edges_come_in_batches(spark):
+    """No edge is a group of its own to Spark, and those that go on over batches are whole: the same segments as edge by edge."""
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for key in range(40):
+        n = int(rng.integers(2, 30))
+        t = np.sort(rng.uniform(0, 6, n))
+        xyz = np.stack([t, 0 * t, 0.2 * t + rng.choice([0, 3], n)], 1)
+        rows += [(key, *p, 1.0, 0.0) for p in rng.permutation(xyz).tolist()]
+        want += lines3d.fit_lines(key, xyz[np.lexsort(xyz.T[::-1])], 1000, 0.3, 2.0, 1.0, np.array([1.0, 0.0]))
+    df = spark.createDataFrame(rows, "edge_key long, X double, Y double, Z double, ux double, uy double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = lines3d.edge_lines(df, least_score=2.0)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(float(x) if i > 2 else x for i, x in enumerate(r)) for r in want) and len(want) > 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
