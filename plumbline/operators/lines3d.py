@@ -58,16 +58,18 @@ def fit_lines(key: int, xyz: np.ndarray, samples: int, threshold: float, least_s
         along = np.linalg.svd(xyz[:, :2] - xyz[:, :2].mean(0), full_matrices=False)[2][0]
     if len(xyz) >= 2:
         rng = np.random.default_rng([977, key % (1 << 63)])
-        drawn = np.sort(rng.integers(0, len(xyz), (samples, 2)), 1)
-        pairs = np.stack(np.divmod(np.unique(drawn[:, 0] * len(xyz) + drawn[:, 1]), len(xyz)), 1)
+        x, y = rng.integers(0, len(xyz), (samples, 2)).T
+        pairs = np.stack(np.divmod(np.unique(np.minimum(x, y) * len(xyz) + np.maximum(x, y)), len(xyz)), 1)
         d = xyz[pairs[:, 1]] - xyz[pairs[:, 0]]
         size = np.linalg.norm(d, axis=1)
         first, u = xyz[pairs[size >= EPS, 0]], d[size >= EPS] / size[size >= EPS, None]
         step, places = max(1, PLACES // len(xyz)), xyz[:, :2] @ along
         for k in range(0, len(u), step):
-            rel = xyz - first[k : k + step, None]
-            t = np.einsum("pnc,pc->pn", rel, u[k : k + step])
-            away = np.linalg.norm(rel - t[..., None] * u[k : k + step, None], axis=2)
+            way = u[k : k + step, :, None]
+            rel = [xyz[:, c] - first[k : k + step, c, None] for c in range(3)]  # by coordinate, as short axes are slow
+            t = rel[0] * way[:, 0] + rel[1] * way[:, 1] + rel[2] * way[:, 2]
+            off = [r - t * way[:, c] for c, r in enumerate(rel)]
+            away = np.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
             worth = np.where(away <= threshold, 1 - away / threshold, 0.0)
             total = worth.sum(1)
             able = np.nonzero(total > least_score)[0]  # no run has more than all together
